@@ -13,10 +13,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrosift.operators.common import join_small
 
 DEFAULT_ACCURACY = 100_000
 
@@ -30,6 +29,13 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str,
                       accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Linear-interpolated percentiles per group, exact (numpy's default rule).
 
+    Two scans.  Scan 1 aggregates the group size and a bounded sketch that
+    brackets each target rank.  Scan 2 (partially aggregated, map-side) counts
+    the values below each bracket and collects only the values inside it: at
+    most ``4*accuracy`` values for a small group, about ``8n/accuracy`` for a
+    large one, never the whole group.  The stats table has one row per group;
+    its join is left to AQE, which broadcasts it when it is measured small.
+
     Returns ``group_cols + names``; groups with no non-null value are absent.
     """
     g = _g(group_cols)
@@ -49,42 +55,30 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str,
         F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__q"))
     small = F.col("__n") <= 4 * accuracy
     inf = F.lit(float("inf"))
-    los, his, k0s, k1s, fr = [], [], [], [], []
+    rows = []
     for i, p in enumerate(probs):
         lo = F.when(small | F.lit(lo_p[i] == 0.0), -inf).otherwise(F.col("__q")[i])
         hi = F.when(small | F.lit(hi_p[i] == 1.0), inf).otherwise(F.col("__q")[P + i])
         pos = F.lit(float(p)) * (F.col("__n") - 1)
-        los.append(lo)
-        his.append(hi)
-        k0s.append(F.floor(pos))
-        k1s.append(F.ceil(pos))
-        fr.append(pos - F.floor(pos))
-    stats = stats.select(*g, "__n", F.array(*los).alias("__lo"), F.array(*his).alias("__hi"),
-                         F.array(*k0s).alias("__k0"), F.array(*k1s).alias("__k1"),
-                         F.array(*fr).alias("__fr"))
-    j = join_small(d, stats, g)
-    below = j.groupBy(*g).agg(*[
-        F.count_if(F.col("__v") < F.col("__lo")[i]).alias(f"__b{i}") for i in range(P)])
-    below = below.select(*g, F.array(*[F.col(f"__b{i}") for i in range(P)]).alias("__below"))
-    idx = F.filter(F.sequence(F.lit(0), F.lit(P - 1)),
-                   lambda i: (F.col("__v") >= F.element_at("__lo", i + 1))
-                   & (F.col("__v") <= F.element_at("__hi", i + 1)))
-    band = j.select(*g, "__v", "__k0", "__k1", "__fr", F.explode(idx).alias("__i"))
-    band = join_small(band, below, g)
-    w = Window.partitionBy(*g, "__i").orderBy("__v")
-    rank = F.element_at("__below", F.col("__i") + 1) + F.row_number().over(w) - 1
-    k0 = F.element_at("__k0", F.col("__i") + 1)
-    k1 = F.element_at("__k1", F.col("__i") + 1)
-    picked = (band.withColumn("__r", rank)
-              .where((F.col("__r") == k0) | (F.col("__r") == k1))
-              .groupBy(*g, "__i")
-              .agg(F.max(F.when(F.col("__r") == F.element_at("__k0", F.col("__i") + 1), F.col("__v"))).alias("__a"),
-                   F.max(F.when(F.col("__r") == F.element_at("__k1", F.col("__i") + 1), F.col("__v"))).alias("__b"),
-                   F.first(F.element_at("__fr", F.col("__i") + 1)).alias("__t")))
-    val = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__t")
-    out = picked.groupBy(*g).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(n)
-                                   for i, n in enumerate(names)])
-    return out
+        rows.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"),
+                             F.floor(pos).alias("k0"), F.ceil(pos).alias("k1"),
+                             (pos - F.floor(pos)).alias("t")))
+    stats = stats.select(*g, F.array(*rows).alias("__t"))
+    e = (d.join(stats, g)
+         .select(*g, "__v", F.explode("__t").alias("__x")))
+    x = F.col("__x")
+    inband = (F.col("__v") >= x["lo"]) & (F.col("__v") <= x["hi"])
+    agg = e.groupBy(*g, x["i"].alias("__i")).agg(
+        F.count_if(F.col("__v") < x["lo"]).alias("__below"),
+        F.array_sort(F.collect_list(F.when(inband, F.col("__v")))).alias("__band"),
+        F.first(x["k0"]).alias("__k0"), F.first(x["k1"]).alias("__k1"),
+        F.first(x["t"]).alias("__t"))
+    a = F.try_element_at("__band", (F.col("__k0") - F.col("__below") + 1).cast("int"))
+    b = F.try_element_at("__band", (F.col("__k1") - F.col("__below") + 1).cast("int"))
+    val = a + (b - a) * F.col("__t")
+    picked = agg.select(*g, "__i", val.alias("__val"))
+    return picked.groupBy(*g).agg(*[F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(n)
+                                    for i, n in enumerate(names)])
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value: str, name: str = "median",
@@ -164,7 +158,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, group_cols: Sequence[st
     lo = F.when(F.col("__mx") == F.col("__mn"), F.col("__mn") - 0.5).otherwise(F.col("__mn"))
     hi = F.when(F.col("__mx") == F.col("__mn"), F.col("__mx") + 0.5).otherwise(F.col("__mx"))
     st = st.select(*g, "__n", lo.alias("__lo"), hi.alias("__hi"))
-    j = join_small(d, st, g)
+    j = d.join(st, g)
     b = F.floor((F.col("__v") - F.col("__lo")) * (F.lit(float(bins)) / (F.col("__hi") - F.col("__lo"))))
     b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = j.groupBy(*g, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -195,7 +189,7 @@ def kde(df: DataFrame, value: str, grid: int = 200, group_cols: Sequence[str] =
     st = d.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__v").alias("__sd"),
                            F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
     st = st.withColumn("__h", F.pow(F.col("__n").cast("double"), -0.2) * F.col("__sd"))
-    j = join_small(d, st, g)
+    j = d.join(st, g)
     step = (F.col("__mx") - F.col("__mn")) / (grid - 1)
     e = j.select(*g, "__v", "__mn", "__h", "__n", step.alias("__step"),
                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
@@ -234,7 +228,7 @@ def box_stats(df: DataFrame, params: Sequence[str], group_cols: Sequence[str] =
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr")) \
          .withColumn("upper_fence", F.col("q3") + whisker * F.col("iqr"))
-    j = join_small(lg, q.select(*g, "lower_fence", "upper_fence"), g)
+    j = lg.join(q.select(*g, "lower_fence", "upper_fence"), g)
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
     agg = j.groupBy(*g).agg(
         F.count(F.lit(1)).alias("n"),

@@ -34,3 +34,41 @@ def site_ranking(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
     """Flagship: readings -> index -> class -> site profile -> ranking with flags."""
     prof = site_profiles(spark, sf_dir)
     return rank.site_ranking(prof, "water_type", "wqi_mean", "site", n, WORSE, group_domain=2)
+
+
+# ------------------------------------------------------------ cleaning chain
+
+ID_COLS = ["site", "year", "l_orderkey", "l_linenumber"]
+
+
+def clean_stage1(raw: DataFrame, tokens=None, frac: float | None = None) -> DataFrame:
+    """Names, keys, censoring tokens, numeric typing, sparse rows."""
+    from hydrosift.operators import clean as C
+    from hydrosift.sources.lookups import GW_CENSOR_TOKENS, SPARSE_ROW_FRACTION
+    tokens = GW_CENSOR_TOKENS if tokens is None else tokens
+    frac = SPARSE_ROW_FRACTION if frac is None else frac
+    df = C.normalize_names(raw, "snake")
+    df = C.require_columns(df, ["site", "year"])
+    df = C.drop_all_null_rows(df)
+    df = C.int_key(df, "year")
+    df = C.trim_key(df, "site")
+    num = [c for c in df.columns if c not in ID_COLS]
+    df = C.censored_to_null(df, num, tokens)
+    df = C.try_numeric(df, num)
+    return C.drop_sparse_rows(df, num, frac)
+
+
+def clean_stage2(df: DataFrame, frac: float | None = None) -> DataFrame:
+    """Units, detection floors, domain limits, sparse rows again."""
+    from hydrosift.operators import clean as C
+    from hydrosift.sources.lookups import SPARSE_ROW_FRACTION
+    frac = SPARSE_ROW_FRACTION if frac is None else frac
+    df = C.convert_unit(df, "iron_(ug/l)", 1000.0)
+    df = C.detection_floor(df, {"iron_(ug/l)": 0.01, "fluorides(ppm)": 0.1, "nitrate(ppm)": 0.5})
+    df = C.null_out_of_domain(df, {"ph": (6.5, 8.5), "tds": (0.0, 2000.0), "nitrate(ppm)": (0.0, 100.0)})
+    num = [c for c in df.columns if c not in ID_COLS]
+    return C.drop_sparse_rows(df, num, frac)
+
+
+def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_stage2(clean_stage1(views.raw_readings(spark, sf_dir)))

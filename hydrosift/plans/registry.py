@@ -47,3 +47,286 @@ def q_site_ranking(spark, sf):
     out = flows.site_ranking(spark, sf, 3)
     return out.select("water_type", "site", r6("wqi_mean"), "wqi_class", "status",
                       F.coalesce("status_rank", F.lit(0)).cast("int").alias("status_rank"))
+
+
+# ------------------------------------------------------------ index rows
+
+from hydrosift.functions import wqi as W  # noqa: E402
+from hydrosift.operators import clean as C  # noqa: E402
+from hydrosift.operators import stats as S  # noqa: E402
+from hydrosift.sources import views as VW  # noqa: E402
+
+PARAMS = VW.PARAMS
+
+
+@register("gw_index_rows", V.with_views(f"""
+SELECT l_orderkey, l_linenumber, site, year, round(w, 6) AS wqi,
+       {V.GW_CLASS.format(x='w')} AS wqi_class,
+       (CASE WHEN w IS NULL THEN NULL WHEN w <= 50 THEN 'Excellent' WHEN w <= 100 THEN 'Good'
+             WHEN w <= 200 THEN 'Poor' ELSE 'Very Poor' END) AS wqi_class4,
+       round(w * 1.0, 6) AS priority_score,
+       (CASE WHEN w IS NULL THEN NULL WHEN w > 300 THEN 'High' WHEN w > 150 THEN 'Moderate' ELSE 'Low' END)
+         AS relative_health_risk,
+       w > 200 AS alert
+FROM (SELECT *, {V.GW_WQI} AS w FROM readings WHERE water_type = 'ground') t
+""", "readings"))
+def q_gw_index_rows(spark, sf):
+    r = VW.readings(spark, sf).where(F.col("water_type") == "ground")
+    r = r.withColumn("w", W.bis_wqi(VW.GW_PARAM_MAP))
+    return r.select("l_orderkey", "l_linenumber", "site", "year", r6("w", "wqi"),
+                    W.wqi_class_gw("w").alias("wqi_class"), W.wqi_class_gw4("w").alias("wqi_class4"),
+                    r6(W.priority_gw("w"), "priority_score"),
+                    W.risk_gw("w").alias("relative_health_risk"), W.alert_gw("w").alias("alert"))
+
+
+@register("sw_index_rows", V.with_views(f"""
+SELECT l_orderkey, l_linenumber, site, year, round(w, 6) AS wqi,
+       {V.SW_CLASS.format(x='w')} AS wqi_class,
+       w < 50 AS hotspot, 1 AS exposure_proxy,
+       round((100 - w) * 1, 6) AS priority_index, round((100 - w) * 1, 6) AS priority_score,
+       (CASE WHEN w IS NULL THEN NULL WHEN w < 25 THEN 'High' WHEN w < 50 THEN 'Moderate' ELSE 'Low' END)
+         AS relative_health_risk,
+       (CASE WHEN w IS NULL THEN NULL WHEN w < 25 THEN 'CRITICAL' WHEN w < 50 THEN 'WARNING' ELSE 'NORMAL' END)
+         AS alert_level
+FROM (SELECT *, {V.SW_WQI} AS w FROM readings WHERE water_type = 'surface') t
+""", "readings"))
+def q_sw_index_rows(spark, sf):
+    r = VW.readings(spark, sf).where(F.col("water_type") == "surface")
+    r = r.withColumn("w", W.nsf_wqi(VW.SW_PARAM_MAP)).withColumn("exposure_proxy", F.lit(1))
+    pr = W.priority_sw("w", F.col("exposure_proxy"))
+    return r.select("l_orderkey", "l_linenumber", "site", "year", r6("w", "wqi"),
+                    W.wqi_class_sw("w").alias("wqi_class"), W.hotspot("w").alias("hotspot"),
+                    "exposure_proxy", r6(pr, "priority_index"), r6(pr, "priority_score"),
+                    W.risk_sw("w").alias("relative_health_risk"), W.alert_sw("w").alias("alert_level"))
+
+
+# ------------------------------------------------------------ cleaning
+
+CLEAN_COLS = ["ph", "turbidity", "chloride_(ppm)", "sulphates(ppm)", "nitrate(ppm)",
+              "fluorides(ppm)", "iron_(ug/l)", "do(ppm)", "bod(ppm)", "remarks"]
+
+
+def _qs(cols):
+    return ", ".join(f'round("{c}", 6) AS "{c}"' for c in cols)
+
+
+@register("clean_readings", V.with_views(
+    f"SELECT l_orderkey, l_linenumber, site, year, {_qs(CLEAN_COLS)} FROM clean2", "clean2"))
+def q_clean_readings(spark, sf):
+    df = flows.cleaned_readings(spark, sf)
+    return df.select("l_orderkey", "l_linenumber", "site", "year",
+                     *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in CLEAN_COLS])
+
+
+@register("null_profile_raw", V.with_views(" UNION ALL ".join(
+    f"SELECT '{n}' AS \"column\", CAST(count(*) FILTER (WHERE \"{n}\" IS NULL) AS BIGINT) AS nulls FROM clean1"
+    for n in ["site", "year"] + CLEAN_COLS), "clean1"))
+def q_null_profile_raw(spark, sf):
+    df = flows.clean_stage1(VW.raw_readings(spark, sf))
+    return S.null_profile(df, ["site", "year"] + CLEAN_COLS)
+
+
+@register("distinct_years", V.with_views("SELECT DISTINCT year FROM clean1", "clean1"))
+def q_distinct_years(spark, sf):
+    return S.distinct_values(flows.clean_stage1(VW.raw_readings(spark, sf)), "year")
+
+
+def _describe_sql(src: str, cols, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    parts = []
+    for c in cols:
+        x = f'"{c}"'
+        parts.append(
+            f"SELECT {g}'{c}' AS \"column\", CAST(count({x}) AS BIGINT) AS count, round(avg({x}), 6) AS mean, "
+            f"round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, "
+            f"round(quantile_cont({x}, 0.25), 6) AS q25, round(quantile_cont({x}, 0.5), 6) AS q50, "
+            f"round(quantile_cont({x}, 0.75), 6) AS q75, round(max({x}), 6) AS max "
+            f"FROM {src}" + (f" GROUP BY {group}" if group else ""))
+    return " UNION ALL ".join(parts)
+
+
+DESCRIBE_COLS = ["ph", "turbidity", "chloride_(ppm)", "nitrate(ppm)", "iron_(ug/l)"]
+
+
+@register("describe_clean", V.with_views(_describe_sql("clean2", DESCRIBE_COLS), "clean2"))
+def q_describe_clean(spark, sf):
+    df = flows.cleaned_readings(spark, sf)
+    d = S.describe(df, DESCRIBE_COLS)
+    return d.select("column", "count", *[r6(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+
+
+# ------------------------------------------------------------ statistics
+
+@register("yearly_trend", V.with_views("""
+SELECT water_type, year, round(avg(wqi), 6) AS wqi_mean, round(quantile_cont(wqi, 0.5), 6) AS wqi_median,
+       round(stddev_samp(wqi), 6) AS wqi_std
+FROM scored GROUP BY water_type, year""", "scored"))
+def q_yearly_trend(spark, sf):
+    t = S.yearly_trend(flows.scored_readings(spark, sf), group_cols=["water_type"])
+    return t.select("water_type", "year", r6("wqi_mean"), r6("wqi_median"), r6("wqi_std"))
+
+
+@register("yearly_mean", V.with_views(
+    "SELECT water_type, year, round(avg(wqi), 6) AS wqi_mean FROM scored GROUP BY water_type, year", "scored"))
+def q_yearly_mean(spark, sf):
+    t = S.yearly_mean(flows.scored_readings(spark, sf), group_cols=["water_type"])
+    return t.select("water_type", "year", r6("wqi_mean"))
+
+
+@register("site_means", V.with_views(
+    "SELECT water_type, site, round(avg(wqi), 6) AS wqi_mean FROM scored GROUP BY water_type, site", "scored"))
+def q_site_means(spark, sf):
+    t = S.site_mean(flows.scored_readings(spark, sf), group_cols=["water_type"])
+    return t.select("water_type", "site", r6("wqi_mean"))
+
+
+@register("class_counts", V.with_views("""
+SELECT water_type, wqi_class, n, round(n * 100.0 / sum(n) OVER (PARTITION BY water_type), 6) AS share_pct
+FROM (SELECT water_type, wqi_class, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY water_type, wqi_class) t
+""", "scored"))
+def q_class_counts(spark, sf):
+    t = S.class_counts(flows.scored_readings(spark, sf), "wqi_class", ["water_type"])
+    return t.select("water_type", "wqi_class", "n", r6("share_pct"))
+
+
+@register("wqi_histogram", V.with_views("""
+SELECT s.water_type, b.bin, round(lo + b.bin * (hi - lo) / 10, 6) AS bin_lo,
+       round(lo + (b.bin + 1) * (hi - lo) / 10, 6) AS bin_hi,
+       CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
+       round(coalesce(c.cnt, 0) / (s.n * (hi - lo) / 10), 9) AS density
+FROM (SELECT water_type, count(*) AS n,
+             CASE WHEN max(wqi) = min(wqi) THEN min(wqi) - 0.5 ELSE min(wqi) END AS lo,
+             CASE WHEN max(wqi) = min(wqi) THEN max(wqi) + 0.5 ELSE max(wqi) END AS hi
+      FROM scored WHERE wqi IS NOT NULL GROUP BY water_type) s
+CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(10)) b
+LEFT JOIN (SELECT x.water_type, CAST(least(greatest(floor((wqi - lo) * (10.0 / (hi - lo))), 0), 9) AS INTEGER) AS bin,
+                  count(*) AS cnt
+           FROM scored x JOIN (SELECT water_type, min(wqi) AS lo, max(wqi) AS hi FROM scored GROUP BY water_type) m
+             USING (water_type)
+           WHERE wqi IS NOT NULL GROUP BY 1, 2) c
+  ON c.water_type = s.water_type AND c.bin = b.bin
+""", "scored"))
+def q_wqi_histogram(spark, sf):
+    h = S.histogram(flows.scored_readings(spark, sf), "wqi", 10, ["water_type"])
+    return h.select("water_type", "bin", r6("bin_lo"), r6("bin_hi"), "count",
+                    F.round("density", 9).alias("density"))
+
+
+@register("wqi_kde", V.with_views("""
+SELECT water_type, point, round(x, 6) AS x, round(density, 9) AS density FROM (
+  SELECT s.water_type, CAST(g.point AS INTEGER) AS point, s.mn + g.point * (s.mx - s.mn) / 199 AS x,
+         sum(exp(-0.5 * power((s.mn + g.point * (s.mx - s.mn) / 199 - v.wqi) / s.h, 2)))
+           / (s.n * s.h * sqrt(2 * pi())) AS density
+  FROM (SELECT water_type, count(*) AS n, min(wqi) AS mn, max(wqi) AS mx,
+               power(CAST(count(*) AS DOUBLE), -0.2) * stddev_samp(wqi) AS h
+        FROM scored WHERE wqi IS NOT NULL GROUP BY water_type) s
+  JOIN scored v ON v.water_type = s.water_type AND v.wqi IS NOT NULL
+  CROSS JOIN (SELECT range AS point FROM range(200)) g
+  GROUP BY s.water_type, g.point, s.mn, s.mx, s.n, s.h) t
+""", "scored"))
+def q_wqi_kde(spark, sf):
+    k = S.kde(flows.scored_readings(spark, sf), "wqi", 200, ["water_type"])
+    return k.select("water_type", F.col("point").cast("int").alias("point"), r6("x"),
+                    F.round("density", 9).alias("density"))
+
+
+def _long_sql(src: str, params, group: str = "water_type") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {group}, '{p}' AS param, CAST(\"{p}\" AS DOUBLE) AS value FROM {src}" for p in params)
+
+
+@register("param_moments", V.with_views(f"""
+SELECT water_type, param, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
+       round(stddev_pop(value), 6) AS std_pop
+FROM ({_long_sql('readings', PARAMS)}) l GROUP BY water_type, param""", "readings"))
+def q_param_moments(spark, sf):
+    m = S.moments(VW.readings(spark, sf), PARAMS, ["water_type"])
+    return m.select("water_type", "param", r6("mean"), r6("median"), r6("std_pop"))
+
+
+@register("box_stats", V.with_views("""
+SELECT f.water_type, f.param, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+       round(q3 - q1, 6) AS iqr, round(lf, 6) AS lower_fence, round(uf, 6) AS upper_fence,
+       CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_pop,
+       round(min(value) FILTER (WHERE value >= lf AND value <= uf), 6) AS whisker_lo,
+       round(max(value) FILTER (WHERE value >= lf AND value <= uf), 6) AS whisker_hi,
+       CAST(count(*) FILTER (WHERE value < lf OR value > uf) AS BIGINT) AS n_outliers
+FROM f JOIN l USING (water_type, param)
+GROUP BY f.water_type, f.param, q1, med, q3, lf, uf""", "readings", extra={
+    "l": f"SELECT * FROM ({_long_sql('readings', PARAMS)}) x WHERE value IS NOT NULL",
+    "q": """SELECT water_type, param, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
+             quantile_cont(value, 0.75) AS q3 FROM l GROUP BY water_type, param""",
+    "f": "SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q"}))
+def q_box_stats(spark, sf):
+    b = S.box_stats(VW.readings(spark, sf), PARAMS, ["water_type"])
+    return b.select("water_type", "param", *[r6(c) for c in ["q1", "median", "q3", "iqr", "lower_fence",
+                                                              "upper_fence"]],
+                    "n", r6("mean"), r6("std_pop"), r6("whisker_lo"), r6("whisker_hi"), "n_outliers")
+
+
+CORR_COLS = ["ph", "turbidity", "chloride", "nitrate", "fluoride", "iron", "wqi"]
+
+
+@register("corr_matrix", V.with_views(" UNION ALL ".join(
+    f"SELECT water_type, '{a}' AS var_a, '{b}' AS var_b, round(corr(\"{a}\", \"{b}\"), 3) AS corr "
+    f"FROM scored GROUP BY water_type"
+    for i, a in enumerate(CORR_COLS) for j, b in enumerate(CORR_COLS) if i > j), "scored"))
+def q_corr_matrix(spark, sf):
+    return S.corr_matrix(flows.scored_readings(spark, sf), CORR_COLS, ["water_type"], 3)
+
+
+@register("corr_with_wqi", V.with_views(" UNION ALL ".join(
+    f"SELECT water_type, '{a}' AS feature, round(corr(\"{a}\", wqi), 6) AS corr FROM scored GROUP BY water_type"
+    for a in PARAMS), "scored"))
+def q_corr_with_wqi(spark, sf):
+    c = S.corr_with_target(flows.scored_readings(spark, sf), PARAMS, "wqi", ["water_type"])
+    return c.select("water_type", "feature", r6("corr"))
+
+
+@register("exceedance_rates", V.with_views("""
+SELECT water_type, 'ph' AS param, round(avg(CASE WHEN ph < 6.5 OR ph > 8.5 THEN 1.0 ELSE 0.0 END), 6) AS rate
+FROM readings GROUP BY water_type
+UNION ALL SELECT water_type, 'turbidity', round(avg(CASE WHEN turbidity > 5.0 THEN 1.0 ELSE 0.0 END), 6)
+FROM readings GROUP BY water_type
+UNION ALL SELECT water_type, 'nitrate', round(avg(CASE WHEN nitrate > 45.0 THEN 1.0 ELSE 0.0 END), 6)
+FROM readings GROUP BY water_type""", "readings"))
+def q_exceedance_rates(spark, sf):
+    from hydrosift.sources.lookups import EXCEED_LIMITS
+    e = S.exceedance_rate(VW.readings(spark, sf), EXCEED_LIMITS, ["water_type"])
+    return e.select("water_type", "param", r6("rate"))
+
+
+@register("site_extremes", V.with_views("""
+SELECT water_type, round(min(wqi_mean), 6) AS wqi_min, round(max(wqi_mean), 6) AS wqi_max FROM profile
+GROUP BY water_type""", "profile"))
+def q_site_extremes(spark, sf):
+    e = S.extremes(flows.site_profiles(spark, sf), "wqi_mean", ["water_type"])
+    return e.select("water_type", r6("wqi_min"), r6("wqi_max"))
+
+
+@register("water_type_summary", V.with_views(f"""
+SELECT a.water_type, round(a.avg_site_wqi, 6) AS avg_site_wqi, a.n_sites,
+       w.site AS worst_site, round(w.wqi_mean, 6) AS worst_wqi, w.wqi_class AS worst_class,
+       b.site AS best_site, round(b.wqi_mean, 6) AS best_wqi, b.wqi_class AS best_class
+FROM (SELECT water_type, avg(wqi_mean) AS avg_site_wqi, CAST(count(*) AS BIGINT) AS n_sites
+      FROM profile GROUP BY water_type) a
+JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY water_type ORDER BY {V.SIGNED} DESC, site) rn
+                     FROM profile) WHERE rn = 1) w USING (water_type)
+JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY water_type ORDER BY {V.SIGNED} ASC, site DESC) rn
+                     FROM profile) WHERE rn = 1) b USING (water_type)""", "profile"))
+def q_water_type_summary(spark, sf):
+    s = S.water_type_summary(flows.site_profiles(spark, sf), worse=flows.WORSE)
+    return s.select("water_type", r6("avg_site_wqi"), "n_sites", "worst_site", r6("worst_wqi"),
+                    "worst_class", "best_site", r6("best_wqi"), "best_class")
+
+
+PAIR_PARAMS = ["ph", "turbidity", "nitrate", "iron"]
+
+
+@register("param_pairs", V.with_views(" UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, water_type, round(wqi, 6) AS wqi, '{p}' AS param, "
+    f"round(CAST(\"{p}\" AS DOUBLE), 6) AS value FROM scored" for p in PAIR_PARAMS), "scored"))
+def q_param_pairs(spark, sf):
+    p = S.param_pairs(flows.scored_readings(spark, sf), PAIR_PARAMS, "wqi",
+                      ["l_orderkey", "l_linenumber", "water_type"])
+    return p.select("l_orderkey", "l_linenumber", "water_type", r6("wqi"), "param", r6("value"))

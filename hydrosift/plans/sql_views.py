@@ -100,14 +100,78 @@ SELECT a.water_type, a.site, a.wqi_mean, m.wqi_class FROM
 SIGNED = "(CASE WHEN water_type = 'surface' THEN -wqi_mean ELSE wqi_mean END)"
 
 
-def with_views(body: str, *names: str) -> str:
+def _tok(cond: str, token: str, expr: str) -> str:
+    return f"CASE WHEN {cond} THEN '{token}' ELSE CAST({expr} AS VARCHAR) END"
+
+
+_SP = "l_orderkey % 31 = 0"
+RAW = f"""
+SELECT l_orderkey, l_linenumber,
+  '  ' || site || ' ' AS "Site",
+  {_tok('l_orderkey % 101 = 0', 'n/a', 'year')} AS "Year",
+  {_tok(f'{_SP} OR l_orderkey % 17 = 0', 'ND', 'ph')} AS "pH",
+  {_tok(f'{_SP} OR l_orderkey % 13 = 0', '-', 'turbidity')} AS "Turbidity",
+  {_tok(f'{_SP} OR l_orderkey % 11 = 0', 'nd', 'chloride')} AS "Chloride (ppm)",
+  {_tok(f'{_SP} OR l_orderkey % 19 = 0', 'NO', 'sulphate')} AS "Sulphates(ppm)",
+  {_tok('l_orderkey % 23 = 0', 'abc', 'nitrate')} AS "Nitrate(ppm)",
+  {_tok(_SP, 'no', 'fluoride')} AS "Fluorides(ppm)",
+  {_tok('l_linenumber = 7', 'no', 'iron * 1000')} AS "Iron (ug/l)",
+  {_tok(f'{_SP} OR l_orderkey % 29 = 0', ' ', '"do"')} AS "DO(ppm)",
+  {_tok(_SP, '-', 'bod')} AS "BOD(ppm)",
+  CAST(NULL AS VARCHAR) AS "Remarks"
+FROM readings
+"""
+
+RAW_NUM = {"pH": "ph", "Turbidity": "turbidity", "Chloride (ppm)": "chloride_(ppm)",
+           "Sulphates(ppm)": "sulphates(ppm)", "Nitrate(ppm)": "nitrate(ppm)",
+           "Fluorides(ppm)": "fluorides(ppm)", "Iron (ug/l)": "iron_(ug/l)",
+           "DO(ppm)": "do(ppm)", "BOD(ppm)": "bod(ppm)", "Remarks": "remarks"}
+_TOKENS = "('NO', 'ND', 'nd', 'no', '-')"
+
+
+def _present(cols) -> str:
+    return " + ".join(f'(CASE WHEN "{c}" IS NOT NULL THEN 1 ELSE 0 END)' for c in cols)
+
+
+CLEAN1 = f"""
+SELECT * FROM (
+  SELECT l_orderkey, l_linenumber, trim("Site") AS site,
+         CAST(trunc(TRY_CAST("Year" AS DOUBLE)) AS INTEGER) AS year,
+         {", ".join(f'TRY_CAST(CASE WHEN "{r}" IN {_TOKENS} THEN NULL ELSE "{r}" END AS DOUBLE) AS "{n}"'
+                    for r, n in RAW_NUM.items())}
+  FROM raw WHERE TRY_CAST("Year" AS DOUBLE) IS NOT NULL) t
+WHERE {_present(RAW_NUM.values())} >= 7
+"""
+
+CLEAN2 = f"""
+SELECT * FROM (
+  SELECT l_orderkey, l_linenumber, site, year,
+    CASE WHEN ph < 6.5 OR ph > 8.5 THEN NULL ELSE ph END AS ph,
+    turbidity, "chloride_(ppm)", "sulphates(ppm)",
+    CASE WHEN n3 < 0 OR n3 > 100 THEN NULL ELSE n3 END AS "nitrate(ppm)",
+    CASE WHEN "fluorides(ppm)" IS NOT NULL THEN greatest("fluorides(ppm)", {D(0.1 / 2)}) END AS "fluorides(ppm)",
+    CASE WHEN i1 IS NOT NULL THEN greatest(i1, {D(0.01 / 2)}) END AS "iron_(ug/l)",
+    "do(ppm)", "bod(ppm)", remarks
+  FROM (SELECT *, "iron_(ug/l)" / {D(1000)} AS i1,
+               CASE WHEN "nitrate(ppm)" IS NOT NULL THEN greatest("nitrate(ppm)", {D(0.5 / 2)}) END AS n3
+        FROM clean1) a) b
+WHERE {_present(RAW_NUM.values())} >= 7
+"""
+
+
+def with_views(body: str, *names: str, extra: dict | None = None) -> str:
     """Prefix ``body`` with the named views as CTEs (dependencies first)."""
-    defs = {"readings": READINGS, "scored": SCORED, "profile": PROFILE}
-    order = ["readings", "scored", "profile"]
+    defs = {"readings": READINGS, "scored": SCORED, "profile": PROFILE, "raw": RAW,
+            "clean1": CLEAN1, "clean2": CLEAN2}
+    deps = {"scored": {"readings"}, "profile": {"scored"}, "raw": {"readings"},
+            "clean1": {"raw"}, "clean2": {"clean1"}}
+    order = ["readings", "scored", "profile", "raw", "clean1", "clean2"]
     need = set(names)
-    if "profile" in need:
-        need |= {"scored", "readings"}
-    if "scored" in need:
-        need |= {"readings"}
+    while True:
+        more = set().union(*[deps.get(n, set()) for n in need]) - need
+        if not more:
+            break
+        need |= more
     ctes = [f"{n} AS ({defs[n]})" for n in order if n in need]
+    ctes += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
     return "WITH " + ",\n".join(ctes) + "\n" + body
