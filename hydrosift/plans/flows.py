@@ -72,3 +72,10 @@ def clean_stage2(df: DataFrame, frac: float | None = None) -> DataFrame:
 
 def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_stage2(clean_stage1(views.raw_readings(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ people
+
+def scored_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hydrosift.operators import survey
+    return survey.score_people(views.people(spark, sf_dir))

@@ -330,3 +330,223 @@ def q_param_pairs(spark, sf):
     p = S.param_pairs(flows.scored_readings(spark, sf), PAIR_PARAMS, "wqi",
                       ["l_orderkey", "l_linenumber", "water_type"])
     return p.select("l_orderkey", "l_linenumber", "water_type", r6("wqi"), "param", r6("value"))
+
+
+# ------------------------------------------------------------ survey
+
+from hydrosift.operators import lookup as LK  # noqa: E402
+from hydrosift.operators import survey as SV  # noqa: E402
+from hydrosift.functions.text import short_site  # noqa: E402
+
+
+def _people(spark, sf):
+    return flows.scored_people(spark, sf)
+
+
+@register("people_scores", V.with_views("""
+SELECT person_id, name, age, wqi_class, CAST(symptom_score AS INTEGER) AS symptom_score,
+       CAST(symptom_count AS INTEGER) AS symptom_count, array_to_string(symptoms, ' | ') AS symptoms,
+       array_to_string(triggers, ' || ') AS triggers, CAST(len(triggers) AS INTEGER) AS n_triggers,
+       risk_level, risk_score
+FROM sp""", "sp"))
+def q_people_scores(spark, sf):
+    p = _people(spark, sf)
+    return p.select("person_id", "name", "age", "wqi_class", "symptom_score", "symptom_count",
+                    F.array_join("symptoms", " | ").alias("symptoms"),
+                    F.array_join("triggers", " || ").alias("triggers"),
+                    F.size("triggers").alias("n_triggers"), "risk_level",
+                    F.col("risk_score").cast("int").alias("risk_score"))
+
+
+@register("people_sanitation", V.with_views("""
+SELECT person_id, 'Drinking Water Source' AS parameter, drinking_water_source AS value,
+       CASE WHEN contains(lower(drinking_water_source), 'river') OR contains(lower(drinking_water_source), 'well')
+            THEN 'Risk' ELSE 'OK' END AS status FROM people
+UNION ALL SELECT person_id, 'Water Quality', drinking_water_quality,
+       CASE WHEN contains(lower(drinking_water_quality), 'unsatisfactory') THEN 'Risk' ELSE 'OK' END FROM people
+UNION ALL SELECT person_id, 'Has Private Toilet', has_toilet,
+       CASE WHEN lower(has_toilet) IN ('no', 'false', '0') THEN 'Risk' ELSE 'OK' END FROM people
+UNION ALL SELECT person_id, 'Uses Water Purifier', uses_purifier,
+       CASE WHEN lower(uses_purifier) IN ('no', 'false', '0') THEN 'Risk' ELSE 'OK' END FROM people""", "people"))
+def q_people_sanitation(spark, sf):
+    return SV.sanitation_status(VW.people(spark, sf))
+
+
+@register("people_recommendations", V.with_views(
+    f"SELECT person_id, risk_level, array_to_string({V.RECS}, ' / ') AS recommendations FROM sp", "sp"))
+def q_people_recommendations(spark, sf):
+    p = SV.recommendations(_people(spark, sf))
+    return p.select("person_id", "risk_level", F.array_join("recommendations", " / ").alias("recommendations"))
+
+
+@register("alert_outbox", V.with_views("""
+WITH f AS (SELECT *, 'Risk: ' || risk_level || ' (score ' || CAST(risk_score AS VARCHAR) || '). Site: '
+                 || coalesce(nearest_site, '—') || ' (WQI class: ' || wqi_class || '). Triggers: '
+                 || CASE WHEN len(triggers) > 0 THEN array_to_string(triggers, '; ') ELSE 'No critical triggers' END
+                 || '. Symptoms: '
+                 || CASE WHEN len(symptoms) > 0 THEN array_to_string(symptoms, ', ') ELSE 'None reported' END
+                 || '.' AS body
+           FROM sp WHERE risk_level IN ('CRITICAL', 'HIGH'))
+SELECT person_id, 'person' AS recipient_kind, email AS recipient,
+       '[' || risk_level || ' RISK] Water Quality Health Alert — ' || coalesce(name, 'Resident') AS subject, body
+FROM f WHERE coalesce(email, '') <> ''
+UNION ALL
+SELECT person_id, 'authority', 'health-authority',
+       '[HEALTH ALERT — ' || risk_level || '] ' || coalesce(name, 'Unknown') || ' | Site: '
+       || coalesce(nearest_site, '—'), body FROM f""", "sp"))
+def q_alert_outbox(spark, sf):
+    return SV.alert_outbox(_people(spark, sf))
+
+
+@register("flagged_table", V.with_views("""
+SELECT person_id, substr(coalesce(name, '—'), 1, 14) AS name, risk_level,
+       substr(coalesce(nearest_site, '—'), 1, 14) AS site, CAST(len(symptoms) AS INTEGER) AS n_symptoms
+FROM sp WHERE risk_level IN ('CRITICAL', 'HIGH') ORDER BY person_id LIMIT 8""", "sp"))
+def q_flagged_table(spark, sf):
+    return SV.flagged_table(_people(spark, sf), 8)
+
+
+@register("risk_distribution", V.with_views("""
+SELECT CAST(o.pos AS INTEGER) AS pos, o.risk_level, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+       round(coalesce(c.n, 0) * 100.0 / sum(coalesce(c.n, 0)) OVER (), 6) AS pct
+FROM (VALUES (0, 'CRITICAL'), (1, 'HIGH'), (2, 'MODERATE'), (3, 'LOW')) o(pos, risk_level)
+LEFT JOIN (SELECT risk_level, count(*) AS n FROM sp GROUP BY risk_level) c USING (risk_level)""", "sp"))
+def q_risk_distribution(spark, sf):
+    r = SV.risk_distribution(_people(spark, sf))
+    return r.select("pos", "risk_level", F.col("n").cast("long").alias("n"), r6("pct"))
+
+
+@register("top_symptoms", V.with_views("""
+SELECT symptom, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(symptoms) AS symptom FROM sp) t
+GROUP BY symptom ORDER BY n DESC, symptom LIMIT 10""", "sp"))
+def q_top_symptoms(spark, sf):
+    return SV.top_symptoms(_people(spark, sf), 10)
+
+
+@register("class_distribution", V.with_views(
+    "SELECT wqi_class, CAST(count(*) AS BIGINT) AS n FROM sp GROUP BY wqi_class", "sp"))
+def q_class_distribution(spark, sf):
+    return SV.class_distribution(_people(spark, sf))
+
+
+@register("run_summary", V.with_views("""
+SELECT CAST(count(*) AS BIGINT) AS total_records,
+       CAST(count(*) FILTER (WHERE risk_level IN ('CRITICAL', 'HIGH')) AS BIGINT) AS flagged FROM sp""", "sp"))
+def q_run_summary(spark, sf):
+    return SV.run_summary(_people(spark, sf))
+
+
+@register("survey_table", V.with_views("""
+SELECT person_id AS id, name, age, gender, substr(trim(split_part(coalesce(nearest_site, ''), '(', 1)), 1, 22)
+         AS site_short, wqi_class, risk_level AS risk, risk_score AS score,
+       CAST(len(symptoms) AS VARCHAR) || ' reported' AS symptom_note FROM sp""", "sp"))
+def q_survey_table(spark, sf):
+    t = SV.survey_table(_people(spark, sf))
+    return t.withColumn("score", F.col("score").cast("int"))
+
+
+@register("survey_totals", V.with_views("""
+SELECT CAST(count(*) AS BIGINT) AS respondents, CAST(count(DISTINCT nearest_site) AS BIGINT) AS distinct_sites,
+       CAST(count(*) FILTER (WHERE risk_level = 'CRITICAL') AS BIGINT) AS n_critical,
+       CAST(count(*) FILTER (WHERE risk_level = 'HIGH') AS BIGINT) AS n_high,
+       CAST(count(*) FILTER (WHERE risk_level = 'MODERATE') AS BIGINT) AS n_moderate,
+       CAST(count(*) FILTER (WHERE risk_level = 'LOW') AS BIGINT) AS n_low,
+       CAST(count(*) FILTER (WHERE gender = 'Male') AS BIGINT) AS n_male,
+       CAST(count(*) FILTER (WHERE gender = 'Female') AS BIGINT) AS n_female FROM sp""", "sp"))
+def q_survey_totals(spark, sf):
+    t = SV.survey_totals(_people(spark, sf))
+    return t.select(*[F.col(c).cast("long").alias(c) for c in t.columns])
+
+
+PREV_SYMPTOMS = {"kidney_disease": "Kidney Disease", "anemia": "Anemia",
+                 "high_blood_pressure": "High Blood Pressure", "fever": "Fever"}
+
+
+@register("symptom_prevalence", V.with_views(" UNION ALL ".join(
+    [f"SELECT 'CRITICAL+HIGH' AS risk_group, '{k}' AS measure, "
+     f"round(avg(CASE WHEN list_contains(symptoms, '{t}') THEN 1.0 ELSE 0.0 END) * 100, 6) AS pct "
+     f"FROM sp WHERE risk_level IN ('CRITICAL', 'HIGH')" for k, t in PREV_SYMPTOMS.items()] +
+    ["SELECT 'CRITICAL', 'no_toilet', round(avg(CASE WHEN lower(has_toilet) IN ('no', 'false', '0') "
+     "THEN 1.0 ELSE 0.0 END) * 100, 6) FROM sp WHERE risk_level = 'CRITICAL'",
+     "SELECT 'CRITICAL', 'no_purifier', round(avg(CASE WHEN lower(uses_purifier) IN ('no', 'false', '0') "
+     "THEN 1.0 ELSE 0.0 END) * 100, 6) FROM sp WHERE risk_level = 'CRITICAL'",
+     "SELECT 'CRITICAL', 'river_or_well', round(avg(CASE WHEN contains(lower(drinking_water_source), 'river') "
+     "OR contains(lower(drinking_water_source), 'well') THEN 1.0 ELSE 0.0 END) * 100, 6) FROM sp "
+     "WHERE risk_level = 'CRITICAL'",
+     "SELECT 'CRITICAL', 'visited_doctor', round(avg(CASE WHEN visited_doctor = 'Yes' THEN 1.0 ELSE 0.0 END) "
+     "* 100, 6) FROM sp WHERE risk_level = 'CRITICAL'"]), "sp"))
+def q_symptom_prevalence(spark, sf):
+    p = _people(spark, sf)
+    a = SV.prevalence(p, ["CRITICAL", "HIGH"],
+                      {k: F.array_contains("symptoms", t) for k, t in PREV_SYMPTOMS.items()})
+    src = F.lower("drinking_water_source")
+    b = SV.prevalence(p, ["CRITICAL"], {
+        "no_toilet": F.lower("has_toilet").isin("no", "false", "0"),
+        "no_purifier": F.lower("uses_purifier").isin("no", "false", "0"),
+        "river_or_well": F.contains(src, F.lit("river")) | F.contains(src, F.lit("well")),
+        "visited_doctor": F.col("visited_doctor") == "Yes"})
+    a = a.select(F.lit("CRITICAL+HIGH").alias("risk_group"), "measure", r6("pct"))
+    b = b.select(F.lit("CRITICAL").alias("risk_group"), "measure", r6("pct"))
+    return a.unionByName(b)
+
+
+@register("report_rows", V.with_views(f"""
+SELECT person_id, name, age, gender, nearest_site, email, risk_level, risk_score, wqi_class,
+       CASE WHEN len(symptoms) > 0 THEN array_to_string(symptoms, ' | ') ELSE 'No symptoms reported.' END
+         AS symptom_text, CAST(len(symptoms) AS INTEGER) AS n_symptoms,
+       array_to_string(triggers, '; ') AS triggers, array_to_string({V.RECS}, ' / ') AS recommendations,
+       'health_report_' || replace(coalesce(name, 'Unknown'), ' ', '_') || '_' || risk_level || '.pdf' AS file_name
+FROM sp WHERE risk_level IN ('CRITICAL', 'HIGH')""", "sp"))
+def q_report_rows(spark, sf):
+    return SV.report_rows(_people(spark, sf)).withColumn("risk_score", F.col("risk_score").cast("int"))
+
+
+# ------------------------------------------------------------ lookups
+
+_COORDS_SQL = "(VALUES " + ", ".join(
+    f"({pos}, {V._lit(k)}, '{wt}', {lat!r}, {lon!r})" for pos, k, wt, lat, lon in
+    __import__("hydrosift.sources.lookups", fromlist=["x"]).site_coords_rows()) + ") c(pos, key, wt, lat, lon)"
+
+
+@register("site_coords_match", V.with_views(f"""
+WITH toks AS (SELECT water_type, site, wqi_mean, wqi_class,
+                     list_distinct(list_filter(regexp_split_to_array(replace(replace(lower(trim(site)), '(', ''), ')', ''),
+                                                                     '\\s+'), lambda t: t <> '')) AS st
+              FROM profile),
+cand AS (SELECT t.*, c.pos, c.key, c.lat, c.lon,
+                len(list_intersect(st, list_distinct(list_filter(regexp_split_to_array(
+                    replace(replace(lower(trim(c.key)), '(', ''), ')', ''), '\\s+'), lambda x: x <> '')))) AS score
+         FROM toks t JOIN {_COORDS_SQL} ON c.wt = t.water_type),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY water_type, site ORDER BY score DESC, pos) rn
+                        FROM cand) WHERE rn = 1)
+SELECT water_type, site, round(wqi_mean, 6) AS wqi_mean, wqi_class,
+       CASE WHEN score >= 2 THEN key END AS matched_key,
+       CASE WHEN score >= 2 THEN lat END AS lat, CASE WHEN score >= 2 THEN lon END AS lon
+FROM best""", "profile"))
+def q_site_coords_match(spark, sf):
+    m = LK.match_site(flows.site_profiles(spark, sf))
+    return m.select("water_type", "site", r6("wqi_mean"), "wqi_class", "matched_key", "lat", "lon")
+
+
+@register("short_site_names", V.with_views("""
+SELECT water_type, site, trim(replace(replace(replace(replace(replace(trim(split_part(site, '(', 1)),
+         ' River', ''), ' Canal', ''), ' Lake', ''), ' Sarovar', ''), ' Taal', '')) AS short_name,
+       substr(trim(replace(replace(replace(replace(replace(trim(split_part(site, '(', 1)),
+         ' River', ''), ' Canal', ''), ' Lake', ''), ' Sarovar', ''), ' Taal', '')), 1, 12) AS short_12
+FROM profile""", "profile"))
+def q_short_site_names(spark, sf):
+    p = flows.site_profiles(spark, sf)
+    return p.select("water_type", "site", short_site("site").alias("short_name"),
+                    short_site("site", 12).alias("short_12"))
+
+
+@register("pooled_params", V.with_views("""
+SELECT 'ground' AS water_type, l_orderkey, l_linenumber, round(ph, 6) AS ph, round(turbidity, 6) AS turbidity
+FROM readings WHERE water_type = 'ground'
+UNION ALL SELECT 'surface', l_orderkey, l_linenumber, round(ph, 6), round(turbidity, 6)
+FROM readings WHERE water_type = 'surface'""", "readings"))
+def q_pooled_params(spark, sf):
+    r = VW.readings(spark, sf)
+    cols = ["l_orderkey", "l_linenumber", r6("ph"), r6("turbidity")]
+    return LK.pool({"ground": r.where("water_type = 'ground'").select(*cols),
+                    "surface": r.where("water_type = 'surface'").select(*cols)})

@@ -159,13 +159,106 @@ WHERE {_present(RAW_NUM.values())} >= 7
 """
 
 
+# ------------------------------------------------------------------ people
+
+from hydrosift.sources.lookups import (  # noqa: E402
+    HIGH_RISK_CLASSES, RECOMMENDATIONS, SITE_WQI_CLASS, SYMPTOM_WEIGHTS, TRIGGER_TEXT, symptom_title)
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_KEYS = "[" + ", ".join(_lit(k) for k, _ in SITE_WQI_CLASS) + "]"
+_SOURCES = {"AUTOMOBILE": "River", "BUILDING": "Tube well", "FURNITURE": "Tap water",
+            "HOUSEHOLD": "Hand pump", "MACHINERY": "Open well"}
+
+PEOPLE = f"""
+SELECT c_custkey AS person_id, c_name AS name, CAST(18 + c_custkey % 60 AS INTEGER) AS age,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'resident' || CAST(c_custkey AS VARCHAR) || '@example.org' END AS email,
+  CASE WHEN c_custkey % 53 = 0 THEN NULL
+       WHEN c_custkey % 41 = 0 THEN {_KEYS}[CAST((c_nationkey + 5) % 14 AS INTEGER) + 1] || ' / '
+            || coalesce({_KEYS}[CAST(c_nationkey % 15 AS INTEGER) + 1], n_name)
+       WHEN c_nationkey % 15 < 14 THEN {_KEYS}[CAST(c_nationkey % 15 AS INTEGER) + 1] || ', ' || n_name
+       ELSE n_name || ' village' END AS nearest_site,
+  CASE {" ".join(f"WHEN c_mktsegment = '{k}' THEN '{v}'" for k, v in _SOURCES.items())} ELSE 'Unknown' END
+    AS drinking_water_source,
+  CASE WHEN c_acctbal < 0 THEN 'Unsatisfactory' WHEN c_acctbal < 1500 THEN 'Unfiltered' ELSE 'Satisfactory' END
+    AS drinking_water_quality,
+  CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_acctbal < 0 THEN 'No' ELSE 'Yes' END AS has_toilet,
+  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'no' ELSE 'Yes' END AS uses_purifier,
+  CASE WHEN c_acctbal > 5000 THEN 'Yes' ELSE 'No' END AS visited_doctor,
+  CAST(2 + c_custkey % 7 AS INTEGER) AS family_size,
+  {", ".join(f"list_contains(coalesce(u.sym_ids, []), {i}) AS {n}" for i, (n, _) in enumerate(SYMPTOM_WEIGHTS))}
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT o_custkey, list(DISTINCT CAST(o_orderkey % 20 AS INTEGER)) AS sym_ids FROM orders
+           WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) u ON c_custkey = u.o_custkey
+"""
+
+_CLASS_CASE = ("CASE " + " ".join(f"WHEN contains(lower(trim(nearest_site)), {_lit(k.lower())}) THEN {_lit(c)}"
+                                  for k, c in SITE_WQI_CLASS) + " ELSE 'Unknown' END")
+_HIGH = "(" + ", ".join(_lit(c) for c in HIGH_RISK_CLASSES) + ")"
+_NEG = "('no', 'false', '0')"
+
+PEOPLE1 = f"""
+SELECT *, {_CLASS_CASE} AS wqi_class,
+  {" + ".join(f"(CASE WHEN {n} THEN {w} ELSE 0 END)" for n, w in SYMPTOM_WEIGHTS)} AS symptom_score,
+  {" + ".join(f"(CASE WHEN {n} THEN 1 ELSE 0 END)" for n, w in SYMPTOM_WEIGHTS)} AS symptom_count,
+  list_filter([{", ".join(f"CASE WHEN {n} THEN {_lit(symptom_title(n))} END" for n, _ in SYMPTOM_WEIGHTS)}],
+              lambda x: x IS NOT NULL) AS symptoms
+FROM people
+"""
+
+PEOPLE2 = f"""
+SELECT *, list_filter([
+  CASE WHEN wqi_class IN {_HIGH} THEN 'Lives near ' || wqi_class || ' WQI site ('
+       || trim(coalesce(nearest_site, 'None')) || ')' END,
+  CASE WHEN contains(lower(drinking_water_source), 'river') OR contains(lower(drinking_water_source), 'well')
+       THEN {_lit(TRIGGER_TEXT["source"])} END,
+  CASE WHEN contains(lower(drinking_water_quality), 'unsatisfactory')
+         OR contains(lower(drinking_water_quality), 'unfiltered') THEN {_lit(TRIGGER_TEXT["quality"])} END,
+  CASE WHEN lower(has_toilet) IN {_NEG} THEN {_lit(TRIGGER_TEXT["toilet"])} END,
+  CASE WHEN lower(uses_purifier) IN {_NEG} AND wqi_class IN {_HIGH} THEN {_lit(TRIGGER_TEXT["purifier"])} END,
+  CASE WHEN symptom_count >= 2 THEN CAST(symptom_count AS VARCHAR) || ' health symptoms reported (severity score: '
+       || CAST(symptom_score AS VARCHAR) || ')' END], lambda x: x IS NOT NULL) AS triggers
+FROM people1
+"""
+
+SCORED_PEOPLE = """
+SELECT *, CASE WHEN len(triggers) >= 3 OR symptom_score >= 6 THEN 'CRITICAL'
+               WHEN len(triggers) = 2 OR symptom_score >= 4 THEN 'HIGH'
+               WHEN len(triggers) = 1 THEN 'MODERATE' ELSE 'LOW' END AS risk_level,
+          CAST(len(triggers) * 10 + symptom_score AS INTEGER) AS risk_score
+FROM people2
+"""
+
+_R = RECOMMENDATIONS
+RECS = f"""list_filter([
+  CASE WHEN wqi_class IN {_HIGH} THEN {_lit(_R["avoid_source"])} END,
+  CASE WHEN wqi_class IN {_HIGH} THEN {_lit(_R["purifier"])} END,
+  CASE WHEN lower(has_toilet) IN {_NEG} THEN {_lit(_R["sanitation"])} END,
+  CASE WHEN list_contains(symptoms, 'Kidney Disease') OR list_contains(symptoms, 'Bone Disease')
+       THEN {_lit(_R["kidney_bone"])} END,
+  CASE WHEN list_contains(symptoms, 'Jaundice') OR list_contains(symptoms, 'Diarrhea')
+         OR list_contains(symptoms, 'Dysentery') THEN {_lit(_R["waterborne"])} END,
+  CASE WHEN list_contains(symptoms, 'Anemia') OR list_contains(symptoms, 'Weight Loss')
+       THEN {_lit(_R["nutrition"])} END,
+  CASE WHEN risk_level IN ('CRITICAL', 'HIGH') THEN {_lit(_R["phc"])} END,
+  CASE WHEN risk_level IN ('CRITICAL', 'HIGH') THEN {_lit(_R["report"])} END,
+  {_lit(_R["boil"])}, {_lit(_R["wash"])}], lambda x: x IS NOT NULL)"""
+
+
 def with_views(body: str, *names: str, extra: dict | None = None) -> str:
     """Prefix ``body`` with the named views as CTEs (dependencies first)."""
     defs = {"readings": READINGS, "scored": SCORED, "profile": PROFILE, "raw": RAW,
-            "clean1": CLEAN1, "clean2": CLEAN2}
+            "clean1": CLEAN1, "clean2": CLEAN2, "people": PEOPLE, "people1": PEOPLE1,
+            "people2": PEOPLE2, "sp": SCORED_PEOPLE}
     deps = {"scored": {"readings"}, "profile": {"scored"}, "raw": {"readings"},
-            "clean1": {"raw"}, "clean2": {"clean1"}}
-    order = ["readings", "scored", "profile", "raw", "clean1", "clean2"]
+            "clean1": {"raw"}, "clean2": {"clean1"}, "people1": {"people"},
+            "people2": {"people1"}, "sp": {"people2"}}
+    order = ["readings", "scored", "profile", "raw", "clean1", "clean2", "people", "people1",
+             "people2", "sp"]
     need = set(names)
     while True:
         more = set().union(*[deps.get(n, set()) for n in need]) - need
@@ -174,4 +267,7 @@ def with_views(body: str, *names: str, extra: dict | None = None) -> str:
         need |= more
     ctes = [f"{n} AS ({defs[n]})" for n in order if n in need]
     ctes += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(ctes) + ",\n" + b[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

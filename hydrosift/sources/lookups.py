@@ -141,9 +141,45 @@ MODEL_CONSTANTS = [
     ("XGBoost", 0.50, 0.87),
     ("K-Means", 0.70, 0.75),
 ]
+# FIXED VALUES: trigger messages of the person risk rules.
+TRIGGER_TEXT = {
+    "site": "Lives near {cls} WQI site ({site})",
+    "source": "Drinking from unprotected water source (river/open well)",
+    "quality": "Drinking water quality reported as unsatisfactory/unfiltered",
+    "toilet": "No access to private toilet (open defecation)",
+    "purifier": "No water purifier used despite living near polluted site",
+    "symptoms": "{n} health symptoms reported (severity score: {score})",
+}
+
+# FIXED VALUES: recommendation lines, in the order they are given.
+RECOMMENDATIONS = {
+    "avoid_source": "Avoid using river or open well water for drinking and cooking.",
+    "purifier": "Install a certified water purifier (RO/UV) immediately.",
+    "sanitation": "Access to sanitation facilities is critical \u2014 contact local Panchayat.",
+    "kidney_bone": ("High fluoride/nitrate levels linked to kidney and bone issues \u2014 "
+                    "get water tested urgently."),
+    "waterborne": "Water-borne disease symptoms detected \u2014 seek medical attention immediately.",
+    "nutrition": "Nutritional deficiency suspected \u2014 consult a doctor for blood tests.",
+    "phc": "Visit the nearest Primary Health Centre (PHC) as soon as possible.",
+    "report": "Report water quality issues to Haryana State Pollution Control Board.",
+    "boil": "Boil drinking water for at least 1 minute before consumption.",
+    "wash": "Wash hands with soap before eating and after using toilet.",
+}
+
+# FIXED VALUES: alert message formats.
+PERSON_SUBJECT = "[{level} RISK] Water Quality Health Alert \u2014 {name}"
+AUTHORITY_SUBJECT = "[HEALTH ALERT \u2014 {level}] {name} | Site: {site}"
+GW_ALERT_SUBJECT = "Groundwater Quality Alert"
+GW_ALERT_BODY = "Alert: Groundwater WQI at {site} is {wqi}, indicating high risk."
+NO_SYMPTOMS_TEXT = "No symptoms reported."
 # ---------------------------------------------------------------------------
 
 
+def symptom_title(field: str) -> str:
+    """Display name of a symptom field: underscores to spaces, title case."""
+    return field.replace("_", " ").title()
+
+
 def dms_to_decimal(d: float, m: float, s: float, direction: str) -> float:
     v = float(d) + float(m) / 60 + float(s) / 3600
     return round(-v if direction in ("S", "W") else v, 6)

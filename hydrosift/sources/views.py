@@ -117,8 +117,8 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.array(*[F.lit(k) for k, _ in SITE_WQI_CLASS])
     nk = F.col("c_nationkey")
     idx = F.pmod(nk, F.lit(15))
-    key_a = F.element_at(keys, (idx + 1).cast("int"))
-    key_b = F.element_at(keys, (F.pmod(nk + 5, F.lit(14)) + 1).cast("int"))
+    key_a = F.try_element_at(keys, (idx + 1).cast("int"))
+    key_b = F.try_element_at(keys, (F.pmod(nk + 5, F.lit(14)) + 1).cast("int"))
     ck = F.col("c_custkey")
     site = (F.when(F.pmod(ck, F.lit(53)) == 0, F.lit(None).cast("string"))
              .when(F.pmod(ck, F.lit(41)) == 0, F.concat(key_b, F.lit(" / "), F.coalesce(key_a, F.col("n_name"))))
