@@ -17,68 +17,102 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
 
 
 def _g(group_cols) -> list[str]:
     return list(group_cols or [])
 
 
-def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str,
-                      probs: Sequence[float], names: Sequence[str] | None = None,
-                      accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Linear-interpolated percentiles per group, exact (numpy's default rule).
+def order_stats(df: DataFrame, group_cols: Sequence[str], value: str,
+                approx_p: Sequence[float], ranks, names: Sequence[str],
+                accuracy: int = DEFAULT_ACCURACY, extra: DataFrame | None = None) -> DataFrame:
+    """Values at given 0-based ranks per group, exact, without sorting a group.
 
-    Two scans.  Scan 1 aggregates the group size and a bounded sketch that
-    brackets each target rank.  Scan 2 (partially aggregated, map-side) counts
-    the values below each bracket and collects only the values inside it: at
-    most ``4*accuracy`` values for a small group, about ``8n/accuracy`` for a
-    large one, never the whole group.  The stats table has one row per group;
-    its join is left to AQE, which broadcasts it when it is measured small.
+    ``ranks[i]`` is a Column over the per-group size ``__n`` (and columns of
+    ``extra``, a per-group table joined on ``group_cols``); ``approx_p[i]`` is
+    the rank's approximate fraction of ``n`` (within one row).
 
-    Returns ``group_cols + names``; groups with no non-null value are absent.
+    Two scans.  Scan 1 aggregates ``n`` and a bounded sketch
+    (``percentile_approx``) that brackets each target rank.  Scan 2, map-side
+    combined, counts the values below each bracket and collects only the
+    values inside it: at most ``4*accuracy`` values for a small group, about
+    ``8n/accuracy`` for a large one, never the whole group.  The per-group
+    table is joined without a hint; AQE broadcasts it when measured small.
+    Returns ``group_cols + names + ['__n']``; a negative rank gives NULL.
     """
     g = _g(group_cols)
     if not g:
-        out = exact_percentiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs,
-                                names, accuracy)
+        out = order_stats(df.withColumn("__all", F.lit(0)), ["__all"], value, approx_p, ranks,
+                          names, accuracy, extra.withColumn("__all", F.lit(0)) if extra is not None else None)
         return out.drop("__all")
-    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    P = len(probs)
+    P = len(approx_p)
     eps = 3.0 / accuracy
     v = F.col(value).cast("double")
     d = df.select(*g, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    lo_p = [max(p - eps, 0.0) for p in probs]
-    hi_p = [min(p + eps, 1.0) for p in probs]
+    fracs = sorted(set(float(p) for p in approx_p))
+    lo_p = [min(max(p - eps, 0.0), 1.0) for p in fracs]
+    hi_p = [max(min(p + eps, 1.0), 0.0) for p in fracs]
     stats = d.groupBy(*g).agg(
         F.count(F.lit(1)).alias("__n"),
         F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__q"))
-    small = F.col("__n") <= 4 * accuracy
+    if extra is not None:
+        stats = stats.join(extra, g)
     inf = F.lit(float("inf"))
-    rows = []
-    for i, p in enumerate(probs):
-        lo = F.when(small | F.lit(lo_p[i] == 0.0), -inf).otherwise(F.col("__q")[i])
-        hi = F.when(small | F.lit(hi_p[i] == 1.0), inf).otherwise(F.col("__q")[P + i])
-        pos = F.lit(float(p)) * (F.col("__n") - 1)
-        rows.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"),
-                             F.floor(pos).alias("k0"), F.ceil(pos).alias("k1"),
-                             (pos - F.floor(pos)).alias("t")))
-    stats = stats.select(*g, F.array(*rows).alias("__t"))
-    e = (d.join(stats, g)
-         .select(*g, "__v", F.explode("__t").alias("__x")))
+    ks = [F.struct(F.lit(i).alias("i"), ranks[i].cast("long").alias("k")) for i in range(P)]
+    # Ranks sharing an approximate fraction share one bracket; a small group
+    # has a single bracket (the whole group) holding every rank.
+    per_frac = []
+    for b, p in enumerate(fracs):
+        lo = -inf if lo_p[b] == 0.0 else F.col("__q")[b]
+        hi = inf if hi_p[b] == 1.0 else F.col("__q")[len(fracs) + b]
+        mine = [ks[i] for i in range(P) if float(approx_p[i]) == p]
+        per_frac.append(F.struct(F.lit(b).alias("b"), lo.alias("lo"), hi.alias("hi"),
+                                 F.array(*mine).alias("ks")))
+    whole = F.array(F.struct(F.lit(-1).alias("b"), (-inf).alias("lo"), inf.alias("hi"),
+                             F.array(*ks).alias("ks")))
+    brackets = F.when(F.col("__n") <= 4 * accuracy, whole).otherwise(F.array(*per_frac))
+    stats = stats.select(*g, "__n", brackets.alias("__t"))
+    e = d.join(stats, g).select(*g, "__n", "__v", F.explode("__t").alias("__x"))
     x = F.col("__x")
     inband = (F.col("__v") >= x["lo"]) & (F.col("__v") <= x["hi"])
-    agg = e.groupBy(*g, x["i"].alias("__i")).agg(
+    agg = e.groupBy(*g, x["b"].alias("__b")).agg(
         F.count_if(F.col("__v") < x["lo"]).alias("__below"),
         F.array_sort(F.collect_list(F.when(inband, F.col("__v")))).alias("__band"),
-        F.first(x["k0"]).alias("__k0"), F.first(x["k1"]).alias("__k1"),
-        F.first(x["t"]).alias("__t"))
-    a = F.try_element_at("__band", (F.col("__k0") - F.col("__below") + 1).cast("int"))
-    b = F.try_element_at("__band", (F.col("__k1") - F.col("__below") + 1).cast("int"))
-    val = a + (b - a) * F.col("__t")
-    picked = agg.select(*g, "__i", val.alias("__val"))
-    return picked.groupBy(*g).agg(*[F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(n)
-                                    for i, n in enumerate(names)])
+        F.first(x["ks"]).alias("__ks"), F.first("__n").alias("__n"))
+
+    def pick(kk):
+        pos = (kk["k"] - F.col("__below") + 1).cast("int")
+        return F.struct(kk["i"].alias("i"),
+                        F.when((kk["k"] >= 0) & (pos >= 1), F.try_element_at("__band", pos)).alias("val"))
+
+    picked = agg.select(*g, "__n", F.inline(F.transform("__ks", pick)))
+    return picked.groupBy(*g).agg(*[F.max(F.when(F.col("i") == i, F.col("val"))).alias(n)
+                                    for i, n in enumerate(names)], F.first("__n").alias("__n"))
+
+
+def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str,
+                      probs: Sequence[float], names: Sequence[str] | None = None,
+                      accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Linear-interpolated percentiles per group, exact (numpy's default rule),
+    built on ``order_stats``.  Groups with no non-null value are absent."""
+    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    n = F.col("__n")
+    ranks, approx, tmp = [], [], []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (n - 1)
+        ranks += [F.floor(pos), F.ceil(pos)]
+        approx += [p, p]
+        tmp += [f"__a{i}", f"__b{i}"]
+    o = order_stats(df, group_cols, value, approx, ranks, tmp, accuracy)
+    g = _g(group_cols)
+    outs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (n - 1)
+        t = pos - F.floor(pos)
+        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        outs.append((a + (b - a) * t).alias(names[i]))
+    return o.select(*g, *outs)
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value: str, name: str = "median",

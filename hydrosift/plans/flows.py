@@ -79,3 +79,26 @@ def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hydrosift.operators import survey
     return survey.score_people(views.people(spark, sf_dir))
+
+
+# ------------------------------------------------------------ ML frame
+
+ML_FEATURES = ["ph", "turbidity", "chloride", "sulphate", "nitrate", "fluoride", "do", "bod", "iron"]
+
+
+def ml_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (water type, site, year): mean parameters, mean index and
+    its class; ``key`` is unique.  Some nitrate / iron means are blanked by a
+    keyed hash so imputation has work to do."""
+    from hydrosift.operators.common import hash_long
+    s = scored_readings(spark, sf_dir)
+    f = s.groupBy("water_type", "site", "year").agg(
+        *[F.avg(p).alias(p) for p in ML_FEATURES], F.avg("wqi").alias("wqi"))
+    f = f.withColumn("key", F.concat_ws("|", "water_type", "site", F.col("year").cast("string")))
+    h = hash_long("key", seed="0")
+    f = f.withColumns({
+        "nitrate": F.when(F.pmod(h, F.lit(7)) == 0, F.lit(None).cast("double")).otherwise(F.col("nitrate")),
+        "iron": F.when(F.pmod(h, F.lit(11)) == 0, F.lit(None).cast("double")).otherwise(F.col("iron")),
+        "label": F.when(F.col("water_type") == "ground", W.wqi_class_gw("wqi")).otherwise(W.wqi_class_sw("wqi")),
+    })
+    return f.select("key", "water_type", "site", "year", *ML_FEATURES, "wqi", "label")

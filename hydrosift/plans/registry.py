@@ -27,6 +27,13 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def rs6(c, name=None):
+    """Tie-stable rounding for means of decimal-like data: a value exactly on
+    a half-way point is nudged up by 1e-9 first, identically in the oracle."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col + 1e-9, 6).alias(name or (c if isinstance(c, str) else None))
+
+
 def r6(c, name=None):
     col = F.col(c) if isinstance(c, str) else c
     return F.round(col, 6).alias(name or (c if isinstance(c, str) else None))
@@ -550,3 +557,123 @@ def q_pooled_params(spark, sf):
     cols = ["l_orderkey", "l_linenumber", r6("ph"), r6("turbidity")]
     return LK.pool({"ground": r.where("water_type = 'ground'").select(*cols),
                     "surface": r.where("water_type = 'surface'").select(*cols)})
+
+
+# ------------------------------------------------------------ ML preparation
+
+from hydrosift.operators import prep as PR  # noqa: E402
+
+MLF = flows.ML_FEATURES
+U42 = V.unit_hash_sql("key", "42")
+
+
+def _ml(spark, sf):
+    return flows.ml_frame(spark, sf)
+
+
+@register("ml_frame", V.with_views(
+    "SELECT key, water_type, site, year, " + ", ".join(f'round("{c}" + 1e-9, 6) AS "{c}"' for c in MLF)
+    + ", round(wqi + 1e-9, 6) AS wqi, label FROM ml", "ml"))
+def q_ml_frame(spark, sf):
+    m = _ml(spark, sf)
+    return m.select("key", "water_type", "site", "year", *[rs6(c) for c in MLF], rs6("wqi"), "label")
+
+
+@register("label_encoding", V.with_views(
+    "SELECT key, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_idx FROM ml", "ml"))
+def q_label_encoding(spark, sf):
+    df, _ = PR.encode_label(_ml(spark, sf), "label")
+    return df.select("key", "label", "label_idx")
+
+
+@register("exact_split", V.with_views(f"""
+SELECT key, row_number() OVER (ORDER BY {U42}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM ml""", "ml"))
+def q_exact_split(spark, sf):
+    return PR.split(_ml(spark, sf), "key", 0.2, 42).select("key", "is_test")
+
+
+QUOTAS_SQL = """
+SELECT label, quota FROM (
+  SELECT label, CAST(f + CASE WHEN row_number() OVER (ORDER BY e - f DESC, label) <= T - sum(f) OVER () THEN 1 ELSE 0 END
+                AS BIGINT) AS quota
+  FROM (SELECT label, e, floor(e) AS f, T FROM (
+          SELECT label, T * n_c / N AS e, T FROM (
+            SELECT label, n_c, sum(n_c) OVER () AS N, ceil(0.2 * sum(n_c) OVER ()) AS T
+            FROM (SELECT label, count(*) AS n_c FROM ml GROUP BY label) a) b) c) d) e"""
+
+
+@register("stratified_split", V.with_views(f"""
+SELECT key, label, row_number() OVER (PARTITION BY label ORDER BY {U42}) <= q.quota AS is_test
+FROM ml JOIN quotas q USING (label)""", "ml", extra={"quotas": QUOTAS_SQL}))
+def q_stratified_split(spark, sf):
+    return PR.stratified_split(_ml(spark, sf), "key", "label", 0.2, 42).select("key", "label", "is_test")
+
+
+def _fold_sql(k: int, part: str = "") -> str:
+    r = f"(row_number() OVER ({part} ORDER BY {U42}) - 1)"
+    n = f"count(*) OVER ({part})"
+    terms = [f"(CASE WHEN {r} >= {j} * floor({n} / {k}) + least({j}, {n} % {k}) THEN 1 ELSE 0 END)"
+             for j in range(1, k)]
+    return "CAST(" + " + ".join(terms) + " AS INTEGER)"
+
+
+@register("kfold_assign", V.with_views(f"SELECT key, {_fold_sql(5)} AS fold FROM ml", "ml"))
+def q_kfold_assign(spark, sf):
+    return PR.kfold(_ml(spark, sf), "key", 5, 42).select("key", "fold")
+
+
+@register("stratified_kfold_assign", V.with_views(
+    f"SELECT key, label, {_fold_sql(5, 'PARTITION BY label')} AS fold FROM ml", "ml"))
+def q_stratified_kfold_assign(spark, sf):
+    return PR.stratified_kfold(_ml(spark, sf), "key", "label", 5, 42).select("key", "label", "fold")
+
+
+@register("median_impute", V.with_views(
+    "SELECT key, " + ", ".join(
+        f'round(coalesce("{c}", (SELECT quantile_cont("{c}", 0.5) FROM ml)) + 1e-9, 6) AS "{c}"' for c in MLF)
+    + " FROM ml", "ml"))
+def q_median_impute(spark, sf):
+    m = _ml(spark, sf)
+    out = PR.median_impute(m, m, MLF)
+    return out.select("key", *[rs6(c) for c in MLF])
+
+
+STD_COLS = ["ph", "turbidity", "chloride", "sulphate", "do", "bod"]
+
+
+@register("standardize", V.with_views(
+    "SELECT key, is_test, " + ", ".join(
+        f'round(("{c}" - (SELECT avg("{c}") FROM tr)) / '
+        f'(SELECT CASE WHEN stddev_pop("{c}") = 0 THEN 1 ELSE stddev_pop("{c}") END FROM tr), 6) AS "{c}"'
+        for c in STD_COLS) + " FROM sp_ml",
+    "ml", extra={
+        "sp_ml": f"SELECT *, row_number() OVER (ORDER BY {U42}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM ml",
+        "tr": "SELECT * FROM sp_ml WHERE NOT is_test"}))
+def q_standardize(spark, sf):
+    m = PR.split(_ml(spark, sf), "key", 0.2, 42)
+    out = PR.standardize(m.where(~F.col("is_test")), m, STD_COLS)
+    return out.select("key", "is_test", *[r6(c) for c in STD_COLS])
+
+
+NOISE_COLS = ["ph", "turbidity", "nitrate", "iron"]
+
+
+def _noise_sql(c: str, frac: float) -> str:
+    parts = f"key || '|' || CAST(cp AS VARCHAR) || '|' || '{c}'"
+    u1 = f"({V.hash_long_sql(parts, '42', 1)} / {V.D(16 ** 15)})"
+    u2 = f"({V.hash_long_sql(parts, '42', 16)} / {V.D(16 ** 15)})"
+    z = f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2}))"
+    return (f'CASE WHEN cp > 0 AND "{c}" IS NOT NULL THEN "{c}" + ({frac} * (SELECT stddev_samp("{c}") FROM ml)) '
+            f'* {z} ELSE "{c}" END')
+
+
+@register("noise_augment", V.with_views(
+    "SELECT key, CAST(cp AS INTEGER) AS copy, label, " + ", ".join(
+        f'round({_noise_sql(c, 0.01)}, 6) AS "{c}"' for c in NOISE_COLS)
+    + ", round(" + _noise_sql("wqi", 0.005) + ", 6) AS wqi"
+    + " FROM ml, (SELECT range AS cp FROM range(4)) c", "ml"))
+def q_noise_augment(spark, sf):
+    m = _ml(spark, sf)
+    a = PR.augment_noise(m, "key", NOISE_COLS, 3, 0.01, 42, target="wqi", target_frac=0.005)
+    return a.select("key", F.col("copy").cast("int").alias("copy"), "label", *[r6(c) for c in NOISE_COLS],
+                    r6("wqi"))

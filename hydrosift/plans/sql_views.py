@@ -249,16 +249,42 @@ RECS = f"""list_filter([
   {_lit(_R["boil"])}, {_lit(_R["wash"])}], lambda x: x IS NOT NULL)"""
 
 
+# ------------------------------------------------------------------ ML frame
+
+ML_FEATURES = ["ph", "turbidity", "chloride", "sulphate", "nitrate", "fluoride", "do", "bod", "iron"]
+
+
+def hash_long_sql(expr: str, seed: str = "0", offset: int = 1) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}|' || {expr}), {offset}, 15)) AS BIGINT)"
+
+
+def unit_hash_sql(expr: str, seed: str = "42") -> str:
+    return f"({hash_long_sql(expr, seed)} / {D(16 ** 15)})"
+
+
+ML = f"""
+SELECT key, water_type, site, year, ph, turbidity, chloride, sulphate,
+       CASE WHEN {hash_long_sql('key')} % 7 = 0 THEN NULL ELSE nitrate END AS nitrate,
+       fluoride, "do", bod,
+       CASE WHEN {hash_long_sql('key')} % 11 = 0 THEN NULL ELSE iron END AS iron,
+       wqi, CASE WHEN water_type = 'ground' THEN {GW_CLASS.format(x='wqi')} ELSE {SW_CLASS.format(x='wqi')} END
+         AS label
+FROM (SELECT water_type || '|' || site || '|' || CAST(year AS VARCHAR) AS key, water_type, site, year,
+             {", ".join(f'avg("{p}") AS "{p}"' for p in ML_FEATURES)}, avg(wqi) AS wqi
+      FROM scored GROUP BY water_type, site, year) t
+"""
+
+
 def with_views(body: str, *names: str, extra: dict | None = None) -> str:
     """Prefix ``body`` with the named views as CTEs (dependencies first)."""
     defs = {"readings": READINGS, "scored": SCORED, "profile": PROFILE, "raw": RAW,
             "clean1": CLEAN1, "clean2": CLEAN2, "people": PEOPLE, "people1": PEOPLE1,
-            "people2": PEOPLE2, "sp": SCORED_PEOPLE}
+            "people2": PEOPLE2, "sp": SCORED_PEOPLE, "ml": ML}
     deps = {"scored": {"readings"}, "profile": {"scored"}, "raw": {"readings"},
             "clean1": {"raw"}, "clean2": {"clean1"}, "people1": {"people"},
-            "people2": {"people1"}, "sp": {"people2"}}
+            "people2": {"people1"}, "sp": {"people2"}, "ml": {"scored"}}
     order = ["readings", "scored", "profile", "raw", "clean1", "clean2", "people", "people1",
-             "people2", "sp"]
+             "people2", "sp", "ml"]
     need = set(names)
     while True:
         more = set().union(*[deps.get(n, set()) for n in need]) - need
