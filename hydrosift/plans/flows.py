@@ -102,3 +102,29 @@ def ml_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label": F.when(F.col("water_type") == "ground", W.wqi_class_gw("wqi")).otherwise(W.wqi_class_sw("wqi")),
     })
     return f.select("key", "water_type", "site", "year", *ML_FEATURES, "wqi", "label")
+
+
+# ------------------------------------------------------------ predictions for evaluation
+
+EVAL_MODELS = {"drop_nitrate": "nitrate", "drop_turbidity": "turbidity"}
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule-based predictors for the evaluation operators: the index recomputed
+    without one parameter, scored against the full index and its class.
+
+    One branch per (water type, model), so each branch carries only its own
+    index expressions."""
+    from hydrosift.operators.lookup import append
+    r = views.readings(spark, sf_dir)
+    parts = []
+    for wt, index, cls, pmap in (("ground", W.bis_wqi, W.wqi_class_gw, views.GW_PARAM_MAP),
+                                 ("surface", W.nsf_wqi, W.wqi_class_sw, views.SW_PARAM_MAP)):
+        base = r.where(F.col("water_type") == wt).withColumn("actual", index(pmap))
+        for pos, (m, drop) in enumerate(EVAL_MODELS.items()):
+            pred = index({k: v for k, v in pmap.items() if v != drop})
+            b = base.select("l_orderkey", "l_linenumber", "water_type", F.lit(m).alias("model"),
+                            F.lit(pos).alias("pos"), "actual", pred.alias("predicted"))
+            parts.append(b.withColumn("actual_class", cls("actual"))
+                          .withColumn("predicted_class", cls("predicted")))
+    return append(*parts)

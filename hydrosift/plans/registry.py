@@ -677,3 +677,195 @@ def q_noise_augment(spark, sf):
     a = PR.augment_noise(m, "key", NOISE_COLS, 3, 0.01, 42, target="wqi", target_frac=0.005)
     return a.select("key", F.col("copy").cast("int").alias("copy"), "label", *[r6(c) for c in NOISE_COLS],
                     r6("wqi"))
+
+
+# ------------------------------------------------------------ evaluation
+
+from hydrosift.operators import evaluate as EV  # noqa: E402
+
+EG = ["water_type", "model"]
+
+
+def _pred(spark, sf):
+    return flows.predictions(spark, sf)
+
+
+CONF_SQL = """
+WITH c AS (SELECT water_type, model, actual_class AS actual, predicted_class AS predicted, count(*) AS n
+           FROM pred GROUP BY ALL),
+lab AS (SELECT DISTINCT water_type, model, actual AS label FROM c
+        UNION SELECT DISTINCT water_type, model, predicted FROM c),
+grid AS (SELECT a.water_type, a.model, a.label AS actual, b.label AS predicted FROM lab a
+         JOIN lab b ON a.water_type = b.water_type AND a.model = b.model),
+full_ AS (SELECT g.*, coalesce(c.n, 0) AS n FROM grid g LEFT JOIN c USING (water_type, model, actual, predicted))
+"""
+
+
+@register("eval_confusion", V.with_views(CONF_SQL + """
+SELECT water_type, model, actual, predicted, CAST(n AS BIGINT) AS n,
+       round(n / (sum(n) OVER (PARTITION BY water_type, model, actual) + 1e-9), 6) AS share FROM full_""", "pred"))
+def q_eval_confusion(spark, sf):
+    c = EV.confusion(_pred(spark, sf), "actual_class", "predicted_class", EG)
+    return c.select(*EG, "actual", "predicted", F.col("n").cast("long").alias("n"), r6("share"))
+
+
+REPORT_SQL = """
+rep AS (SELECT water_type, model, label, support, tp, n_pred,
+               CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+        FROM (SELECT coalesce(a.water_type, p.water_type) AS water_type, coalesce(a.model, p.model) AS model,
+                     coalesce(a.label, p.label) AS label, coalesce(a.support, 0) AS support,
+                     coalesce(a.tp, 0) AS tp, coalesce(p.n_pred, 0) AS n_pred
+              FROM (SELECT water_type, model, actual AS label, sum(n) AS support,
+                           sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp FROM c GROUP BY ALL) a
+              FULL JOIN (SELECT water_type, model, predicted AS label, sum(n) AS n_pred FROM c GROUP BY ALL) p
+              ON a.water_type = p.water_type AND a.model = p.model AND a.label = p.label) x),
+rep2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                        ELSE 0.0 END AS f1 FROM rep)
+"""
+
+
+@register("eval_class_report", V.with_views(CONF_SQL + "," + REPORT_SQL + """
+SELECT water_type, model, label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM rep2""", "pred"))
+def q_eval_class_report(spark, sf):
+    r = EV.classification_report(_pred(spark, sf), "actual_class", "predicted_class", EG)
+    return r.select(*EG, "label", r6("precision"), r6("recall"), r6("f1"), "support")
+
+
+MCC_SQL = """
+tk AS (SELECT coalesce(t.water_type, p.water_type) AS water_type, coalesce(t.model, p.model) AS model,
+              coalesce(t.t, 0) AS t, coalesce(p.p, 0) AS p
+       FROM (SELECT water_type, model, actual AS k, sum(n) AS t FROM c GROUP BY ALL) t
+       FULL JOIN (SELECT water_type, model, predicted AS k, sum(n) AS p FROM c GROUP BY ALL) p
+       ON t.water_type = p.water_type AND t.model = p.model AND t.k = p.k),
+per AS (SELECT water_type, model, sum(CAST(p AS DOUBLE) * t) AS pt, sum(CAST(p AS DOUBLE) * p) AS pp,
+               sum(CAST(t AS DOUBLE) * t) AS tt FROM tk GROUP BY ALL),
+tot AS (SELECT water_type, model, CAST(sum(n) AS DOUBLE) AS s,
+               CAST(sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS DOUBLE) AS cc FROM c GROUP BY ALL),
+m AS (SELECT water_type, model, cc / s AS accuracy,
+             CASE WHEN sqrt((s * s - pp) * (s * s - tt)) <> 0
+                  THEN (cc * s - pt) / sqrt((s * s - pp) * (s * s - tt)) ELSE 0.0 END AS mcc
+      FROM tot JOIN per USING (water_type, model)),
+w AS (SELECT water_type, model, sum(precision * support) / sum(support) AS precision_w,
+             sum(recall * support) / sum(support) AS recall_w, sum(f1 * support) / sum(support) AS f1_w
+      FROM rep2 GROUP BY ALL),
+cm AS (SELECT * FROM w JOIN m USING (water_type, model))
+"""
+
+
+@register("eval_class_metrics", V.with_views(CONF_SQL + "," + REPORT_SQL + "," + MCC_SQL + """
+SELECT water_type, model, round(accuracy, 6) AS accuracy, round(precision_w, 6) AS precision_w,
+       round(recall_w, 6) AS recall_w, round(f1_w, 6) AS f1_w, round(mcc, 6) AS mcc FROM cm""", "pred"))
+def q_eval_class_metrics(spark, sf):
+    m = EV.classification_metrics(_pred(spark, sf), "actual_class", "predicted_class", EG)
+    return m.select(*EG, *[r6(c) for c in ["accuracy", "precision_w", "recall_w", "f1_w", "mcc"]])
+
+
+REG_SQL = """
+rm AS (SELECT water_type, model, 1 - sse / (n * vp) AS r2, sqrt(sse / n) AS rmse, mae
+       FROM (SELECT water_type, model, count(*) AS n, sum((actual - predicted) * (actual - predicted)) AS sse,
+                    avg(abs(actual - predicted)) AS mae, var_pop(actual) AS vp
+             FROM pred WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY ALL) t)
+"""
+
+
+@register("eval_regression_metrics", V.with_views("WITH " + REG_SQL + """
+SELECT water_type, model, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
+       round(r2, 6) AS nse FROM rm""", "pred"))
+def q_eval_regression_metrics(spark, sf):
+    m = EV.regression_metrics(_pred(spark, sf), "actual", "predicted", EG)
+    return m.select(*EG, r6("r2"), r6("rmse"), r6("mae"), r6("nse"))
+
+
+@register("eval_residuals", V.with_views("""
+SELECT l_orderkey, l_linenumber, water_type, model, round(actual - predicted, 6) + 0.0 AS residual FROM pred""", "pred"))
+def q_eval_residuals(spark, sf):
+    r = EV.residuals(_pred(spark, sf), "actual", "predicted")
+    return r.select("l_orderkey", "l_linenumber", *EG, r6("residual"))
+
+
+@register("eval_line_fit", V.with_views("""
+SELECT l_orderkey, l_linenumber, p.water_type, p.model, round(predicted - (slope * actual + intercept), 6) + 0.0
+         AS line_residual
+FROM pred p JOIN (SELECT water_type, model, regr_slope(predicted, actual) AS slope,
+                         regr_intercept(predicted, actual) AS intercept FROM pred GROUP BY ALL) f
+  USING (water_type, model)""", "pred"))
+def q_eval_line_fit(spark, sf):
+    r = EV.line_fit_residuals(_pred(spark, sf), "actual", "predicted", EG)
+    return r.select("l_orderkey", "l_linenumber", *EG, r6("line_residual"))
+
+
+@register("eval_prediction_frame", V.with_views("""
+SELECT l_orderkey, l_linenumber, p.water_type, p.model, round(actual, 6) AS actual,
+       round(predicted, 6) AS predicted, round(lo, 6) AS lo, round(hi, 6) AS hi
+FROM pred p JOIN (SELECT water_type, model, least(min(actual), min(predicted)) AS lo,
+                         greatest(max(actual), max(predicted)) AS hi FROM pred GROUP BY ALL) l
+  USING (water_type, model)""", "pred"))
+def q_eval_prediction_frame(spark, sf):
+    r = EV.prediction_frame(_pred(spark, sf), "actual", "predicted", EG)
+    return r.select("l_orderkey", "l_linenumber", *EG, r6("actual"), r6("predicted"), r6("lo"), r6("hi"))
+
+
+def _scores(spark, sf):
+    p = _pred(spark, sf)
+    c = EV.classification_metrics(p, "actual_class", "predicted_class", EG)
+    r = EV.regression_metrics(p, "actual", "predicted", EG)
+    pos = p.select("model", "pos").distinct()
+    return c.join(r, EG).join(pos, "model")
+
+
+SCORES_SQL = CONF_SQL + "," + REPORT_SQL + "," + MCC_SQL + "," + REG_SQL + """,
+sc AS (SELECT cm.*, rm.r2, rm.rmse, rm.mae, pp.pos FROM cm JOIN rm USING (water_type, model)
+       JOIN (SELECT DISTINCT model, pos FROM pred) pp USING (model))
+"""
+
+
+@register("metric_leaderboard", V.with_views(SCORES_SQL + """
+SELECT water_type, model, round(accuracy, 4) AS accuracy, round(f1_w, 4) AS f1_w, round(mcc, 4) AS mcc,
+       round(r2, 4) AS r2, round(rmse, 4) AS rmse,
+       CAST(row_number() OVER (PARTITION BY water_type ORDER BY round(f1_w, 4) DESC, pos) AS INTEGER) AS rank
+FROM sc""", "pred"))
+def q_metric_leaderboard(spark, sf):
+    s = _scores(spark, sf).select(*EG, "pos", "accuracy", "f1_w", "mcc", "r2", "rmse")
+    lb = EV.leaderboard(s, "f1_w", 4, ["water_type"])
+    return lb.select(*EG, "accuracy", "f1_w", "mcc", "r2", "rmse", F.col("rank").cast("int").alias("rank"))
+
+
+@register("best_model", V.with_views(SCORES_SQL + " UNION ALL ".join(
+    f"SELECT water_type, '{m}' AS metric, model AS best_model FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY water_type ORDER BY {m} DESC, pos, model) AS rn FROM sc) WHERE rn = 1"
+    for m in ["accuracy", "f1_w", "mcc", "r2"]), "pred"))
+def q_best_model(spark, sf):
+    return EV.best_model(_scores(spark, sf), ["accuracy", "f1_w", "mcc", "r2"], ["water_type"])
+
+
+@register("metrics_long", V.with_views(SCORES_SQL + " UNION ALL ".join(
+    f"SELECT water_type, model, '{m}' AS metric, round({m}, 6) AS value FROM sc"
+    for m in ["accuracy", "f1_w", "mcc", "r2", "rmse"]), "pred"))
+def q_metrics_long(spark, sf):
+    lg = EV.metrics_long(_scores(spark, sf), EG, ["accuracy", "f1_w", "mcc", "r2", "rmse"])
+    return lg.select(*EG, "metric", r6("value"))
+
+
+@register("model_comparison", V.with_views(SCORES_SQL + """
+SELECT g.model, round(g.accuracy, 6) AS gw_accuracy, round(g.f1_w, 6) AS gw_f1_w,
+       round(greatest(0.0, (g.mcc + 0.21) / 1.21), 6) AS gw_mcc_norm,
+       round(s.accuracy, 6) AS sw_accuracy, round(s.f1_w, 6) AS sw_f1_w,
+       round(greatest(0.0, (s.mcc + 0.21) / 1.21), 6) AS sw_mcc_norm,
+       coalesce(k.interpretability, 0.5) AS interpretability, coalesce(k.cv_stability, 0.8) AS cv_stability
+FROM (SELECT * FROM sc WHERE water_type = 'ground') g JOIN (SELECT * FROM sc WHERE water_type = 'surface') s
+  USING (model)
+LEFT JOIN (VALUES ('KNN', 0.55, 0.87), ('Random Forest', 0.60, 0.98), ('SVM', 0.45, 0.91),
+                  ('Gradient Boosting', 0.55, 0.98), ('Decision Tree', 0.95, 0.92), ('XGBoost', 0.50, 0.87),
+                  ('K-Means', 0.70, 0.75)) k(model, interpretability, cv_stability) USING (model)""", "pred"))
+def q_model_comparison(spark, sf):
+    sc = _scores(spark, sf)
+    cols = ["model", "accuracy", "f1_w", "mcc"]
+    gw = sc.where("water_type = 'ground'").select(*cols)
+    sw = sc.where("water_type = 'surface'").select(*cols)
+    j = LK.compare_models(gw, sw)
+    return j.select("model", r6("gw_accuracy"), r6("gw_f1_w"), r6(W.mcc_norm("gw_mcc"), "gw_mcc_norm"),
+                    r6("sw_accuracy"), r6("sw_f1_w"), r6(W.mcc_norm("sw_mcc"), "sw_mcc_norm"),
+                    F.col("interpretability").cast("double").alias("interpretability"),
+                    F.col("cv_stability").cast("double").alias("cv_stability"))

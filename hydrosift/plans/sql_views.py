@@ -74,6 +74,30 @@ SW_WQI = f"""
   + {_nsf_w('turbidity', 0.08)} + {_nsf_w('nitrate', 0.10)}, {D(0)}))
 """
 
+GW_TERMS = {"ph": (1 / 8.5, f"(abs(ph - {D(7.0)}) / {D(8.5 - 7.0)} * 100)"),
+            "turbidity": (1 / 5.0, f"(turbidity / {D(5.0)} * 100)"),
+            "chloride": (1 / 250.0, f"(chloride / {D(250.0)} * 100)"),
+            "sulphate": (1 / 200.0, f"(sulphate / {D(200.0)} * 100)"),
+            "nitrate": (1 / 45.0, f"(nitrate / {D(45.0)} * 100)"),
+            "fluoride": (1 / 1.5, f"(fluoride / {D(1.5)} * 100)"),
+            "iron": (1 / 0.3, f"(iron / {D(0.3)} * 100)")}
+SW_TERMS = {"ph": (7.0, 8.5, 0.11), '"do"': (14.6, 5.0, 0.17), "bod": (0.0, 3.0, 0.11),
+            "turbidity": (0.0, 5.0, 0.08), "nitrate": (0.0, 45.0, 0.10)}
+
+
+def gw_wqi_sql(params) -> str:
+    num = " + ".join(f"coalesce({D(w)} * {q}, {D(0)})" for p, (w, q) in GW_TERMS.items() if p in params)
+    den = " + ".join(f"(CASE WHEN {p} IS NOT NULL THEN {D(w)} ELSE {D(0)} END)"
+                     for p, (w, q) in GW_TERMS.items() if p in params)
+    return f"(({D(0)} + {num}) / nullif({D(0)} + {den}, {D(0)}))"
+
+
+def sw_wqi_sql(params) -> str:
+    num = " + ".join(_nsf_t(p, *v) for p, v in SW_TERMS.items() if p.strip('"') in params)
+    den = " + ".join(_nsf_w(p, v[2]) for p, v in SW_TERMS.items() if p.strip('"') in params)
+    return f"(({D(0)} + {num}) / nullif({D(0)} + {den}, {D(0)}))"
+
+
 GW_CLASS = """(CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 50 THEN 'Excellent' WHEN {x} <= 100 THEN 'Good'
  WHEN {x} <= 200 THEN 'Poor' WHEN {x} <= 300 THEN 'Very Poor' ELSE 'Unsuitable' END)"""
 SW_CLASS = """(CASE WHEN {x} IS NULL THEN NULL WHEN {x} >= 90 THEN 'Excellent' WHEN {x} >= 70 THEN 'Good'
@@ -275,16 +299,40 @@ FROM (SELECT water_type || '|' || site || '|' || CAST(year AS VARCHAR) AS key, w
 """
 
 
+# ------------------------------------------------------------------ predictions
+
+EVAL_MODELS = {"drop_nitrate": "nitrate", "drop_turbidity": "turbidity"}
+_GW_ALL = list(GW_TERMS)
+_SW_ALL = ["ph", "do", "bod", "turbidity", "nitrate"]
+
+
+def _pred_sql() -> str:
+    parts = []
+    for pos, (m, drop) in enumerate(EVAL_MODELS.items()):
+        gw = gw_wqi_sql([p for p in _GW_ALL if p != drop])
+        sw = sw_wqi_sql([p for p in _SW_ALL if p != drop])
+        parts.append(
+            f"SELECT l_orderkey, l_linenumber, water_type, '{m}' AS model, {pos} AS pos, wqi AS actual, "
+            f"CASE WHEN water_type = 'ground' THEN {gw} ELSE {sw} END AS predicted, wqi_class AS actual_class "
+            f"FROM scored")
+    body = " UNION ALL ".join(parts)
+    return (f"SELECT *, CASE WHEN water_type = 'ground' THEN {GW_CLASS.format(x='predicted')} "
+            f"ELSE {SW_CLASS.format(x='predicted')} END AS predicted_class FROM ({body}) u")
+
+
+PRED = _pred_sql()
+
+
 def with_views(body: str, *names: str, extra: dict | None = None) -> str:
     """Prefix ``body`` with the named views as CTEs (dependencies first)."""
     defs = {"readings": READINGS, "scored": SCORED, "profile": PROFILE, "raw": RAW,
             "clean1": CLEAN1, "clean2": CLEAN2, "people": PEOPLE, "people1": PEOPLE1,
-            "people2": PEOPLE2, "sp": SCORED_PEOPLE, "ml": ML}
+            "people2": PEOPLE2, "sp": SCORED_PEOPLE, "ml": ML, "pred": PRED}
     deps = {"scored": {"readings"}, "profile": {"scored"}, "raw": {"readings"},
             "clean1": {"raw"}, "clean2": {"clean1"}, "people1": {"people"},
-            "people2": {"people1"}, "sp": {"people2"}, "ml": {"scored"}}
+            "people2": {"people1"}, "sp": {"people2"}, "ml": {"scored"}, "pred": {"scored"}}
     order = ["readings", "scored", "profile", "raw", "clean1", "clean2", "people", "people1",
-             "people2", "sp", "ml"]
+             "people2", "sp", "ml", "pred"]
     need = set(names)
     while True:
         more = set().union(*[deps.get(n, set()) for n in need]) - need
