@@ -869,3 +869,52 @@ def q_model_comparison(spark, sf):
                     r6("sw_accuracy"), r6("sw_f1_w"), r6(W.mcc_norm("sw_mcc"), "sw_mcc_norm"),
                     F.col("interpretability").cast("double").alias("interpretability"),
                     F.col("cv_stability").cast("double").alias("cv_stability"))
+
+
+# ------------------------------------------------------------ nearest neighbours
+
+from hydrosift.operators import knn as KN  # noqa: E402
+
+PTS_SQL = f"""
+SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS features, CAST(label AS INTEGER) AS label,
+       row_number() OVER (ORDER BY {V.unit_hash_sql("CAST(vec_id AS VARCHAR)", "42")})
+         <= ceil(0.2 * count(*) OVER ()) AS is_test
+FROM embeddings"""
+
+NN_SQL = """
+nn AS (SELECT * FROM (
+  SELECT q.key AS q_key, r.key AS r_key, r.label AS r_label, q.label AS q_label,
+         list_distance(q.features, r.features) AS dist,
+         row_number() OVER (PARTITION BY q.key ORDER BY list_distance(q.features, r.features), r.key) AS nn_rank
+  FROM pts q JOIN pts r ON q.is_test AND NOT r.is_test) WHERE nn_rank <= 5)"""
+
+
+def _split_points(spark, sf):
+    return PR.split(VW.points(spark, sf), "key", 0.2, 42)
+
+
+@register("knn_neighbors", "WITH pts AS (" + PTS_SQL + ")," + NN_SQL + """
+SELECT q_key, r_key, round(dist, 6) AS dist, CAST(nn_rank AS INTEGER) AS nn_rank FROM nn""")
+def q_knn_neighbors(spark, sf):
+    p = _split_points(spark, sf)
+    nn = KN.knn(p.where("is_test"), p.where("not is_test"), 5)
+    return nn.select("q_key", "r_key", r6("dist"), F.col("nn_rank").cast("int").alias("nn_rank"))
+
+
+@register("knn_classify", "WITH pts AS (" + PTS_SQL + ")," + NN_SQL + """,
+votes AS (SELECT q_key, q_label, r_label, count(*) AS v FROM nn GROUP BY ALL)
+SELECT q_key AS key, q_label AS actual, r_label AS predicted FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY v DESC, r_label) AS rn FROM votes) WHERE rn = 1""")
+def q_knn_classify(spark, sf):
+    p = _split_points(spark, sf)
+    pred = KN.knn_classify(p.where("not is_test"), p.where("is_test"), 5)
+    return (pred.join(p.select("key", F.col("label").alias("actual")), "key")
+            .select("key", "actual", F.col("predicted").cast("int").alias("predicted")))
+
+
+@register("smote_synthetic")
+def q_smote_synthetic(spark, sf):
+    """Rows-only check: SMOTE over the whole points table (exact kNN per class)."""
+    s = KN.smote(VW.points(spark, sf), "key", "features", "label")
+    return s.select("label", "base_key", "nbr_key", "syn_id",
+                    F.transform("features", lambda x: F.round(x, 6)).alias("features"))
