@@ -128,3 +128,25 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             parts.append(b.withColumn("actual_class", cls("actual"))
                           .withColumn("predicted_class", cls("predicted")))
     return append(*parts)
+
+
+# ------------------------------------------------------------ model inputs
+
+def model_frames(spark: SparkSession, sf_dir: str, water_type: str, stratified: bool = False):
+    """Split (exact, keyed) -> median imputation and population z-scores
+    learnt on the training part -> (train, test, feature names)."""
+    from hydrosift.operators import prep
+    m = ml_frame(spark, sf_dir).where(F.col("water_type") == water_type)
+    m, labels = prep.encode_label(m, "label")
+    m = (prep.stratified_split(m, "key", "label", 0.2, 42) if stratified
+         else prep.split(m, "key", 0.2, 42))
+    tr = m.where(~F.col("is_test"))
+    m = prep.median_impute(tr, m, ML_FEATURES)
+    tr = m.where(~F.col("is_test"))
+    m = prep.standardize(tr, m, ML_FEATURES)
+    m = m.withColumn("target", F.col("wqi"))
+    # Model fits pass over their input many times: cut the lineage once with a
+    # reliable checkpoint in the shared checkpoint folder.
+    from hydrosift.session import cut_lineage
+    m = cut_lineage(m)
+    return m.where(~F.col("is_test")), m.where(F.col("is_test")), list(ML_FEATURES), labels

@@ -918,3 +918,121 @@ def q_smote_synthetic(spark, sf):
     s = KN.smote(VW.points(spark, sf), "key", "features", "label")
     return s.select("label", "base_key", "nbr_key", "syn_id",
                     F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+# ------------------------------------------------------------ models (H1-H19), rows-only checks
+
+from hydrosift.operators import models as MD  # noqa: E402
+
+WATER_TYPES = ["ground", "surface"]
+
+
+@register("model_regression_scores")
+def q_model_regression_scores(spark, sf):
+    rows = []
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
+        for name, est in MD.regressors().items():
+            p = MD.predict(MD.fit(est, tr, cols), te)
+            m = EV.regression_metrics(p, "target", "prediction").first()
+            rows.append((wt, name, m["r2"], m["rmse"], m["mae"], m["nse"]))
+    return spark.createDataFrame(rows, "water_type string, model string, r2 double, rmse double, mae double, "
+                                       "nse double")
+
+
+@register("model_classification_scores")
+def q_model_classification_scores(spark, sf):
+    rows = []
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt, stratified=True)
+        preds = {}
+        for name, est in MD.classifiers().items():
+            preds[name] = MD.predict(MD.fit(est, tr, cols), te).select("key", "label_idx", "prediction")
+        arr = F.array(*[F.col(c) for c in cols])
+        knn = KN.knn_classify(tr.withColumn("f", arr), te.withColumn("f", arr), 5, "key", "f", "label_idx")
+        preds["KNN"] = knn.join(te.select("key", "label_idx"), "key").withColumnRenamed("predicted", "prediction")
+        km = MD.kmeans_label(tr, te, cols, "label_idx", 4)
+        preds["K-Means"] = km.select("key", "label_idx", F.col("predicted").alias("prediction"))
+        for name, p in preds.items():
+            m = EV.classification_metrics(p, "label_idx", "prediction").first()
+            rows.append((wt, name, m["accuracy"], m["precision_w"], m["recall_w"], m["f1_w"], m["mcc"]))
+    return spark.createDataFrame(rows, "water_type string, model string, accuracy double, precision_w double, "
+                                       "recall_w double, f1_w double, mcc double")
+
+
+@register("kmeans_clusters")
+def q_kmeans_clusters(spark, sf):
+    rows = []
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
+        _, sizes, centers, cost = MD.kmeans(tr.unionByName(te), cols, 2)
+        for i, (n, c) in enumerate(zip(sizes, centers)):
+            rows.append((wt, i, int(n), [float(x) for x in c], float(cost)))
+    return spark.createDataFrame(rows, "water_type string, cluster int, size long, centroid array<double>, "
+                                       "inertia double")
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf):
+    out = None
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
+        proj, ev = PR.pca(tr.unionByName(te), cols, 2)
+        from pyspark.ml.functions import vector_to_array
+        p = proj.select(F.lit(wt).alias("water_type"), "key", vector_to_array("pca").alias("pc"),
+                        F.lit(float(ev[0])).alias("explained_1"), F.lit(float(ev[1])).alias("explained_2"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    rows = []
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
+        m = MD.fit(MD.regressors()["Random Forest"], tr, cols)
+        for rank, (name, imp) in enumerate(MD.feature_importance(m, cols), 1):
+            rows.append((wt, name, imp, rank))
+    return spark.createDataFrame(rows, "water_type string, feature string, importance double, rank int")
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    rows = []
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
+        m = MD.fit(MD.regressors()["Decision Tree"], tr, cols)
+        for name, drop in MD.permutation_importance(m, te, "key", cols, "target", "r2"):
+            rows.append((wt, name, drop))
+    return spark.createDataFrame(rows, "water_type string, feature string, r2_drop double")
+
+
+@register("cv_scores")
+def q_cv_scores(spark, sf):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    rows = []
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
+        data = PR.kfold(tr.unionByName(te), "key", 5, 42)
+        ev = RegressionEvaluator(labelCol="target", predictionCol="prediction", metricName="r2")
+        mean, std, scores = MD.cv_score(MD.regressors()["Decision Tree"], data, cols, ev, "fold", 5)
+        rows.append((wt, "Decision Tree", mean, std, f"{mean:.3f} ± {std:.3f}"))
+    return spark.createDataFrame(rows, "water_type string, model string, cv_mean double, cv_std double, "
+                                       "cv_text string")
+
+
+@register("grid_search_rf")
+def q_grid_search_rf(spark, sf):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    rows = []
+    for wt in WATER_TYPES:
+        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
+        data = PR.kfold(tr, "key", 5, 42)
+        est = MD.regressors()["Random Forest"]
+        ev = RegressionEvaluator(labelCol="target", predictionCol="prediction", metricName="r2")
+        best, metrics = MD.grid_search(est, {"numTrees": [50, 100], "maxDepth": [5, 10]}, data, cols, ev)
+        r2 = ev.evaluate(best.transform(te))
+        st = best.stages[-1]
+        rows.append((wt, int(st.getNumTrees), int(st.getOrDefault("maxDepth")), float(max(metrics)), float(r2)))
+    return spark.createDataFrame(rows, "water_type string, num_trees int, max_depth int, cv_r2 double, "
+                                       "test_r2 double")
