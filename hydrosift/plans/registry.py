@@ -1036,3 +1036,41 @@ def q_grid_search_rf(spark, sf):
         rows.append((wt, int(st.getNumTrees), int(st.getOrDefault("maxDepth")), float(max(metrics)), float(r2)))
     return spark.createDataFrame(rows, "water_type string, num_trees int, max_depth int, cv_r2 double, "
                                        "test_r2 double")
+
+
+# ------------------------------------------------------------ streaming
+
+from hydrosift.streaming import alerts as ST  # noqa: E402
+
+EVR_SQL = f"""
+SELECT event_id, ts, {V.site_name_sql('user_id', "'ground'")} AS site, 6.5 + value / 250 AS ph,
+       value / 10 AS turbidity, value * 3 AS chloride, CASE WHEN event_type = 'error' THEN value END AS nitrate,
+       value / 100 AS iron
+FROM events"""
+EVS_SQL = f"SELECT *, {V.gw_wqi_sql(['ph', 'turbidity', 'chloride', 'nitrate', 'iron'])} AS wqi FROM evr"
+
+
+def _run_stream(spark, sf):
+    qs, base = ST.run_alert_stream(spark, f"{sf.rstrip('/')}/event[s].parquet")
+    for q in qs:
+        q.awaitTermination()
+    return base
+
+
+@register("stream_alerts", f"""
+WITH evr AS ({EVR_SQL}), evs AS ({EVS_SQL})
+SELECT event_id, site, round(wqi, 6) AS wqi, {V.GW_CLASS.format(x='wqi')} AS wqi_class,
+       'Groundwater Quality Alert' AS subject FROM evs WHERE wqi > 200""")
+def q_stream_alerts(spark, sf):
+    a = ST.read_alerts(spark, _run_stream(spark, sf))
+    return a.select("event_id", "site", r6("wqi"), "wqi_class", "subject")
+
+
+@register("stream_daily_means", f"""
+WITH evr AS ({EVR_SQL}), evs AS ({EVS_SQL})
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, site, round(avg(wqi), 6) AS wqi_mean,
+       CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE wqi > 200) AS BIGINT) AS n_alerts
+FROM evs GROUP BY 1, 2""")
+def q_stream_daily_means(spark, sf):
+    d = ST.read_daily(spark, _run_stream(spark, sf))
+    return d.select("day", "site", r6("wqi_mean"), "n", "n_alerts")

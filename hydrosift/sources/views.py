@@ -170,7 +170,7 @@ def event_readings(events: DataFrame) -> DataFrame:
     v = F.col("value")
     uid = F.col("user_id")
     return events.select(
-        "event_id", "ts",
+        "event_id", F.col("ts").cast("timestamp").alias("ts"),
         site_name(uid, F.lit("ground")).alias("site"),
         (6.5 + v / 250).alias("ph"),
         (v / 10).alias("turbidity"),
