@@ -18,11 +18,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _positive_zero(sql: str) -> str:
+    """Append ``+ 0.0`` after every ``round(...)``: SQL engines may return -0.0
+    for a rounded tiny negative value where Spark returns 0.0."""
+    out, i, n = [], 0, len(sql)
+    while i < n:
+        if sql[i] in ("'", '"'):
+            j = sql.index(sql[i], i + 1) + 1
+            out.append(sql[i:j])
+            i = j
+        elif sql.startswith("round(", i) and (i == 0 or not (sql[i - 1].isalnum() or sql[i - 1] == "_")):
+            j, depth, quote = i + len("round("), 1, None
+            while j < n and depth:
+                ch = sql[j]
+                if quote:
+                    if ch == quote:
+                        quote = None
+                elif ch in ("'", '"'):
+                    quote = ch
+                elif ch == "(":
+                    depth += 1
+                elif ch == ")":
+                    depth -= 1
+                j += 1
+            out.append("(round(" + _positive_zero(sql[i + len("round("):j]) + " + 0.0)")
+            i = j
+        else:
+            out.append(sql[i])
+            i += 1
+    return "".join(out)
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = _positive_zero(sql)
         return fn
     return deco
 
