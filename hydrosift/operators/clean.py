@@ -18,6 +18,17 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def _let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and bind it for ``fn``.
+
+    Filters are pushed below projections with their inputs substituted; an
+    expression that names its input several times would then repeat the whole
+    upstream chain.  Binding through a one-element ``transform`` keeps every
+    step to a single evaluation of its input.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def normalize_name(name: str, style: str = "snake") -> str:
     s = str(name)
     if style == "snake":
@@ -84,7 +95,8 @@ def trim_key(df: DataFrame, col: str = "site") -> DataFrame:
 
 def censored_to_null(df: DataFrame, cols: Sequence[str], tokens: Sequence[str]) -> DataFrame:
     """Exact-match censoring tokens -> NULL."""
-    return df.withColumns({c: F.when(_q(c).isin(list(tokens)), F.lit(None)).otherwise(_q(c))
+    toks = list(tokens)
+    return df.withColumns({c: _let(_q(c), lambda x: F.when(x.isin(toks), F.lit(None)).otherwise(x))
                            for c in cols})
 
 
@@ -107,14 +119,16 @@ def convert_unit(df: DataFrame, col: str, divisor: float = 1000.0) -> DataFrame:
 
 def detection_floor(df: DataFrame, floors: Mapping[str, float]) -> DataFrame:
     """Raise values below half the detection limit to ``dl/2``; NULL stays NULL."""
-    return df.withColumns({c: F.when(_q(c).isNotNull(), F.greatest(_q(c), F.lit(dl / 2)))
-                           for c, dl in floors.items() if c in df.columns})
+    def floor(dl):
+        return lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(dl / 2)))
+    return df.withColumns({c: _let(_q(c), floor(dl)) for c, dl in floors.items() if c in df.columns})
 
 
 def null_out_of_domain(df: DataFrame, domains: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Values outside ``(lo, hi)`` -> NULL."""
-    return df.withColumns({c: F.when((_q(c) < lo) | (_q(c) > hi), F.lit(None).cast("double"))
-                           .otherwise(_q(c)) for c, (lo, hi) in domains.items() if c in df.columns})
+    def clip(lo, hi):
+        return lambda x: F.when((x < lo) | (x > hi), F.lit(None).cast("double")).otherwise(x)
+    return df.withColumns({c: _let(_q(c), clip(lo, hi)) for c, (lo, hi) in domains.items() if c in df.columns})
 
 
 def drop_empty_columns(df: DataFrame, max_nonnull: int = 0, cols: Sequence[str] | None = None) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-DEFAULT_ACCURACY = 10_000
+DEFAULT_ACCURACY = 1_000
+DEFAULT_MAX_BAND = 200_000
 
 
 def _g(group_cols) -> list[str]:
@@ -26,25 +27,33 @@ def _g(group_cols) -> list[str]:
 
 def order_stats(df: DataFrame, group_cols: Sequence[str], value: str,
                 approx_p: Sequence[float], ranks, names: Sequence[str],
-                accuracy: int = DEFAULT_ACCURACY, extra: DataFrame | None = None) -> DataFrame:
+                accuracy: int = DEFAULT_ACCURACY, extra: DataFrame | None = None,
+                max_band: int = DEFAULT_MAX_BAND, max_rounds: int = 6) -> DataFrame:
     """Values at given 0-based ranks per group, exact, without sorting a group.
 
     ``ranks[i]`` is a Column over the per-group size ``__n`` (and columns of
     ``extra``, a per-group table joined on ``group_cols``); ``approx_p[i]`` is
     the rank's approximate fraction of ``n`` (within one row).
 
-    Two scans.  Scan 1 aggregates ``n`` and a bounded sketch
-    (``percentile_approx``) that brackets each target rank.  Scan 2, map-side
-    combined, counts the values below each bracket and collects only the
-    values inside it: at most ``4*accuracy`` values for a small group, about
-    ``8n/accuracy`` for a large one, never the whole group.  The per-group
-    table is joined without a hint; AQE broadcasts it when measured small.
+    1. One pass: ``n`` and a bounded sketch (``percentile_approx``) give each
+       target rank a bracket ``[lo, hi]`` holding about ``8n/accuracy``
+       values (a group of at most ``4*accuracy`` values is one bracket).
+    2. While some bracket holds more than ``max_band`` values, one more pass
+       counts the values below each bracket and sketches only the values
+       inside it as a percentile grid, narrowing the bracket about
+       ``accuracy/8`` times (GK rank error bound).
+    3. A last pass (map-side combined) counts the values below each bracket
+       and collects only the values inside it; the rank offset picks the answer.
+
+    Never holds a whole group in one task.  The per-group tables are joined
+    without hints; AQE broadcasts them when measured small.
     Returns ``group_cols + names + ['__n']``; a negative rank gives NULL.
     """
     g = _g(group_cols)
     if not g:
         out = order_stats(df.withColumn("__all", F.lit(0)), ["__all"], value, approx_p, ranks,
-                          names, accuracy, extra.withColumn("__all", F.lit(0)) if extra is not None else None)
+                          names, accuracy, extra.withColumn("__all", F.lit(0)) if extra is not None else None,
+                          max_band, max_rounds)
         return out.drop("__all")
     P = len(approx_p)
     eps = 3.0 / accuracy
@@ -71,11 +80,42 @@ def order_stats(df: DataFrame, group_cols: Sequence[str], value: str,
                                  F.array(*mine).alias("ks")))
     whole = F.array(F.struct(F.lit(-1).alias("b"), (-inf).alias("lo"), inf.alias("hi"),
                              F.array(*ks).alias("ks")))
-    brackets = F.when(F.col("__n") <= 4 * accuracy, whole).otherwise(F.array(*per_frac))
-    stats = stats.select(*g, "__n", brackets.alias("__t"))
-    e = d.join(stats, g).select(*g, "__n", "__v", F.explode("__t").alias("__x"))
+    small = F.col("__n") <= 4 * accuracy
+    brackets = F.when(small, whole).otherwise(F.array(*per_frac))
+    stats = stats.select(*g, "__n", brackets.alias("__t"),
+                         F.when(small, F.col("__n")).otherwise(8 * F.col("__n") / accuracy).alias("__est"))
+    from hydrosift.session import cut_lineage
+    stats = cut_lineage(stats)  # one row per group, read by every later pass
+
     x = F.col("__x")
     inband = (F.col("__v") >= x["lo"]) & (F.col("__v") <= x["hi"])
+    grid_n = accuracy
+    grid = [j / grid_n for j in range(grid_n + 1)]
+    for _ in range(max_rounds):
+        widest = stats.agg(F.max("__est")).first()[0]
+        if widest is None or widest <= max_band:
+            break
+        e = d.join(stats.select(*g, "__t"), g).select(*g, "__v", F.explode("__t").alias("__x"))
+        r = e.groupBy(*g, x["b"].alias("__b")).agg(
+            F.first("__x").alias("__x"),
+            F.count_if(F.col("__v") < x["lo"]).alias("__below"),
+            F.count_if(inband).alias("__in"),
+            F.percentile_approx(F.when(inband, F.col("__v")), grid, accuracy).alias("__grid"))
+        kmin = F.array_min(F.transform(x["ks"], lambda t: t["k"]))
+        kmax = F.array_max(F.transform(x["ks"], lambda t: t["k"]))
+        c = F.col("__in")
+        i_lo = F.floor(((kmin - F.col("__below")) / c - eps) * grid_n).cast("int")
+        i_hi = F.ceil(((kmax - F.col("__below")) / c + eps) * grid_n).cast("int")
+        refine = c > 2 * max(accuracy, 1)
+        new_lo = F.when(refine & (i_lo >= 0), F.try_element_at("__grid", i_lo + 1)).otherwise(x["lo"])
+        new_hi = F.when(refine & (i_hi <= grid_n), F.try_element_at("__grid", i_hi + 1)).otherwise(x["hi"])
+        est = F.when(refine, c * 8.0 / accuracy).otherwise(c)
+        r = r.select(*g, F.struct(x["b"].alias("b"), new_lo.alias("lo"), new_hi.alias("hi"),
+                                  x["ks"].alias("ks")).alias("__s"), est.alias("__e"))
+        nxt = r.groupBy(*g).agg(F.collect_list("__s").alias("__t"), F.max("__e").alias("__est"))
+        stats = cut_lineage(stats.select(*g, "__n").join(nxt, g))
+
+    e = d.join(stats.select(*g, "__n", "__t"), g).select(*g, "__n", "__v", F.explode("__t").alias("__x"))
     agg = e.groupBy(*g, x["b"].alias("__b")).agg(
         F.count_if(F.col("__v") < x["lo"]).alias("__below"),
         F.array_sort(F.collect_list(F.when(inband, F.col("__v")))).alias("__band"),

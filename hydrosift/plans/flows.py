@@ -70,8 +70,17 @@ def clean_stage2(df: DataFrame, frac: float | None = None) -> DataFrame:
     return C.drop_sparse_rows(df, num, frac)
 
 
+def raw_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw sheet as a stage on storage, like a landed CSV: the text view is
+    written once as Parquet under the shared checkpoint folder, and the
+    cleaning chain scans it instead of re-deriving every text cell inside its
+    pushed-down filters."""
+    from hydrosift.session import stage_table
+    return stage_table(views.raw_readings(spark, sf_dir), "raw_sheet")
+
+
 def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_stage2(clean_stage1(views.raw_readings(spark, sf_dir)))
+    return clean_stage2(clean_stage1(raw_sheet(spark, sf_dir)))
 
 
 # ------------------------------------------------------------ people

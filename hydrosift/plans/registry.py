@@ -160,13 +160,13 @@ def q_clean_readings(spark, sf):
     f"SELECT '{n}' AS \"column\", CAST(count(*) FILTER (WHERE \"{n}\" IS NULL) AS BIGINT) AS nulls FROM clean1"
     for n in ["site", "year"] + CLEAN_COLS), "clean1"))
 def q_null_profile_raw(spark, sf):
-    df = flows.clean_stage1(VW.raw_readings(spark, sf))
+    df = flows.clean_stage1(flows.raw_sheet(spark, sf))
     return S.null_profile(df, ["site", "year"] + CLEAN_COLS)
 
 
 @register("distinct_years", V.with_views("SELECT DISTINCT year FROM clean1", "clean1"))
 def q_distinct_years(spark, sf):
-    return S.distinct_values(flows.clean_stage1(VW.raw_readings(spark, sf)), "year")
+    return S.distinct_values(flows.clean_stage1(flows.raw_sheet(spark, sf)), "year")
 
 
 def _describe_sql(src: str, cols, group: str | None = None) -> str:
@@ -188,7 +188,8 @@ DESCRIBE_COLS = ["ph", "turbidity", "chloride_(ppm)", "nitrate(ppm)", "iron_(ug/
 
 @register("describe_clean", V.with_views(_describe_sql("clean2", DESCRIBE_COLS), "clean2"))
 def q_describe_clean(spark, sf):
-    df = flows.cleaned_readings(spark, sf)
+    from hydrosift.session import stage_table
+    df = stage_table(flows.cleaned_readings(spark, sf), "clean")
     d = S.describe(df, DESCRIBE_COLS)
     return d.select("column", "count", *[r6(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 

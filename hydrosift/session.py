@@ -60,6 +60,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    The input is cached while the checkpoint is written, so it is computed
+    once (a bare reliable checkpoint recomputes its input for the write)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    cached = df.persist()
+    out = cached.checkpoint(eager=eager)
+    if eager:
+        cached.unpersist()
+    return out
+
+
+def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: cuts the lineage like a checkpoint, and later scans are
+    columnar (pruned, pushed-down, vectorized)."""
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -79,3 +79,16 @@ def test_null_profile_and_describe(spark):
     d = {r.column: r for r in S.describe(df, ["a", "b"]).collect()}
     assert d["a"].q50 == 2.0 and d["a"]["count"] == 2 and d["b"].std is None
     assert F is not None
+
+
+def test_order_stats_refinement_rounds(spark):
+    # tiny accuracy and band limit force the iterative narrowing path
+    df, rows = _frame(spark, n=6000, groups=2, seed=5)
+    got = {r.g: r for r in S.exact_percentiles(df, ["g"], "v", [0.1, 0.5, 0.97], ["a", "b", "c"],
+                                               accuracy=20).collect()}
+    got2 = {r.g: r for r in S.order_stats(df, ["g"], "v", [0.5], [F.floor(F.col("__n") / 2)], ["m"],
+                                          accuracy=20, max_band=30).collect()}
+    for g in range(2):
+        vals = np.sort(np.array([v for gg, v in rows if gg == g and v is not None]))
+        assert [got[g].a, got[g].b, got[g].c] == pytest.approx(np.percentile(vals, [10, 50, 97]), rel=1e-12)
+        assert got2[g].m == vals[len(vals) // 2]
