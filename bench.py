@@ -20,7 +20,7 @@ HEADLINE = [
     "wqi_histogram", "wqi_kde", "param_moments", "box_stats", "corr_matrix", "exceedance_rates",
     "water_type_summary", "site_coords_match", "people_scores", "alert_outbox", "top_symptoms",
     "survey_totals", "ml_frame", "exact_split", "stratified_split", "kfold_assign", "noise_augment",
-    "eval_class_metrics", "eval_regression_metrics", "knn_classify", "smote_synthetic",
+    "eval_class_metrics", "eval_regression_metrics", "knn_classify", "knn_impute", "smote_synthetic",
     "stream_alerts", "stream_daily_means",
 ]
 

@@ -944,6 +944,43 @@ def q_knn_classify(spark, sf):
             .select("key", "actual", F.col("predicted").cast("int").alias("predicted")))
 
 
+def _knn_impute_sql(cols, k=5) -> str:
+    """Brute force: every (row with a gap, fit row) pair of the same water type."""
+    n = len(cols)
+    both = [f'r."{c}" IS NOT NULL AND d."{c}" IS NOT NULL' for c in cols]
+    ss = " + ".join(f'CASE WHEN {b} THEN (r."{c}" - d."{c}") * (r."{c}" - d."{c}") ELSE 0.0 END'
+                    for b, c in zip(both, cols))
+    npres = " + ".join(f"CASE WHEN {b} THEN 1 ELSE 0 END" for b in both)
+    gap = " OR ".join(f'"{c}" IS NULL' for c in cols)
+    extra = {
+        "sp_ml": f"SELECT *, row_number() OVER (ORDER BY {U42}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM ml",
+        "tr": "SELECT * FROM sp_ml WHERE NOT is_test",
+        "rv": f"SELECT * FROM sp_ml WHERE {gap}",
+        "pr": ("SELECT r.key AS q_key, d.key AS r_key, (" + ss + f") * CAST({n} AS DOUBLE) / (" + npres + ") AS d2, "
+               + ", ".join(f'r."{c}" IS NULL AS m{i}, d."{c}" AS v{i}' for i, c in enumerate(cols))
+               + " FROM rv r JOIN tr d ON r.water_type = d.water_type WHERE (" + npres + ") > 0"),
+        "mean": "SELECT water_type, " + ", ".join(f'avg("{c}") AS a{i}' for i, c in enumerate(cols))
+                + " FROM tr GROUP BY water_type",
+    }
+    for i in range(n):
+        extra[f"imp{i}"] = (f"SELECT q_key, avg(v{i}) AS v FROM (SELECT q_key, v{i}, row_number() OVER "
+                            f"(PARTITION BY q_key ORDER BY d2, r_key) AS rk FROM pr WHERE m{i} AND v{i} IS NOT NULL) "
+                            f"WHERE rk <= {k} GROUP BY q_key")
+    body = ("SELECT s.key, s.water_type, s.is_test, "
+            + ", ".join(f'round(coalesce(s."{c}", i{i}.v, mean.a{i}) + 1e-9, 6) AS "{c}"' for i, c in enumerate(cols))
+            + " FROM sp_ml s LEFT JOIN mean USING (water_type) "
+            + " ".join(f"LEFT JOIN imp{i} i{i} ON i{i}.q_key = s.key" for i in range(n)))
+    return V.with_views(body, "ml", extra=extra)
+
+
+@register("knn_impute", _knn_impute_sql(MLF))
+def q_knn_impute(spark, sf):
+    """Fit on the training rows, fill every row; per water type."""
+    m = PR.split(_ml(spark, sf), "key", 0.2, 42)
+    out = KN.knn_impute(m.where(~F.col("is_test")), m, MLF, "key", 5, ["water_type"])
+    return out.select("key", "water_type", "is_test", *[rs6(c) for c in MLF])
+
+
 @register("smote_synthetic")
 def q_smote_synthetic(spark, sf):
     """Rows-only check: SMOTE over the whole points table (exact kNN per class)."""

@@ -103,3 +103,38 @@ def test_smote_balances_within_segments(spark):
         assert lab[s.base_key] == lab[s.nbr_key] == s.label and -1e-9 <= t <= 1 + 1e-9
         assert np.allclose(a + t * (b - a), x)
     assert F is not None
+
+
+def _brute_knn_impute(fit, rows, k):
+    """NaN-aware euclidean kNN imputation, written out by brute force."""
+    n = fit.shape[1]
+    out = rows.copy()
+    for r in range(rows.shape[0]):
+        for j in np.flatnonzero(np.isnan(rows[r])):
+            cand = []
+            for d in range(fit.shape[0]):
+                if np.isnan(fit[d, j]):
+                    continue
+                both = ~np.isnan(rows[r]) & ~np.isnan(fit[d])
+                if both.sum() == 0:
+                    continue
+                d2 = float(((rows[r, both] - fit[d, both]) ** 2).sum()) * n / both.sum()
+                cand.append((d2, d, fit[d, j]))
+            cand.sort()
+            out[r, j] = np.mean([c[2] for c in cand[:k]]) if cand else np.nanmean(fit[:, j])
+    return out
+
+
+def test_knn_impute_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)).round(2)
+    x[rng.random((300, 4)) < 0.15] = np.nan
+    x[7] = [np.nan, np.nan, np.nan, 1.0]          # shares nothing with donors lacking column 3
+    fit_idx = np.arange(0, 300, 3)
+    rows = [(f"r{i:03d}", *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, a double, b double, c double, d double")
+    fit = df.where(F.col("key").isin([f"r{i:03d}" for i in fit_idx]))
+    got = K.knn_impute(fit, df, ["a", "b", "c", "d"], "key", 5, pivots=4).orderBy("key").toPandas()
+    want = _brute_knn_impute(x[fit_idx], x, 5)
+    assert not got[["a", "b", "c", "d"]].isna().any().any()
+    np.testing.assert_allclose(got[["a", "b", "c", "d"]].to_numpy(), want, rtol=1e-9, atol=1e-12)
