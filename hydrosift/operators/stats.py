@@ -226,15 +226,18 @@ def histogram(df: DataFrame, value: str, bins: int = 10, group_cols: Sequence[st
         out = histogram(df.withColumn("__all", F.lit(0)), value, bins, ["__all"], density)
         return out.drop("__all")
     v = F.col(value).cast("double")
-    d = df.select(*g, v.alias("__v")).where(F.col("__v").isNotNull())
+    # No NULL filter: the aggregates skip NULLs and a NULL value lands in a
+    # NULL bin that the bin grid never matches.  (A filter here would be
+    # pushed below the projections and evaluate the value expression twice.)
+    d = df.select(*g, v.alias("__v"))
     st = d.groupBy(*g).agg(F.min("__v").alias("__mn"), F.max("__v").alias("__mx"),
-                           F.count(F.lit(1)).alias("__n"))
+                           F.count("__v").alias("__n")).where(F.col("__n") > 0)
     lo = F.when(F.col("__mx") == F.col("__mn"), F.col("__mn") - 0.5).otherwise(F.col("__mn"))
     hi = F.when(F.col("__mx") == F.col("__mn"), F.col("__mx") + 0.5).otherwise(F.col("__mx"))
     st = st.select(*g, "__n", lo.alias("__lo"), hi.alias("__hi"))
     j = d.join(st, g)
     b = F.floor((F.col("__v") - F.col("__lo")) * (F.lit(float(bins)) / (F.col("__hi") - F.col("__lo"))))
-    b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+    b = F.when(F.col("__v").isNotNull(), F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1))).cast("int")
     counts = j.groupBy(*g, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = st.select(*g, "__n", "__lo", "__hi",
                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
