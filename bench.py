@@ -11,6 +11,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,7 +32,8 @@ def main() -> None:
     from hydrosift.plans.registry import QUERIES
     from hydrosift.session import get_session
     spark = get_session("hydrosift-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                        extra={"spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": "16g",
+                               "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-", dir="/tmp")})
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     names = only or HEADLINE
     # warm-up: JVM class loading and codegen caches, not timed

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Sized for the local test box; on a cluster these come from the job config.
@@ -44,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the job config names a shared folder and it is used as is.
-    Only when nothing is configured (local tests) a scratch folder is made.
+    Only when nothing is configured, a folder of the session's warehouse (also
+    shared) takes its place; nothing is written to a machine's own folders.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -53,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
-        configured = tempfile.mkdtemp(prefix="hydrosift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return configured

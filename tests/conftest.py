@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,6 +12,7 @@ SF001 = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from hydrosift.session import get_session
-    s = get_session("hydrosift-tests", master="local[4]", shuffle_partitions=8)
+    s = get_session("hydrosift-tests", master="local[4]", shuffle_partitions=8,
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-", dir="/tmp")})
     yield s
     s.stop()
