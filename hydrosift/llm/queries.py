@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import host_rules as _host_rules
+from . import sigtree
 from .common import table
 
 
@@ -14,6 +15,11 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _host_rules.host_rules(table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.jaccard_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
+
+
 SQL_OP2 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -49,5 +55,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN v USING (source)
 """
 
-QUERIES = {"op2_host_rules": op2_host_rules}
+QUERIES = {
+    "op2_host_rules": op2_host_rules,
+    "op4_signature_tree_join": op4_signature_tree_join,
+}
 ORACLES = {"op2_host_rules": SQL_OP2}
