@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import host_rules as _host_rules
-from . import sigtree
+from . import sigtree, suffix_repeats
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op6_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 SQL_OP2 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -58,5 +62,6 @@ FROM f LEFT JOIN v USING (source)
 QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op4_signature_tree_join": op4_signature_tree_join,
+    "op6_suffix_tree_repeats": op6_suffix_tree_repeats,
 }
 ORACLES = {"op2_host_rules": SQL_OP2}
