@@ -3,12 +3,13 @@ with signature trees, and the connected components of its links.
 
 1. Equal shingle sets are one class; only its smallest doc_id goes on.
 2. Every class lists the prefix of its shingles under one global order (rare
-   ones first): two sets as similar as asked share a prefix shingle.  A shingle
-   listed by one class alone is dropped.
+   ones first), longer than needed by an eighth of its set: two sets as similar
+   as asked then share that many prefix shingles (of the smaller set), not
+   just one.  A shingle listed by one class alone is dropped.
 3. Each class joins the bundle of the smallest doc_id it shares most prefix
    shingles with.  A unit of work is a bundle, or two bundles with a common
-   prefix shingle (then only their classes that list one).  Large units are
-   split into blocks, and pairs of blocks are units of their own.
+   prefix shingle (then only their classes that list enough of them).  Large
+   units are split into blocks, and pairs of blocks are units of their own.
 4. In a unit the classes, each with its whole set, form signature trees: a node
    holds the OR of its members' token bitmaps, their range of set sizes and the
    most tokens that a member's bitmap hides.  Two trees are walked together; a
@@ -45,7 +46,7 @@ from .words import Words, mix, slices
 class JaccardJoin:
     """words per shingle; threshold num / den; share (1 in n) of documents that
     the shingle order is counted on, with the least count and the most entries
-    kept; ids that may be broadcast; classes in a block; bitmap bits; leaf and
+    kept; the part (1 in n) of a set by which its prefix is longer; ids that may be broadcast; classes in a block; bitmap bits; leaf and
     fan-out of a tree."""
 
     k: int = 5
@@ -54,6 +55,7 @@ class JaccardJoin:
     order_share: int = 16
     order_least: int = 4
     order_entries: int = 1_000_000
+    extra: int = 8
     broadcast_ids: int = 2_000_000
     block: int = 2048
     bits: int = 1024
@@ -127,7 +129,7 @@ def common_shingles(docs: DataFrame, opt: JaccardJoin) -> np.ndarray:
 def prefix_postings(docs: DataFrame, common: np.ndarray, opt: JaccardJoin) -> DataFrame:
     """(token, doc_id) for the prefix of each set under the global order:
     uncommon shingles by hash, then the common ones from rare to frequent."""
-    k, num, den = opt.k, opt.num, opt.den
+    k, num, den, extra = opt.k, opt.num, opt.den, opt.extra
     by_hash = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
 
@@ -136,7 +138,7 @@ def prefix_postings(docs: DataFrame, common: np.ndarray, opt: JaccardJoin) -> Da
         for _, ids, sets in _each(batches, k):
             out, n = [], []
             for s in sets:
-                size = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+                size = len(s) - -(-num * len(s) // den) + max(1, len(s) // extra) if len(s) else 0
                 if len(values) and len(s):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     hit = values[at] == s
@@ -149,7 +151,7 @@ def prefix_postings(docs: DataFrame, common: np.ndarray, opt: JaccardJoin) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
 
 
-def work_units(postings: DataFrame, opt: JaccardJoin) -> DataFrame:
+def work_units(postings: DataFrame, sizes: DataFrame, opt: JaccardJoin) -> DataFrame:
     """(doc_id, unit, side, split): which classes meet where.
 
     A unit is a bundle (side 0 only) or a pair of bundles; ``split`` is the
@@ -165,13 +167,18 @@ def work_units(postings: DataFrame, opt: JaccardJoin) -> DataFrame:
     across = stage(listed.join(many.select("token"), "token"), "jaccard-across")
     by_token = across.select("token", "bundle").distinct()
     pairs = by_token.join(by_token.select("token", F.col("bundle").alias("other")), "token").where("bundle <> other")
-    across = across.join(pairs, ["token", "bundle"]).select(
+    met = across.join(pairs, ["token", "bundle"]).groupBy("doc_id", "bundle", "other").agg(
+        F.count(F.lit(1)).alias("shared")).join(sizes, "doc_id")
+    # a partner has at least num / den of this set's size, and a prefix longer by 1 / extra of its own
+    needed = F.greatest(F.lit(1), F.floor(F.floor(opt.num * F.col("n_shingles") / opt.den) / opt.extra))
+    across = met.where(F.col("shared") >= needed).select(
         "doc_id", F.least("bundle", "other").alias("b1"), F.greatest("bundle", "other").alias("b2"),
-        (F.col("bundle") > F.col("other")).cast("int").alias("side")).distinct()
-    rows = alone.union(across).withColumn("unit", F.xxhash64("b1", "b2"))
-    sizes = rows.groupBy("unit", "b1", "b2").count()
-    split = F.ceil(F.col("count") / opt.block).cast("int")
-    return rows.drop("unit").join(sizes.where("count > 1").select("b1", "b2", "unit", split.alias("split")), ["b1", "b2"])
+        (F.col("bundle") > F.col("other")).cast("int").alias("side"))
+    rows = stage(alone.union(across), "jaccard-rows")
+    found = rows.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("side").alias("sides"))
+    found = found.where("n > 1 and (b1 = b2 or sides = 2)")
+    return rows.join(found.select("b1", "b2", F.xxhash64("b1", "b2").alias("unit"),
+                                  F.ceil(F.col("n") / opt.block).cast("int").alias("split")), ["b1", "b2"])
 
 
 def blocks(units: DataFrame) -> DataFrame:
@@ -365,7 +372,8 @@ def jaccard_components(docs: DataFrame, opt: JaccardJoin = JaccardJoin()) -> Dat
     listed = prefix_postings(distinct, common, opt).selectExpr(
         "token", "doc_id", "min(doc_id) over (partition by token) low", "max(doc_id) over (partition by token) high")
     postings = stage(listed.where("low < high").select("token", "doc_id", "low"), "jaccard-postings")
-    members = stage(blocks(work_units(postings, opt)).groupBy("doc_id").agg(
+    sizes = classes.select(F.col("class_id").alias("doc_id"), "n_shingles")
+    members = stage(blocks(work_units(postings, sizes, opt)).groupBy("doc_id").agg(
         F.collect_set(F.struct("unit", "side")).alias("units")), "jaccard-units")
     linked = components(links(docs, members, opt), "jaccard-links").select(
         F.col("id").alias("class_id"), F.col("component").alias("component_id"))
