@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import sigtree, suffix_repeats
+from . import phrase_index, sigtree, suffix_repeats
 from .common import table
 
 
@@ -20,6 +21,13 @@ def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op6_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -59,9 +67,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN v USING (source)
 """
 
+SQL_OP5 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS p
+  FROM (SELECT item_id, w, least(len(w), 10) AS l, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
+        FROM b WHERE len(w) > 0)),
+g AS (
+  SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS p
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i
+        FROM d, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)),
+hit AS (SELECT doc_id, item_id, g.l, i FROM g JOIN win ON g.p = win.p AND g.l = win.l),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS k FROM (SELECT DISTINCT doc_id, i, l FROM hit)),
+n AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op4_signature_tree_join": op4_signature_tree_join,
+    "op5_phrase_index": op5_phrase_index,
     "op6_suffix_tree_repeats": op6_suffix_tree_repeats,
 }
-ORACLES = {"op2_host_rules": SQL_OP2}
+ORACLES = {
+    "op2_host_rules": SQL_OP2,
+    "op5_phrase_index": SQL_OP5,
+}
