@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import phrase_index, sigtree, suffix_repeats
+from . import packing, phrase_index, sigtree, suffix_repeats
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op8_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 SQL_OP2 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -99,6 +103,7 @@ QUERIES = {
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_phrase_index": op5_phrase_index,
     "op6_suffix_tree_repeats": op6_suffix_tree_repeats,
+    "op8_exact_complement_packing": op8_exact_complement_packing,
 }
 ORACLES = {
     "op2_host_rules": SQL_OP2,
