@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import packing, phrase_index, sigtree, suffix_repeats
+from . import packing, phrase_index, pii, sigtree, suffix_repeats
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _host_rules.host_rules(table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op3_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "class_id")
@@ -100,6 +104,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 QUERIES = {
     "op2_host_rules": op2_host_rules,
+    "op3_anchor_expansion": op3_anchor_expansion,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_phrase_index": op5_phrase_index,
     "op6_suffix_tree_repeats": op6_suffix_tree_repeats,
