@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import packing, phrase_index, pii, sigtree, suffix_repeats
+from . import packing, phrase_index, pii, sigtree, string_kernel, suffix_repeats
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op8_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_kernel.identify(table(spark, sf_dir, "documents"))
+
+
 SQL_OP2 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -109,6 +113,7 @@ QUERIES = {
     "op5_phrase_index": op5_phrase_index,
     "op6_suffix_tree_repeats": op6_suffix_tree_repeats,
     "op8_exact_complement_packing": op8_exact_complement_packing,
+    "op9_string_kernel_language": op9_string_kernel_language,
 }
 ORACLES = {
     "op2_host_rules": SQL_OP2,
