@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import packing, phrase_index, pii, sigtree, string_kernel, suffix_repeats
+from . import additive_quality, packing, phrase_index, pii, sigtree, string_kernel, suffix_repeats
 from .common import table
 
 
+def op1_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "base_failed", "kept", "host_rate"]
@@ -107,6 +111,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 QUERIES = {
+    "op1_additive_quality": op1_additive_quality,
     "op2_host_rules": op2_host_rules,
     "op3_anchor_expansion": op3_anchor_expansion,
     "op4_signature_tree_join": op4_signature_tree_join,

@@ -64,7 +64,8 @@ class Words:
     """Words of the texts of one Arrow array.
 
     hashes[i] is word i's hash, start[i] / end[i] its byte range in ``data``;
-    text t holds the words first[t] to first[t + 1]."""
+    text t is the bytes offsets[t] to offsets[t + 1] and holds the words
+    first[t] to first[t + 1]."""
 
     def __init__(self, texts: pa.Array, lower: bool = False, delimiters: bytes = WHITESPACE_BYTES):
         data, offsets = text_buffers(texts)
@@ -73,7 +74,7 @@ class Words:
             fold[65:91] += 32
         inside = np.ones(256, dtype=bool)
         inside[list(delimiters)] = False
-        self.data = data
+        self.data, self.offsets = data, offsets
         word = inside[data]
         begins = np.zeros(len(data) + 1, dtype=bool)
         begins[offsets] = True
