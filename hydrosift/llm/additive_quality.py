@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, in_batches
 from .words import Words, slices
 
 # Character classes as bytes of UTF-8; bytes from 0x80 are "wide".
@@ -216,7 +216,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, opt: GamOptions) -> tuple[
                 yield pa.RecordBatch.from_arrays([part.column("draw"), part.column("quality"), flat], names=["draw", "quality", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "draw", "quality").mapInArrow(run, "draw long, quality int, x array<double>").collect()
+        "text", "draw", "quality").transform(in_batches, run, "draw long, quality int, x array<double>").collect()
     rows = sorted(rows, key=lambda r: (r["draw"], r["quality"], r["x"]))[:opt.max_rows]
     return np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r["quality"] == 1) for r in rows])
 
@@ -236,5 +236,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, opt: GamOptions = GamOptio
                     [part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").transform(in_batches,
         run, "doc_id long, held_out boolean, score double, predicted int")

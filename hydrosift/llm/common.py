@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydrosift.session import ensure_checkpoint_dir
 
@@ -41,3 +42,10 @@ def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row: bound to a lambda
     variable, so the optimizer cannot copy its expression into every use."""
     return F.transform(F.array(value), body)[0]
+
+
+def in_batches(df: DataFrame, run, schema: str | T.StructType, batch_bytes: int = 8 << 20) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes (not only in rows), so
+    that many long texts in a row do not add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    return df.mapInArrow(run, schema)

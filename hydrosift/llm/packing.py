@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_batches, stage
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def token_pieces(docs: DataFrame, opt: Packing, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ids = ", ids array<int>" if with_ids else ""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches,
         run, f"doc_id long, piece int, start long, length long, ids_crc32 long{ids}")
 
 
@@ -206,5 +206,5 @@ def pack(docs: DataFrame, opt: Packing = Packing(), with_ids: bool = False) -> D
                 names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered(pieces, sum(counts.values()), opt).select(*columns, F.col("number").cast("long").alias("number")).mapInArrow(
+    return numbered(pieces, sum(counts.values()), opt).select(*columns, F.col("number").cast("long").alias("number")).transform(in_batches,
         run, f"{schema}, sequence_id long, offset long")

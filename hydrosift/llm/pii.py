@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .words import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -194,7 +195,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches,
         run, f"doc_id long, {counts}, base_sha256 string, spans string")
 
 
@@ -210,7 +211,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
                 texts = [t if t is None else mask(t, scanner.spans(t)) for t in part.column("text").to_pylist()]
                 yield part.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
 
-    masked = docs.mapInArrow(run, docs.schema)
+    masked = docs.transform(in_batches, run, docs.schema)
     if "n_chars" in names:
         masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*names)

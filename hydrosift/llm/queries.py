@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import additive_quality, packing, phrase_index, pii, sigtree, string_kernel, suffix_repeats
+from . import additive_quality, packing, phrase_index, pii, sigtree, site_style_tree, string_kernel, suffix_repeats
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 SQL_OP2 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -119,6 +123,7 @@ QUERIES = {
     "op6_suffix_tree_repeats": op6_suffix_tree_repeats,
     "op8_exact_complement_packing": op8_exact_complement_packing,
     "op9_string_kernel_language": op9_string_kernel_language,
+    "op10_site_style_tree": op10_site_style_tree,
 }
 ORACLES = {
     "op2_host_rules": SQL_OP2,

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_batches, stage
 from .components import components
 from .words import Words, mix, slices
 
@@ -102,7 +102,7 @@ def set_signatures(docs: DataFrame, opt: JaccardJoin) -> DataFrame:
                 [part.column("doc_id"), pa.array(n), *(pa.array(x.view(np.int64), mask=n == 0) for x in sums)],
                 names=["doc_id", "n_shingles", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.select("doc_id", "text").transform(in_batches, run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, opt: JaccardJoin, keep: bool = True) -> DataFrame:
@@ -121,7 +121,7 @@ def common_shingles(docs: DataFrame, opt: JaccardJoin) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["token"])
 
     share = docs.where(F.xxhash64(F.lit(1), "doc_id") % opt.order_share == 0)
-    counted = share.select("doc_id", "text").mapInArrow(run, "token long").groupBy("token").count()
+    counted = share.select("doc_id", "text").transform(in_batches, run, "token long").groupBy("token").count()
     top = counted.where(F.col("count") >= opt.order_least).orderBy(F.desc("count"), "token").limit(opt.order_entries)
     return np.array(top.toArrow().column("token").to_numpy()[::-1])
 
@@ -148,7 +148,7 @@ def prefix_postings(docs: DataFrame, common: np.ndarray, opt: JaccardJoin) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.int64)])),
                                               pa.array(np.repeat(ids, n).astype(np.int64))], names=["token", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
+    return docs.select("doc_id", "text").transform(in_batches, run, "token long, doc_id long")
 
 
 def work_units(postings: DataFrame, sizes: DataFrame, opt: JaccardJoin) -> DataFrame:
@@ -354,9 +354,9 @@ def links(docs: DataFrame, members: DataFrame, opt: JaccardJoin) -> DataFrame:
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     kind = "array<struct<unit:bigint,side:int>>"
-    sets = texts.mapInArrow(to_sets, f"units {kind}, doc_id long, tokens array<long>")
+    sets = texts.transform(in_batches, to_sets, f"units {kind}, doc_id long, tokens array<long>")
     dealt = sets.select(F.inline("units"), "doc_id", "tokens").repartition("unit").sortWithinPartitions("unit", "side", "doc_id")
-    return dealt.mapInArrow(join, "a long, b long")
+    return dealt.transform(in_batches, join, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, opt: JaccardJoin = JaccardJoin()) -> DataFrame:

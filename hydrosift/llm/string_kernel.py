@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, in_batches
 from .words import slices
 
 UNKNOWN = "und"
@@ -154,5 +154,5 @@ def identify(docs: DataFrame, opt: KernelOptions = KernelOptions()) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()),
                                                   pa.array(points)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").transform(in_batches,
         run, "doc_id long, held_out boolean, lang_pred string, score double")

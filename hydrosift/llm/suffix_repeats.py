@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_batches, stage
 from .words import Words, slices
 
 
@@ -71,7 +71,7 @@ def word_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string())],
                                              names=["doc_id", "n_words", "sha"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, sha string")
+    return docs.select("doc_id", "text").transform(in_batches, run, "doc_id long, n_words long, sha string")
 
 
 def _seeds(words: Words, t: int, grams: np.ndarray, opt: RepeatOptions) -> np.ndarray:
@@ -108,7 +108,7 @@ def seed_postings(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
                     [pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.repeat(ids, n).astype(np.int64)),
                      pa.array(np.concatenate(pos).astype(np.int32))], names=["gram", "doc_id", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, pos int")
+    return docs.select("doc_id", "text").transform(in_batches, run, "gram long, doc_id long, pos int")
 
 
 def suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
@@ -145,7 +145,7 @@ def suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
                     [*(pa.array(x.view(np.int64)) for x in (a, b, c)), pa.array(lv.astype(np.int32)), pa.array(d),
                      pa.array(s.astype(np.int32))], names=["p1", "p2", "p3", "level", "doc_id", "pos"])
 
-    return docs.select("doc_id", "text", "seeds").mapInArrow(
+    return docs.select("doc_id", "text", "seeds").transform(in_batches,
         run, "p1 long, p2 long, p3 long, level int, doc_id long, pos int")
 
 
@@ -184,7 +184,7 @@ def subtree_repeats(dealt: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs[hit]), batch.column("pos").filter(pa.array(hit))],
                                              names=["doc_id", "pos"])
 
-    return dealt.select("p1", "p2", "p3", "doc_id", "pos").mapInArrow(run, "doc_id long, pos int")
+    return dealt.select("p1", "p2", "p3", "doc_id", "pos").transform(in_batches, run, "doc_id long, pos int")
 
 
 def repeated_windows(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, opt: RepeatOptions = RepeatOptions()) -> Dat
                                                       (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
                 names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
 
-    partly = texts.join(hits, "doc_id").select("doc_id", "text", "starts").mapInArrow(
+    partly = texts.join(hits, "doc_id").select("doc_id", "text", "starts").transform(in_batches,
         cut, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
     wholly = copies.select("doc_id", F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"),
                            F.lit("").alias("kept_text"))
