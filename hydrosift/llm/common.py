@@ -49,3 +49,13 @@ def in_batches(df: DataFrame, run, schema: str | T.StructType, batch_bytes: int
     that many long texts in a row do not add up in a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df.mapInArrow(run, schema)
+
+
+def without(docs: DataFrame, ids: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (NULL is an id like
+    any other), with their own columns.  ``ids`` is broadcast when a bounded
+    count shows at most ``max_rows`` rows; otherwise the join shuffles."""
+    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
+    if ids.limit(max_rows + 1).count() <= max_rows:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_anti")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, let, stage
+from .common import WHITESPACE, let, stage, without
 
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
@@ -119,8 +119,6 @@ def host_rules(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns.
-
-    Keyed by doc_id: equal ids share one verdict (all of their rows must pass)."""
-    kept = host_rules(docs, rules).groupBy("doc_id").agg(F.min("kept").alias("__kept")).where("__kept")
-    return docs.join(kept.select("doc_id"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The rows of ``docs`` that pass, with their own columns.  Rows with one
+    doc_id share a verdict: a rejected one takes the others along."""
+    return without(docs, stage(host_rules(docs, rules).where("not kept").select("doc_id"), "host-rejected"))

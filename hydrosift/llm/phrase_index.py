@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stage
+from .common import let, stage, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DELIMITER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -154,5 +154,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, opt: PhraseIndex = Phra
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, opt: PhraseIndex = PhraseIndex()) -> DataFrame:
     """Documents without any window of the benchmark, with their own columns."""
-    hit = decontaminate(docs, benchmark, opt).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    return without(docs, stage(decontaminate(docs, benchmark, opt).where("n_hit > 0").select("doc_id"), "phrase-contaminated"))

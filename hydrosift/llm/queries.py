@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import additive_quality, packing, phrase_index, pii, sigtree, site_style_tree, string_kernel, suffix_repeats
+from . import additive_quality, packing, phrase_index, pii, sigtree, site_style_tree, string_kernel, suffix_repeats, warc
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op6_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -114,6 +119,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+SQL_OP7 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
+
 QUERIES = {
     "op1_additive_quality": op1_additive_quality,
     "op2_host_rules": op2_host_rules,
@@ -121,6 +135,7 @@ QUERIES = {
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_phrase_index": op5_phrase_index,
     "op6_suffix_tree_repeats": op6_suffix_tree_repeats,
+    "op7_warc_index_merge": op7_warc_index_merge,
     "op8_exact_complement_packing": op8_exact_complement_packing,
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_site_style_tree": op10_site_style_tree,
@@ -128,4 +143,5 @@ QUERIES = {
 ORACLES = {
     "op2_host_rules": SQL_OP2,
     "op5_phrase_index": SQL_OP5,
+    "op7_warc_index_merge": SQL_OP7,
 }

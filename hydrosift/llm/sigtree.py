@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stage
+from .common import in_batches, stage, without
 from .components import components
 from .words import Words, mix, slices
 
@@ -386,6 +386,6 @@ def jaccard_components(docs: DataFrame, opt: JaccardJoin = JaccardJoin()) -> Dat
 
 
 def keep_one(docs: DataFrame, opt: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id."""
-    found = jaccard_components(docs, opt).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, the one with the smallest doc_id, with
+    its own columns; repeated rows of that doc_id all stay."""
+    return without(docs, stage(jaccard_components(docs, opt).where("doc_id <> component_id").select("doc_id"), "jaccard-removed"))
