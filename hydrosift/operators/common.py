@@ -17,14 +17,19 @@ def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only when its size is checked to be bounded;
-    otherwise leave the strategy to the planner (shuffled sort-merge join, with
-    AQE free to switch at run time)."""
-    if bounded_rows(small, max_rows):
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+def per_group(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """A table of one row per group, computed once (reliably checkpointed) and
+    broadcast in later joins if its counted size is bounded; a larger one is
+    joined by a shuffle."""
+    from hydrosift.session import cut_lineage
+    done = cut_lineage(df)
+    return F.broadcast(done) if bounded_rows(done, max_rows) else done
+
+
+def single_key(col: str) -> Column:
+    """0 on every row, but not a constant to the optimizer: a join on it stays
+    an equality join with the one-row side broadcast, not a cartesian product."""
+    return F.pmod(F.hash(col), F.lit(1))
 
 
 def unit_hash(*cols: Column | str, seed: str = "0") -> Column:

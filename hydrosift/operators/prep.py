@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrosift.operators.common import hash_long, unit_hash
+from hydrosift.operators.common import hash_long, per_group, unit_hash
 from hydrosift.operators.stats import exact_percentiles, order_stats
 
 
@@ -31,12 +31,6 @@ def encode_label(df: DataFrame, col: str, out: str = "label_idx"):
     return model.transform(df), list(model.labels)
 
 
-def decode_label(df: DataFrame, col: str, labels: Sequence[str], out: str) -> DataFrame:
-    """Index -> label name (G1 inverse)."""
-    from pyspark.ml.feature import IndexToString
-    return IndexToString(inputCol=col, outputCol=out, labels=list(labels)).transform(df)
-
-
 def _u(key: str | Sequence[str], seed) -> Column:
     keys = [key] if isinstance(key, str) else list(key)
     return unit_hash(*keys, seed=str(seed))
@@ -49,13 +43,12 @@ def split(df: DataFrame, key: str | Sequence[str], test_frac: float = 0.2, seed=
     Rows are ordered by a keyed uniform hash; the test set is the smallest
     ``k`` hashes, found as an exact order statistic (no global sort).
     """
-    u = "__u"
-    d = df.withColumn(u, _u(key, seed))
+    u = _u(key, seed)
     k = F.ceil(F.lit(float(test_frac)) * F.col("__n")) - 1
-    thr = order_stats(d.withColumn("__all", F.lit(0)), ["__all"], u, [test_frac], [k], ["__thr"])
-    return (d.withColumn("__all", F.lit(0)).join(thr.select("__all", "__thr"), "__all")
-            .withColumn(out, F.coalesce(F.col(u) <= F.col("__thr"), F.lit(False)))
-            .drop("__all", "__thr", u))
+    bound = order_stats(df.select(u.alias("__u")), [], "__u", [k], ["__thr"]).first()
+    if bound is None or bound["__thr"] is None:
+        return df.withColumn(out, F.lit(False))
+    return df.withColumn(out, F.coalesce(u <= F.lit(bound["__thr"]), F.lit(False)))
 
 
 def stratified_quotas(df: DataFrame, label: str, test_frac: float = 0.2) -> DataFrame:
@@ -81,8 +74,8 @@ def stratified_split(df: DataFrame, key: str | Sequence[str], label: str, test_f
     u = "__u"
     d = df.withColumn(u, _u(key, seed))
     quotas = stratified_quotas(df, label, test_frac).select(label, "quota")
-    thr = order_stats(d, [label], u, [test_frac], [F.col("quota") - 1], ["__thr"], extra=quotas)
-    return (d.join(thr.select(label, "__thr"), label, "left")
+    thr = order_stats(d, [label], u, [F.col("quota") - 1], ["__thr"], extra=quotas)
+    return (d.join(per_group(thr.select(label, "__thr")), label, "left")
             .withColumn(out, F.coalesce(F.col(u) <= F.col("__thr"), F.lit(False)))
             .drop("__thr", u))
 
@@ -103,13 +96,14 @@ def kfold(df: DataFrame, key: str | Sequence[str] | None, k: int = 5, seed=42, o
     v = "__u"
     d = df.withColumn(v, F.col(order_col).cast("double") if order_col else _u(key, seed))
     names = [f"__b{j}" for j in range(1, k)]
-    gg = g if g else ["__all"]
-    if not g:
-        d = d.withColumn("__all", F.lit(0))
-    bounds = order_stats(d, gg, v, [j / k for j in range(1, k)], _fold_bounds(k), names)
-    j = d.join(bounds.drop("__n"), gg)
-    fold = sum((F.when(F.col(v) >= F.col(b), 1).otherwise(0) for b in names), F.lit(0))
-    return j.withColumn(out, fold.cast("int")).drop(*names, v, *([] if g else ["__all"]))
+    bounds = order_stats(d, g, v, _fold_bounds(k), names).drop("__n")
+    if g:
+        j, starts = d.join(per_group(bounds), g), [F.col(b) for b in names]
+    else:  # one row, read back
+        row = bounds.first()
+        j, starts = d, [F.lit(row[b] if row else None).cast("double") for b in names]
+    fold = sum((F.when(F.col(v) >= b, 1).otherwise(0) for b in starts), F.lit(0))
+    return j.withColumn(out, fold.cast("int")).drop(*names, v)
 
 
 def stratified_kfold(df: DataFrame, key: str | Sequence[str], label: str, k: int = 5, seed=42,

@@ -2,10 +2,9 @@
 
 Exact quantiles at scale: ``exact_percentiles`` never gathers a whole group
 into one task.  A bounded-memory sketch (``percentile_approx``) brackets each
-target rank; only the values inside the bracket (a band of about
-``8n/accuracy`` rows) are ranked, and the count of values below the band
-supplies the rank offset.  Small groups (``n <= 4*accuracy``) use the whole
-group as the band, which is bounded by a constant.
+target rank; only the different values inside the bracket are counted and
+ranked, and the count of values below it supplies the offset.  Small groups
+(``n <= 4*accuracy``) are one bracket, which is bounded by a constant.
 """
 
 from __future__ import annotations
@@ -13,9 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrosift.operators.common import per_group, single_key
+
 
 DEFAULT_ACCURACY = 1_000
 DEFAULT_MAX_BAND = 200_000
@@ -25,110 +26,84 @@ def _g(group_cols) -> list[str]:
     return list(group_cols or [])
 
 
-def order_stats(df: DataFrame, group_cols: Sequence[str], value: str,
-                approx_p: Sequence[float], ranks, names: Sequence[str],
+def order_stats(df: DataFrame, group_cols: Sequence[str], value: str, ranks, names: Sequence[str],
                 accuracy: int = DEFAULT_ACCURACY, extra: DataFrame | None = None,
-                max_band: int = DEFAULT_MAX_BAND, max_rounds: int = 6) -> DataFrame:
-    """Values at given 0-based ranks per group, exact, without sorting a group.
+                max_band: int = DEFAULT_MAX_BAND) -> DataFrame:
+    """Values at given 0-based ranks per group, exact, without gathering a group.
 
     ``ranks[i]`` is a Column over the per-group size ``__n`` (and columns of
-    ``extra``, a per-group table joined on ``group_cols``); ``approx_p[i]`` is
-    the rank's approximate fraction of ``n`` (within one row).
-
-    1. One pass: ``n`` and a bounded sketch (``percentile_approx``) give each
-       target rank a bracket ``[lo, hi]`` holding about ``8n/accuracy``
-       values (a group of at most ``4*accuracy`` values is one bracket).
-    2. While some bracket holds more than ``max_band`` values, one more pass
-       counts the values below each bracket and sketches only the values
-       inside it as a percentile grid, narrowing the bracket about
-       ``accuracy/8`` times (GK rank error bound).
-    3. A last pass (map-side combined) counts the values below each bracket
-       and collects only the values inside it; the rank offset picks the answer.
-
-    Never holds a whole group in one task.  The per-group tables are joined
-    without hints; AQE broadcasts them when measured small.
-    Returns ``group_cols + names + ['__n']``; a negative rank gives NULL.
+    ``extra``, a per-group table joined on ``group_cols``); any rank is served.
+
+    1. One pass: ``n`` and a bounded sketch (``percentile_approx`` at a grid of
+       fractions) bracket each rank's value.  A group of at most
+       ``4*accuracy`` values is one bracket.
+    2. While a bracket holds more than ``max_band`` different values, one more
+       pass counts the values below it, sketches those inside and narrows it.
+    3. A last pass counts each different value inside a bracket (map-side
+       combined, so equal values cost one row) and the values below it; the
+       running count picks the answer.
+
+    Returns ``group_cols + names + ['__n']``; a rank outside ``0..n-1`` gives
+    NULL, and a rank that its bracket misses raises an error.
     """
     g = _g(group_cols)
     if not g:
-        out = order_stats(df.withColumn("__all", F.lit(0)), ["__all"], value, approx_p, ranks,
-                          names, accuracy, extra.withColumn("__all", F.lit(0)) if extra is not None else None,
-                          max_band, max_rounds)
-        return out.drop("__all")
-    P = len(approx_p)
+        one = df.withColumn("__all", single_key(value))
+        more = extra.withColumn("__all", F.lit(0)) if extra is not None else None
+        return order_stats(one, ["__all"], value, ranks, names, accuracy, more, max_band).drop("__all")
     eps = 3.0 / accuracy
     v = F.col(value).cast("double")
-    d = df.select(*g, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    fracs = sorted(set(float(p) for p in approx_p))
-    lo_p = [min(max(p - eps, 0.0), 1.0) for p in fracs]
-    hi_p = [max(min(p + eps, 1.0), 0.0) for p in fracs]
-    stats = d.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__q"))
+    d = df.select(*g, (v + 0.0).alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    grid = [j / accuracy for j in range(accuracy + 1)]
+    stats = d.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", grid, accuracy).alias("__q"))
     if extra is not None:
         stats = stats.join(extra, g)
     inf = F.lit(float("inf"))
-    ks = [F.struct(F.lit(i).alias("i"), ranks[i].cast("long").alias("k")) for i in range(P)]
-    # Ranks sharing an approximate fraction share one bracket; a small group
-    # has a single bracket (the whole group) holding every rank.
-    per_frac = []
-    for b, p in enumerate(fracs):
-        lo = -inf if lo_p[b] == 0.0 else F.col("__q")[b]
-        hi = inf if hi_p[b] == 1.0 else F.col("__q")[len(fracs) + b]
-        mine = [ks[i] for i in range(P) if float(approx_p[i]) == p]
-        per_frac.append(F.struct(F.lit(b).alias("b"), lo.alias("lo"), hi.alias("hi"),
-                                 F.array(*mine).alias("ks")))
-    whole = F.array(F.struct(F.lit(-1).alias("b"), (-inf).alias("lo"), inf.alias("hi"),
-                             F.array(*ks).alias("ks")))
     small = F.col("__n") <= 4 * accuracy
-    brackets = F.when(small, whole).otherwise(F.array(*per_frac))
-    stats = stats.select(*g, "__n", brackets.alias("__t"),
-                         F.when(small, F.col("__n")).otherwise(8 * F.col("__n") / accuracy).alias("__est"))
-    from hydrosift.session import cut_lineage
-    stats = cut_lineage(stats)  # one row per group, read by every later pass
 
+    def bracket(i: int, rank: Column) -> Column:
+        k = rank.cast("long")
+        lo = F.floor((k / F.col("__n") - eps) * accuracy).cast("int")
+        hi = F.ceil((k / F.col("__n") + eps) * accuracy).cast("int")
+        return F.struct(F.lit(i).alias("i"), k.alias("k"),
+                        F.when(small | (lo < 1), -inf).otherwise(F.get("__q", lo)).alias("lo"),
+                        F.when(small | (hi >= accuracy), inf).otherwise(F.get("__q", hi)).alias("hi"))
+
+    asked = F.filter(F.array(*[bracket(i, r) for i, r in enumerate(ranks)]), lambda t: (t["k"] >= 0) & (t["k"] < F.col("__n")))
+    stats = per_group(stats.select(*g, "__n", asked.alias("__t"),
+                                   F.when(small, F.col("__n")).otherwise(8 * F.col("__n") / accuracy).alias("__est")))
     x = F.col("__x")
-    inband = (F.col("__v") >= x["lo"]) & (F.col("__v") <= x["hi"])
-    grid_n = accuracy
-    grid = [j / grid_n for j in range(grid_n + 1)]
-    for _ in range(max_rounds):
-        widest = stats.agg(F.max("__est")).first()[0]
-        if widest is None or widest <= max_band:
-            break
+    inside = (F.col("__v") >= x["lo"]) & (F.col("__v") <= x["hi"])
+    while (stats.agg(F.max("__est")).first()[0] or 0) > max_band:
         e = d.join(stats.select(*g, "__t"), g).select(*g, "__v", F.explode("__t").alias("__x"))
-        r = e.groupBy(*g, x["b"].alias("__b")).agg(
-            F.first("__x").alias("__x"),
-            F.count_if(F.col("__v") < x["lo"]).alias("__below"),
-            F.count_if(inband).alias("__in"),
-            F.percentile_approx(F.when(inband, F.col("__v")), grid, accuracy).alias("__grid"))
-        kmin = F.array_min(F.transform(x["ks"], lambda t: t["k"]))
-        kmax = F.array_max(F.transform(x["ks"], lambda t: t["k"]))
-        c = F.col("__in")
-        i_lo = F.floor(((kmin - F.col("__below")) / c - eps) * grid_n).cast("int")
-        i_hi = F.ceil(((kmax - F.col("__below")) / c + eps) * grid_n).cast("int")
-        refine = c > 2 * max(accuracy, 1)
-        new_lo = F.when(refine & (i_lo >= 0), F.try_element_at("__grid", i_lo + 1)).otherwise(x["lo"])
-        new_hi = F.when(refine & (i_hi <= grid_n), F.try_element_at("__grid", i_hi + 1)).otherwise(x["hi"])
-        est = F.when(refine, c * 8.0 / accuracy).otherwise(c)
-        r = r.select(*g, F.struct(x["b"].alias("b"), new_lo.alias("lo"), new_hi.alias("hi"),
-                                  x["ks"].alias("ks")).alias("__s"), est.alias("__e"))
+        r = e.groupBy(*g, x["i"].alias("__i")).agg(
+            F.first("__x").alias("__x"), F.count_if(F.col("__v") < x["lo"]).alias("__below"), F.count_if(inside).alias("__in"),
+            F.approx_count_distinct(F.when(inside, F.col("__v"))).alias("__different"),
+            F.percentile_approx(F.when(inside, F.col("__v")), grid, accuracy).alias("__grid"))
+        at = (x["k"] - F.col("__below")) / F.col("__in")
+        lo = F.floor((at - eps) * accuracy).cast("int")
+        hi = F.ceil((at + eps) * accuracy).cast("int")
+        wide = F.col("__different") > max_band / 2
+        new = F.struct(x["i"].alias("i"), x["k"].alias("k"),
+                       F.when(wide & (lo >= 1), F.get("__grid", lo)).otherwise(x["lo"]).alias("lo"),
+                       F.when(wide & (hi < accuracy), F.get("__grid", hi)).otherwise(x["hi"]).alias("hi"))
+        est = F.when(wide, 8.0 * F.col("__different") / accuracy).otherwise(F.lit(0.0))
+        r = r.select(*g, new.alias("__s"), est.alias("__e"))
         nxt = r.groupBy(*g).agg(F.collect_list("__s").alias("__t"), F.max("__e").alias("__est"))
-        stats = cut_lineage(stats.select(*g, "__n").join(nxt, g))
-
-    e = d.join(stats.select(*g, "__n", "__t"), g).select(*g, "__n", "__v", F.explode("__t").alias("__x"))
-    agg = e.groupBy(*g, x["b"].alias("__b")).agg(
-        F.count_if(F.col("__v") < x["lo"]).alias("__below"),
-        F.array_sort(F.collect_list(F.when(inband, F.col("__v")))).alias("__band"),
-        F.first(x["ks"]).alias("__ks"), F.first("__n").alias("__n"))
-
-    def pick(kk):
-        pos = (kk["k"] - F.col("__below") + 1).cast("int")
-        return F.struct(kk["i"].alias("i"),
-                        F.when((kk["k"] >= 0) & (pos >= 1), F.try_element_at("__band", pos)).alias("val"))
-
-    picked = agg.select(*g, "__n", F.inline(F.transform("__ks", pick)))
-    return picked.groupBy(*g).agg(*[F.max(F.when(F.col("i") == i, F.col("val"))).alias(n)
-                                    for i, n in enumerate(names)], F.first("__n").alias("__n"))
+        stats = per_group(stats.select(*g, "__n").join(nxt, g))
+
+    e = d.join(stats.select(*g, "__t"), g).select(*g, "__v", F.explode("__t").alias("__x")).where(F.col("__v") <= x["hi"])
+    counted = e.groupBy(*g, x["i"].alias("i"), x["k"].alias("k"), F.when(inside, F.col("__v")).alias("val")).agg(
+        F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*g, "i").orderBy(F.col("val").asc_nulls_first()))
+    hit = counted.withColumn("__to", upto).where((F.col("k") < F.col("__to")) & (F.col("k") >= F.col("__to") - F.col("__c")))
+    val = F.when(F.col("val").isNull(), F.raise_error(F.lit("a rank lies below its bracket")).cast("double")).otherwise(F.col("val"))
+    picked = hit.groupBy(*g).agg(F.count(F.lit(1)).alias("__found"),
+                                 *[F.max(F.when(F.col("i") == i, val)).alias(n) for i, n in enumerate(names)])
+    out = stats.select(*g, "__n", F.size("__t").alias("__asked")).join(picked, g, "left")
+    missed = F.coalesce("__found", F.lit(0)) < F.col("__asked")
+    return out.select(*g, *names, F.when(missed, F.raise_error(F.lit("a rank lies above its bracket")).cast("long"))
+                      .otherwise(F.col("__n")).alias("__n"))
 
 
 def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str,
@@ -138,13 +113,12 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str,
     built on ``order_stats``.  Groups with no non-null value are absent."""
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     n = F.col("__n")
-    ranks, approx, tmp = [], [], []
+    ranks, tmp = [], []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (n - 1)
         ranks += [F.floor(pos), F.ceil(pos)]
-        approx += [p, p]
         tmp += [f"__a{i}", f"__b{i}"]
-    o = order_stats(df, group_cols, value, approx, ranks, tmp, accuracy)
+    o = order_stats(df, group_cols, value, ranks, tmp, accuracy)
     g = _g(group_cols)
     outs = []
     for i, p in enumerate(probs):
@@ -223,7 +197,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, group_cols: Sequence[st
     """
     g = _g(group_cols)
     if not g:
-        out = histogram(df.withColumn("__all", F.lit(0)), value, bins, ["__all"], density)
+        out = histogram(df.withColumn("__all", single_key(value)), value, bins, ["__all"], density)
         return out.drop("__all")
     v = F.col(value).cast("double")
     # No NULL filter: the aggregates skip NULLs and a NULL value lands in a
@@ -234,7 +208,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, group_cols: Sequence[st
                            F.count("__v").alias("__n")).where(F.col("__n") > 0)
     lo = F.when(F.col("__mx") == F.col("__mn"), F.col("__mn") - 0.5).otherwise(F.col("__mn"))
     hi = F.when(F.col("__mx") == F.col("__mn"), F.col("__mx") + 0.5).otherwise(F.col("__mx"))
-    st = st.select(*g, "__n", lo.alias("__lo"), hi.alias("__hi"))
+    st = per_group(st.select(*g, "__n", lo.alias("__lo"), hi.alias("__hi")))
     j = d.join(st, g)
     b = F.floor((F.col("__v") - F.col("__lo")) * (F.lit(float(bins)) / (F.col("__hi") - F.col("__lo"))))
     b = F.when(F.col("__v").isNotNull(), F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1))).cast("int")
@@ -254,28 +228,38 @@ def histogram(df: DataFrame, value: str, bins: int = 10, group_cols: Sequence[st
 def kde(df: DataFrame, value: str, grid: int = 200, group_cols: Sequence[str] = ()) -> DataFrame:
     """Gaussian kernel density on ``grid`` points from min to max.
 
-    Scott bandwidth ``n^(-1/5) * std(ddof=1)``.  Each value contributes to the
-    fixed grid through ``explode`` of the grid index and a partially
-    aggregated sum, so the work is linear in rows and never pairs rows.
+    Scott bandwidth ``n^(-1/5) * std(ddof=1)``.  Equal values are combined
+    first.  A value reaches only the grid points within 38.6 bandwidths: beyond
+    that ``exp(-z*z/2)`` is exactly 0 in doubles, so nothing is lost and the
+    reach shrinks as the group grows.
     """
     g = _g(group_cols)
     if not g:
-        return kde(df.withColumn("__all", F.lit(0)), value, grid, ["__all"]).drop("__all")
+        return kde(df.withColumn("__all", single_key(value)), value, grid, ["__all"]).drop("__all")
     v = F.col(value).cast("double")
-    d = df.select(*g, v.alias("__v")).where(F.col("__v").isNotNull())
-    st = d.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__v").alias("__sd"),
-                           F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
-    st = st.withColumn("__h", F.pow(F.col("__n").cast("double"), -0.2) * F.col("__sd"))
-    j = d.join(st, g)
-    step = (F.col("__mx") - F.col("__mn")) / (grid - 1)
-    e = j.select(*g, "__v", "__mn", "__h", "__n", step.alias("__step"),
-                 F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    d = df.select(*g, v.alias("__v")).groupBy(*g, "__v").agg(F.count("__v").alias("__c"))
+    n, mean = F.sum("__c"), F.sum(F.col("__c") * F.col("__v")) / F.sum("__c")
+    st = d.groupBy(*g).agg(n.alias("__n"), mean.alias("__mean"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
+    st = per_group(st.where("__n > 0"))
+    dev = F.col("__v") - F.col("__mean")
+    sd = d.join(st, g).groupBy(*g).agg(F.sqrt(F.sum(F.col("__c") * dev * dev) / (F.first("__n") - 1)).alias("__sd"))
+    st = per_group(st.join(sd, g).select(
+        *g, "__n", "__mn", (F.pow(F.col("__n").cast("double"), -0.2) * F.col("__sd")).alias("__h"),
+        ((F.col("__mx") - F.col("__mn")) / (grid - 1)).alias("__step")))
+    at = (F.col("__v") - F.col("__mn")) / F.col("__step")
+    reach = 38.6 * F.col("__h") / F.col("__step")
+    bounded = (F.col("__step") > 0) & (F.col("__h") > 0)
+    lo = F.when(bounded, F.greatest(F.floor(at - reach), F.lit(0))).otherwise(F.lit(0))
+    hi = F.when(bounded, F.least(F.ceil(at + reach), F.lit(grid - 1))).otherwise(F.lit(grid - 1))
+    e = d.where("__c > 0").join(st, g).select(*g, "__v", "__c", "__mn", "__h", "__step",
+                                             F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("point"))
     x = F.col("__mn") + F.col("point") * F.col("__step")
     z = (x - F.col("__v")) / F.col("__h")
-    dens = e.groupBy(*g, "point").agg(
-        F.first(x).alias("x"),
-        (F.sum(F.exp(-0.5 * z * z)) / (F.first("__n") * F.first("__h") * math.sqrt(2 * math.pi))).alias("density"))
-    return dens
+    sums = e.groupBy(*g, "point").agg(F.sum(F.col("__c") * F.exp(-0.5 * z * z)).alias("__s"))
+    points = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    return points.join(sums, [*g, "point"], "left").select(
+        *g, "point", x.alias("x"),
+        (F.coalesce("__s", F.lit(0.0)) / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def _long(df: DataFrame, group_cols: Sequence[str], params: Sequence[str],
@@ -305,6 +289,7 @@ def box_stats(df: DataFrame, params: Sequence[str], group_cols: Sequence[str] =
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr")) \
          .withColumn("upper_fence", F.col("q3") + whisker * F.col("iqr"))
+    q = per_group(q)
     j = lg.join(q.select(*g, "lower_fence", "upper_fence"), g)
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
     agg = j.groupBy(*g).agg(

@@ -138,3 +138,15 @@ def test_knn_impute_matches_brute_force(spark):
     want = _brute_knn_impute(x[fit_idx], x, 5)
     assert not got[["a", "b", "c", "d"]].isna().any().any()
     np.testing.assert_allclose(got[["a", "b", "c", "d"]].to_numpy(), want, rtol=1e-9, atol=1e-12)
+
+
+def test_smote_of_large_classes_loses_no_row(spark):
+    df = spark.range(17_000).select(F.col("id").alias("key"), F.array(F.col("id").cast("double")).alias("features"),
+                                    F.when(F.col("id") < 12_000, "a").otherwise("b").alias("label"))
+    assert K.smote(df).count() == 7_000
+
+
+def test_smote_of_a_one_row_class_is_empty(spark):
+    df = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "a"), (3, [3.0], "b")], "key long, features array<double>, label string")
+    got = K.smote(df)
+    assert got.columns == ["label", "features", "base_key", "nbr_key", "syn_id"] and got.count() == 0

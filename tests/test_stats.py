@@ -86,9 +86,25 @@ def test_order_stats_refinement_rounds(spark):
     df, rows = _frame(spark, n=6000, groups=2, seed=5)
     got = {r.g: r for r in S.exact_percentiles(df, ["g"], "v", [0.1, 0.5, 0.97], ["a", "b", "c"],
                                                accuracy=20).collect()}
-    got2 = {r.g: r for r in S.order_stats(df, ["g"], "v", [0.5], [F.floor(F.col("__n") / 2)], ["m"],
+    got2 = {r.g: r for r in S.order_stats(df, ["g"], "v", [F.floor(F.col("__n") / 2)], ["m"],
                                           accuracy=20, max_band=30).collect()}
     for g in range(2):
         vals = np.sort(np.array([v for gg, v in rows if gg == g and v is not None]))
         assert [got[g].a, got[g].b, got[g].c] == pytest.approx(np.percentile(vals, [10, 50, 97]), rel=1e-12)
         assert got2[g].m == vals[len(vals) // 2]
+
+
+def test_ties_cost_one_row_each(spark):
+    df = spark.range(1_000_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 5).cast("double").alias("v"))
+    got = S.exact_percentiles(df, ["g"], "v", [0.25, 0.5, 0.9], accuracy=100).orderBy("g").collect()
+    for r in got:
+        x = sorted(v % 5 for v in range(r.g, 1_000_000, 2))
+        assert (r.p25, r.p50, r.p90) == (x[124999], x[249999], x[449999])
+
+
+def test_any_rank_is_served(spark):
+    df = spark.range(20_000).select(F.xxhash64("id").cast("double").alias("v"))
+    x = sorted(r.v for r in df.collect())
+    ranks = [0, 1, 137, 8_000, 19_999]
+    got = S.order_stats(df, [], "v", [F.lit(k) for k in [*ranks, 20_000, -1]], [f"r{i}" for i in range(7)], max_band=50).first()
+    assert [got[f"r{i}"] for i in range(7)] == [*(x[k] for k in ranks), None, None] and got["__n"] == 20_000
