@@ -7,6 +7,7 @@ lookup), and every summary is an aggregate over the scored table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -179,11 +180,17 @@ def class_distribution(df: DataFrame) -> DataFrame:
     return df.groupBy("wqi_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _filled(template: str, **parts) -> Column:
+    """A fixed text with its ``{name}`` places taken by columns."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p])
+
+
 def alert_outbox(df: DataFrame, authority: str = "health-authority") -> DataFrame:
     """One row per message to send for flagged people (F13): the person when
     the e-mail is non-empty, and the health authority always.  Sending is not
     ours; this is the table a mailer consumes."""
-    f = flagged(df)
+    f = recommendations(flagged(df))
     name = F.col("name").cast("string")
     level = F.col("risk_level")
     trig = F.when(F.size("triggers") > 0, F.array_join("triggers", "; ")).otherwise("No critical triggers")
@@ -192,17 +199,20 @@ def alert_outbox(df: DataFrame, authority: str = "health-authority") -> DataFram
                     F.lit("). Site: "), F.coalesce(F.col("nearest_site"), F.lit("—")),
                     F.lit(" (WQI class: "), F.col("wqi_class"), F.lit("). Triggers: "), trig,
                     F.lit(". Symptoms: "), sym, F.lit("."))
-    person_subj = F.concat(F.lit("["), level, F.lit(" RISK] Water Quality Health Alert — "),
-                           F.coalesce(name, F.lit("Resident")))
-    auth_subj = F.concat(F.lit("[HEALTH ALERT — "), level, F.lit("] "), F.coalesce(name, F.lit("Unknown")),
-                         F.lit(" | Site: "), F.coalesce(F.col("nearest_site"), F.lit("—")))
+    site = F.coalesce(F.col("nearest_site"), F.lit("—"))
+    person_subj = _filled(L.PERSON_SUBJECT, level=level, name=F.coalesce(name, F.lit("Resident")))
+    auth_subj = _filled(L.AUTHORITY_SUBJECT, level=level, name=F.coalesce(name, F.lit("Unknown")), site=site)
+    person_body = F.concat(body, F.lit(" Recommendations: "), F.array_join("recommendations", " "))
+    mail = F.when(F.col("email") != "", F.col("email"))
+    auth_body = F.concat(body, F.lit(" Age: "), F.coalesce(F.col("age").cast("string"), F.lit("—")), F.lit(". Gender: "),
+                         F.coalesce(F.col("gender"), F.lit("—")), F.lit(". E-mail: "), F.coalesce(mail, F.lit("—")), F.lit("."))
     has_mail = F.coalesce(F.col("email"), F.lit("")) != ""
     msgs = F.array(
         F.when(has_mail, F.struct(F.lit("person").alias("recipient_kind"), F.col("email").alias("recipient"),
-                                  person_subj.alias("subject"))),
+                                  person_subj.alias("subject"), person_body.alias("body"))),
         F.struct(F.lit("authority").alias("recipient_kind"), F.lit(authority).alias("recipient"),
-                 auth_subj.alias("subject")))
-    return f.select("person_id", F.inline(F.array_compact(msgs)), body.alias("body"))
+                 auth_subj.alias("subject"), auth_body.alias("body")))
+    return f.select("person_id", F.inline(F.array_compact(msgs)))
 
 
 def symptom_text(df: DataFrame) -> DataFrame:

@@ -183,7 +183,8 @@ def _describe_sql(src: str, cols, group: str | None = None) -> str:
     return " UNION ALL ".join(parts)
 
 
-DESCRIBE_COLS = ["ph", "turbidity", "chloride_(ppm)", "nitrate(ppm)", "iron_(ug/l)"]
+DESCRIBE_COLS = ["ph", "turbidity", "chloride_(ppm)", "sulphates(ppm)", "nitrate(ppm)", "fluorides(ppm)",
+                 "iron_(ug/l)", "do(ppm)", "bod(ppm)", "remarks"]
 
 
 @register("describe_clean", V.with_views(_describe_sql("clean2", DESCRIBE_COLS), "clean2"))
@@ -303,7 +304,7 @@ def q_box_stats(spark, sf):
                     "n", r6("mean"), r6("std_pop"), r6("whisker_lo"), r6("whisker_hi"), "n_outliers")
 
 
-CORR_COLS = ["ph", "turbidity", "chloride", "nitrate", "fluoride", "iron", "wqi"]
+CORR_COLS = [*PARAMS, "wqi"]
 
 
 @register("corr_matrix", V.with_views(" UNION ALL ".join(
@@ -359,7 +360,7 @@ def q_water_type_summary(spark, sf):
                     "worst_class", "best_site", r6("best_wqi"), "best_class")
 
 
-PAIR_PARAMS = ["ph", "turbidity", "nitrate", "iron"]
+PAIR_PARAMS = PARAMS
 
 
 @register("param_pairs", V.with_views(" UNION ALL ".join(
@@ -418,8 +419,8 @@ def q_people_recommendations(spark, sf):
     return p.select("person_id", "risk_level", F.array_join("recommendations", " / ").alias("recommendations"))
 
 
-@register("alert_outbox", V.with_views("""
-WITH f AS (SELECT *, 'Risk: ' || risk_level || ' (score ' || CAST(risk_score AS VARCHAR) || '). Site: '
+@register("alert_outbox", V.with_views(f"""
+WITH f AS (SELECT *, array_to_string({V.RECS}, ' ') AS recs, 'Risk: ' || risk_level || ' (score ' || CAST(risk_score AS VARCHAR) || '). Site: '
                  || coalesce(nearest_site, '—') || ' (WQI class: ' || wqi_class || '). Triggers: '
                  || CASE WHEN len(triggers) > 0 THEN array_to_string(triggers, '; ') ELSE 'No critical triggers' END
                  || '. Symptoms: '
@@ -427,12 +428,15 @@ WITH f AS (SELECT *, 'Risk: ' || risk_level || ' (score ' || CAST(risk_score AS
                  || '.' AS body
            FROM sp WHERE risk_level IN ('CRITICAL', 'HIGH'))
 SELECT person_id, 'person' AS recipient_kind, email AS recipient,
-       '[' || risk_level || ' RISK] Water Quality Health Alert — ' || coalesce(name, 'Resident') AS subject, body
+       '[' || risk_level || ' RISK] Water Quality Health Alert — ' || coalesce(name, 'Resident') AS subject,
+       body || ' Recommendations: ' || recs AS body
 FROM f WHERE coalesce(email, '') <> ''
 UNION ALL
 SELECT person_id, 'authority', 'health-authority',
        '[HEALTH ALERT — ' || risk_level || '] ' || coalesce(name, 'Unknown') || ' | Site: '
-       || coalesce(nearest_site, '—'), body FROM f""", "sp"))
+       || coalesce(nearest_site, '—'),
+       body || ' Age: ' || coalesce(CAST(age AS VARCHAR), '—') || '. Gender: ' || coalesce(gender, '—')
+       || '. E-mail: ' || coalesce(nullif(email, ''), '—') || '.' FROM f""", "sp"))
 def q_alert_outbox(spark, sf):
     return SV.alert_outbox(_people(spark, sf))
 
@@ -670,7 +674,7 @@ def q_median_impute(spark, sf):
     return out.select("key", *[rs6(c) for c in MLF])
 
 
-STD_COLS = ["ph", "turbidity", "chloride", "sulphate", "do", "bod"]
+STD_COLS = MLF
 
 
 @register("standardize", V.with_views(
@@ -687,7 +691,7 @@ def q_standardize(spark, sf):
     return out.select("key", "is_test", *[r6(c) for c in STD_COLS])
 
 
-NOISE_COLS = ["ph", "turbidity", "nitrate", "iron"]
+NOISE_COLS = MLF
 
 
 def _noise_sql(c: str, frac: float) -> str:
@@ -981,12 +985,33 @@ def q_knn_impute(spark, sf):
     return out.select("key", "water_type", "is_test", *[rs6(c) for c in MLF])
 
 
-@register("smote_synthetic")
+_SYN = "CAST(s.key AS VARCHAR) || '|' || CAST(s.syn_id AS VARCHAR)"
+
+
+@register("smote_synthetic", f"""
+WITH pts AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS features, CAST(label AS INTEGER) AS label FROM embeddings),
+c AS (SELECT label, count(*) AS n_c FROM pts GROUP BY label),
+mx AS (SELECT max(n_c) AS mx, least(5, min(n_c) - 1) AS kk FROM c),
+need AS (SELECT label, n_c, mx - n_c AS m, kk FROM c, mx WHERE mx > n_c AND n_c > 1 AND kk >= 1),
+base AS (
+  SELECT p.*, kk, m // n_c + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY
+         {V.unit_hash_sql("CAST(key AS VARCHAR)", "42")}) <= m % n_c THEN 1 ELSE 0 END AS reps
+  FROM pts p JOIN need USING (label)),
+nb AS (
+  SELECT a.key, r.key AS nbr, r.features AS nf,
+         row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.features, r.features), r.key) AS rk
+  FROM base a JOIN pts r ON r.label = a.label AND r.key <> a.key WHERE a.reps > 0),
+s AS (SELECT *, unnest(range(reps)) AS syn_id FROM base WHERE reps > 0)
+SELECT s.label, s.key AS base_key, nb.nbr AS nbr_key, CAST(s.syn_id AS INTEGER) AS syn_id,
+       array_to_string(list_transform(range(1, len(s.features) + 1), lambda i: CAST(CAST(round(1000000 * (s.features[i]
+         + {V.unit_hash_sql(_SYN, "42s")} * (nb.nf[i] - s.features[i])), 0) AS BIGINT) AS VARCHAR)), ',') AS features_micro
+FROM s JOIN nb ON nb.key = s.key AND nb.rk = 1 + {V.hash_long_sql(_SYN, "42n")} % s.kk""")
 def q_smote_synthetic(spark, sf):
-    """Rows-only check: SMOTE over the whole points table (exact kNN per class)."""
+    """SMOTE over the whole points table (exact kNN per class); features in millionths."""
     s = KN.smote(VW.points(spark, sf), "key", "features", "label")
-    return s.select("label", "base_key", "nbr_key", "syn_id",
-                    F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    micro = F.transform("features", lambda x: F.round(1000000 * x, 0).cast("long").cast("string"))
+    return s.select("label", "base_key", "nbr_key", F.col("syn_id").cast("int").alias("syn_id"),
+                    F.array_join(micro, ",").alias("features_micro"))
 
 
 # ------------------------------------------------------------ models (H1-H19), rows-only checks
@@ -1107,6 +1132,80 @@ def q_grid_search_rf(spark, sf):
                                        "test_r2 double")
 
 
+# ------------------------------------------------------------ operators without a query of their own
+
+@register("minmax_scores", V.with_views("""
+SELECT water_type, site, round(CASE WHEN hi = lo THEN 0.0 ELSE (wqi_mean - lo) / (hi - lo) END, 6) AS score
+FROM profile JOIN (SELECT water_type, min(wqi_mean) AS lo, max(wqi_mean) AS hi FROM profile GROUP BY water_type) m
+  USING (water_type)""", "profile"))
+def q_minmax_scores(spark, sf):
+    """C13 over the site profiles of each water type."""
+    out = S.minmax_norm(flows.site_profiles(spark, sf), "wqi_mean", ["water_type"], "score")
+    return out.select("water_type", "site", r6("score"))
+
+
+_FACTS = {"nitrate_is_null": "CAST(CASE WHEN nitrate IS NULL THEN 1 ELSE 0 END AS INTEGER)",
+          "quality": "coalesce(label, 'Unknown')"}
+
+
+@register("feature_prep", V.with_views(f"""
+SELECT key, {_FACTS['nitrate_is_null']} AS nitrate_is_null, {_FACTS['quality']} AS quality, year AS sample_year,
+       CAST(year AS DOUBLE) AS year_number, round(ph, 6) AS ph, round("do", 6) AS "do"
+FROM ml WHERE wqi IS NOT NULL AND ph IS NOT NULL AND "do" IS NOT NULL""", "ml"))
+def q_feature_prep(spark, sf):
+    """B3 and B13-B19, B24-B26 on the ML frame: leaks and empty columns go, the
+    target's copy is dropped as correlated, labels are filled."""
+    m = _ml(spark, sf).withColumns({"empty": F.lit(None).cast("double"), "wqi_copy": F.col("wqi") * 2,
+                                    "blank": F.col("nitrate").isNull()})
+    m = C.drop_empty_columns(m, cols=["empty", "ph"])
+    m = C.drop_leaky_columns(m, ["wqi_class", "site"])
+    m = C.drop_if_correlated(m, "wqi_copy", "wqi")
+    assert "empty" not in m.columns and "wqi_copy" not in m.columns and "site" not in m.columns
+    assert set(C.numeric_features(m, ["wqi", "year"])) == set(MLF)
+    m = C.align(m, C.resolve_column(m, ["W Q I"], tolerant=True))
+    m = C.drop_null_rows(m, ["ph", "do"])
+    m = C.rename(C.fill_label(C.bool_to_int(m, ["blank"]), "label"), {"blank": "nitrate_is_null", "label": "quality"})
+    m = C.to_double(m.withColumns({"sample_year": F.col("year"), "year_number": F.col("year")}), ["year_number"])
+    out = C.project(m, ["key", "nitrate_is_null", "quality", "sample_year", "year_number", "ph", "do"])
+    return out.withColumns({"ph": r6("ph"), "do": r6("do")})
+
+
+@register("missing_nitrate", V.with_views("SELECT key, water_type FROM ml WHERE nitrate IS NULL", "ml"))
+def q_missing_nitrate(spark, sf):
+    return C.null_rows(_ml(spark, sf), "nitrate").select("key", "water_type")
+
+
+@register("stage_roundtrip", V.with_views("""
+SELECT trim("Site") AS site, "Year" AS year, "pH" AS ph, CAST(count(*) AS BIGINT) AS n FROM raw GROUP BY ALL""", "raw"))
+def q_stage_roundtrip(spark, sf):
+    """A1-A4: the raw sheet goes out as CSV, is read back as text, and its counts as a Parquet metric table."""
+    import uuid
+
+    from hydrosift.session import ensure_checkpoint_dir
+    from hydrosift.sources import tables as TB
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    TB.write_stage(VW.raw_readings(spark, sf).select("Site", "Year", "pH"), f"{base}/sheet", "csv")
+    back = TB.read_csv_readings(spark, f"{base}/sheet")
+    TB.write_stage(back.groupBy(F.trim("Site").alias("site"), F.col("Year").alias("year"), F.col("pH").alias("ph")).agg(
+        F.count(F.lit(1)).alias("n")), f"{base}/counts")
+    return TB.read_stage(spark, f"{base}/counts")
+
+
+@register("dms_coordinates", """
+SELECT l_orderkey, l_linenumber, dir, round(CASE WHEN dir IN ('S', 'W') THEN -v ELSE v END, 6) AS degrees FROM (
+  SELECT l_orderkey, l_linenumber, ['N', 'S', 'E', 'W'][CAST(l_orderkey % 4 AS INTEGER) + 1] AS dir,
+         CAST(l_quantity AS DOUBLE) + CAST(l_partkey % 60 AS DOUBLE) / 60 + CAST(l_suppkey % 63 AS DOUBLE) / 3600 AS v
+  FROM lineitem)""")
+def q_dms_coordinates(spark, sf):
+    """E4 over degrees, minutes and seconds made from line items (seconds run past 60, as in the study)."""
+    from hydrosift.functions.text import dms_to_decimal
+    from hydrosift.sources.tables import table
+    li = table(spark, sf, "lineitem").withColumn("dir", F.element_at(
+        F.array(*map(F.lit, "NSEW")), (F.pmod("l_orderkey", F.lit(4)) + 1).cast("int")))
+    deg = dms_to_decimal("l_quantity", F.pmod("l_partkey", F.lit(60)), F.pmod("l_suppkey", F.lit(63)), F.col("dir"))
+    return li.select("l_orderkey", "l_linenumber", "dir", (deg + 0.0).alias("degrees"))
+
+
 # ------------------------------------------------------------ streaming
 
 from hydrosift.streaming import alerts as ST  # noqa: E402
