@@ -10,6 +10,7 @@ a missing index compares false everywhere and lands in the last branch.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,46 +22,43 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def bis_wqi(params: Mapping[str, str | Column], limits: Mapping = BIS_LIMITS) -> Column:
+def _mapped(params: Mapping, table: Mapping, missing: str) -> list[tuple]:
+    """(column, its table entry) of the parameters to use; one without a column
+    is an error unless ``missing`` is "skip"."""
+    absent = [p for p in table if p not in params]
+    if absent and missing != "skip":
+        raise ValueError(f"no column for {', '.join(absent)}; pass missing='skip' to leave them out")
+    return [(_c(params[p]).cast("double"), p, entry) for p, entry in table.items() if p in params]
+
+
+def _weighted_mean(terms: list[tuple[Column, float]]) -> Column:
+    """Mean of the non-null sub-indices by weight; NULL when all are NULL."""
+    total = reduce(lambda x, y: x + y, [F.coalesce(q * F.lit(w), F.lit(0.0)) for q, w in terms], F.lit(0.0))
+    weight = reduce(lambda x, y: x + y, [F.when(q.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for q, w in terms], F.lit(0.0))
+    return F.when(weight > 0, total / weight)
+
+
+def bis_wqi(params: Mapping[str, str | Column], limits: Mapping = BIS_LIMITS, missing: str = "raise") -> Column:
     """Weighted mean of sub-indices over the parameters present in the row.
 
     ``params`` maps a limit name to its column.  Weight ``1/limit`` (a range
     uses its high end); sub-index ``value/limit*100``, for pH
     ``|v-7|/1.5*100``.  NULL when no parameter is present.
     """
-    num = F.lit(0.0)
-    den = F.lit(0.0)
-    for p, limit in limits.items():
-        if p not in params:
-            continue
-        v = _c(params[p]).cast("double")
-        if isinstance(limit, tuple):
-            w = 1 / limit[1]
-        else:
-            w = 1 / limit
-        if p == "ph":
-            q = F.abs(v - 7.0) / (8.5 - 7.0) * 100
-        else:
-            q = v / F.lit(float(limit)) * 100
-        num = num + F.coalesce(F.lit(w) * q, F.lit(0.0))
-        den = den + F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
-    return F.when(den != 0, num / den)
-
-
-def nsf_wqi(params: Mapping[str, str | Column], table: Mapping = NSF_PARAMS) -> Column:
+    def term(v: Column, name: str, limit) -> tuple[Column, float]:
+        high = limit[1] if isinstance(limit, tuple) else limit
+        return (F.abs(v - 7.0) / (8.5 - 7.0) * 100 if name == "ph" else v / high * 100), 1 / high
+    return _weighted_mean([term(*m) for m in _mapped(params, limits, missing)])
+
+
+def nsf_wqi(params: Mapping[str, str | Column], table: Mapping = NSF_PARAMS, missing: str = "raise") -> Column:
     """NSF-style surface-water index (C2): sub-index 100 at or below the ideal,
     else ``max(0, 100*(std-v)/(std-ideal))``; weighted mean over present values."""
-    s = F.lit(0.0)
-    w = F.lit(0.0)
-    for p, (ideal, std, wt) in table.items():
-        if p not in params:
-            continue
-        v = _c(params[p]).cast("double")
-        qi = F.when(v <= ideal, F.lit(100.0)).otherwise(
-            F.greatest(F.lit(0.0), 100 * (F.lit(std) - v) / (std - ideal)))
-        s = s + F.coalesce(qi * wt, F.lit(0.0))
-        w = w + F.when(v.isNotNull(), F.lit(wt)).otherwise(F.lit(0.0))
-    return F.when(w > 0, s / w)
+    def term(v: Column, name: str, entry: tuple) -> tuple[Column, float]:
+        ideal, limit, weight = entry
+        falling = F.greatest(F.lit(0.0), 100 * (F.lit(limit) - v) / (limit - ideal))
+        return F.when(v <= ideal, F.lit(100.0)).when(v.isNotNull(), falling), weight
+    return _weighted_mean([term(*m) for m in _mapped(params, table, missing)])
 
 
 def _bands(x: Column, branches, last, null_mode: str) -> Column:

@@ -3,6 +3,8 @@
 Each operator is ``DataFrame -> DataFrame`` (use with ``df.transform``).
 Schema decisions (which columns exist, which are empty) are driver-side
 metadata; data-dependent decisions read one aggregated row.
+Cell rules are plain conditional expressions, so a chain of them fuses into one
+generated expression per column over the scan.
 """
 
 from __future__ import annotations
@@ -18,15 +20,13 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def _let(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and bind it for ``fn``.
+def evaluated(df: DataFrame) -> DataFrame:
+    """The same columns, computed once per row from here on.
 
-    Filters are pushed below projections with their inputs substituted; an
-    expression that names its input several times would then repeat the whole
-    upstream chain.  Binding through a one-element ``transform`` keeps every
-    step to a single evaluation of its input.
-    """
-    return F.transform(F.array(value), fn)[0]
+    A filter on computed columns is otherwise pushed below the projection with
+    every expression copied into it.  Producing the row through a one-element
+    generator stops that, stays inside generated code and writes nothing."""
+    return df.select(F.inline(F.array(F.struct(*[_q(c).alias(c) for c in df.columns]))))
 
 
 def normalize_name(name: str, style: str = "snake") -> str:
@@ -96,8 +96,7 @@ def trim_key(df: DataFrame, col: str = "site") -> DataFrame:
 def censored_to_null(df: DataFrame, cols: Sequence[str], tokens: Sequence[str]) -> DataFrame:
     """Exact-match censoring tokens -> NULL."""
     toks = list(tokens)
-    return df.withColumns({c: _let(_q(c), lambda x: F.when(x.isin(toks), F.lit(None)).otherwise(x))
-                           for c in cols})
+    return df.withColumns({c: F.when(~_q(c).isin(toks), _q(c)) for c in cols})
 
 
 def try_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -119,16 +118,14 @@ def convert_unit(df: DataFrame, col: str, divisor: float = 1000.0) -> DataFrame:
 
 def detection_floor(df: DataFrame, floors: Mapping[str, float]) -> DataFrame:
     """Raise values below half the detection limit to ``dl/2``; NULL stays NULL."""
-    def floor(dl):
-        return lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(dl / 2)))
-    return df.withColumns({c: _let(_q(c), floor(dl)) for c, dl in floors.items() if c in df.columns})
+    return df.withColumns({c: F.when(_q(c) < dl / 2, F.lit(dl / 2)).otherwise(_q(c))
+                           for c, dl in floors.items() if c in df.columns})
 
 
 def null_out_of_domain(df: DataFrame, domains: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Values outside ``(lo, hi)`` -> NULL."""
-    def clip(lo, hi):
-        return lambda x: F.when((x < lo) | (x > hi), F.lit(None).cast("double")).otherwise(x)
-    return df.withColumns({c: _let(_q(c), clip(lo, hi)) for c, (lo, hi) in domains.items() if c in df.columns})
+    return df.withColumns({c: F.when((_q(c) >= lo) & (_q(c) <= hi), _q(c))
+                           for c, (lo, hi) in domains.items() if c in df.columns})
 
 
 def drop_empty_columns(df: DataFrame, max_nonnull: int = 0, cols: Sequence[str] | None = None) -> DataFrame:

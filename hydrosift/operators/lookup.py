@@ -119,7 +119,3 @@ def append(*dfs: DataFrame) -> DataFrame:
 def pool(tagged: dict[str, DataFrame], tag: str = "water_type") -> DataFrame:
     """Both water types' values in one set, tagged (K2)."""
     return append(*[d.withColumn(tag, F.lit(k)) for k, d in tagged.items()])
-
-
-def literal_in(col: Column, values: Sequence[str]) -> Column:
-    return col.isin(list(values))

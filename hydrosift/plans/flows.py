@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrosift.functions import wqi as W
@@ -16,7 +16,7 @@ def with_index(df: DataFrame, null_mode: str = "null") -> DataFrame:
     """Add ``wqi`` and ``wqi_class``: the ground-water index and class on ground
     rows, the NSF-style index and class on surface rows."""
     gw = F.col("water_type") == "ground"
-    idx = F.when(gw, W.bis_wqi(views.GW_PARAM_MAP)).otherwise(W.nsf_wqi(views.SW_PARAM_MAP))
+    idx = F.when(gw, W.bis_wqi(views.GW_PARAM_MAP, missing="skip")).otherwise(W.nsf_wqi(views.SW_PARAM_MAP, missing="skip"))
     df = df.withColumn("wqi", idx)
     cls = F.when(gw, W.wqi_class_gw("wqi", null_mode)).otherwise(W.wqi_class_sw("wqi", null_mode))
     return df.withColumn("wqi_class", cls)
@@ -54,33 +54,29 @@ def clean_stage1(raw: DataFrame, tokens=None, frac: float | None = None) -> Data
     df = C.trim_key(df, "site")
     num = [c for c in df.columns if c not in ID_COLS]
     df = C.censored_to_null(df, num, tokens)
-    df = C.try_numeric(df, num)
+    df = C.evaluated(C.try_numeric(df, num))
     return C.drop_sparse_rows(df, num, frac)
 
 
+#: parameter -> column of the raw sheet, after its names are normalised
+SHEET_COLUMN = {"iron": "iron_(ug/l)", "fluoride": "fluorides(ppm)", "nitrate": "nitrate(ppm)", "ph": "ph", "tds": "tds"}
+
+
 def clean_stage2(df: DataFrame, frac: float | None = None) -> DataFrame:
     """Units, detection floors, domain limits, sparse rows again."""
     from hydrosift.operators import clean as C
-    from hydrosift.sources.lookups import SPARSE_ROW_FRACTION
+    from hydrosift.sources.lookups import DETECTION_LIMITS, DOMAIN_LIMITS, SPARSE_ROW_FRACTION
     frac = SPARSE_ROW_FRACTION if frac is None else frac
     df = C.convert_unit(df, "iron_(ug/l)", 1000.0)
-    df = C.detection_floor(df, {"iron_(ug/l)": 0.01, "fluorides(ppm)": 0.1, "nitrate(ppm)": 0.5})
-    df = C.null_out_of_domain(df, {"ph": (6.5, 8.5), "tds": (0.0, 2000.0), "nitrate(ppm)": (0.0, 100.0)})
+    df = C.detection_floor(df, {SHEET_COLUMN[p]: v for p, v in DETECTION_LIMITS.items()})
+    df = C.null_out_of_domain(df, {SHEET_COLUMN[p]: v for p, v in DOMAIN_LIMITS.items()})
+    df = C.evaluated(df)
     num = [c for c in df.columns if c not in ID_COLS]
     return C.drop_sparse_rows(df, num, frac)
 
 
-def raw_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw sheet as a stage on storage, like a landed CSV: the text view is
-    written once as Parquet under the shared checkpoint folder, and the
-    cleaning chain scans it instead of re-deriving every text cell inside its
-    pushed-down filters."""
-    from hydrosift.session import stage_table
-    return stage_table(views.raw_readings(spark, sf_dir), "raw_sheet")
-
-
 def cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_stage2(clean_stage1(raw_sheet(spark, sf_dir)))
+    return clean_stage2(clean_stage1(views.raw_readings(spark, sf_dir)))
 
 
 # ------------------------------------------------------------ people
@@ -122,21 +118,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule-based predictors for the evaluation operators: the index recomputed
     without one parameter, scored against the full index and its class.
 
-    One branch per (water type, model), so each branch carries only its own
-    index expressions."""
-    from hydrosift.operators.lookup import append
-    r = views.readings(spark, sf_dir)
-    parts = []
-    for wt, index, cls, pmap in (("ground", W.bis_wqi, W.wqi_class_gw, views.GW_PARAM_MAP),
-                                 ("surface", W.nsf_wqi, W.wqi_class_sw, views.SW_PARAM_MAP)):
-        base = r.where(F.col("water_type") == wt).withColumn("actual", index(pmap))
-        for pos, (m, drop) in enumerate(EVAL_MODELS.items()):
-            pred = index({k: v for k, v in pmap.items() if v != drop})
-            b = base.select("l_orderkey", "l_linenumber", "water_type", F.lit(m).alias("model"),
-                            F.lit(pos).alias("pos"), "actual", pred.alias("predicted"))
-            parts.append(b.withColumn("actual_class", cls("actual"))
-                          .withColumn("predicted_class", cls("predicted")))
-    return append(*parts)
+    One scan: a reading yields a row per model from one generator, so the
+    indices are evaluated once and every score reads their results."""
+    gw = F.col("water_type") == "ground"
+
+    def index(without: str | None = None) -> Column:
+        gp, sp = ({k: v for k, v in m.items() if v != without} for m in (views.GW_PARAM_MAP, views.SW_PARAM_MAP))
+        return F.when(gw, W.bis_wqi(gp, missing="skip")).otherwise(W.nsf_wqi(sp, missing="skip"))
+
+    def cls(c: str) -> Column:
+        return F.when(gw, W.wqi_class_gw(c)).otherwise(W.wqi_class_sw(c))
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(pos).alias("pos"), index().alias("actual"),
+                              index(drop).alias("predicted")) for pos, (m, drop) in enumerate(EVAL_MODELS.items())])
+    r = views.readings(spark, sf_dir).select("l_orderkey", "l_linenumber", "water_type", F.inline(rows))
+    return r.withColumns({"actual_class": cls("actual"), "predicted_class": cls("predicted")})
 
 
 # ------------------------------------------------------------ model inputs

@@ -110,7 +110,7 @@ FROM (SELECT *, {V.GW_WQI} AS w FROM readings WHERE water_type = 'ground') t
 """, "readings"))
 def q_gw_index_rows(spark, sf):
     r = VW.readings(spark, sf).where(F.col("water_type") == "ground")
-    r = r.withColumn("w", W.bis_wqi(VW.GW_PARAM_MAP))
+    r = r.withColumn("w", W.bis_wqi(VW.GW_PARAM_MAP, missing="skip"))
     return r.select("l_orderkey", "l_linenumber", "site", "year", r6("w", "wqi"),
                     W.wqi_class_gw("w").alias("wqi_class"), W.wqi_class_gw4("w").alias("wqi_class4"),
                     r6(W.priority_gw("w"), "priority_score"),
@@ -130,7 +130,7 @@ FROM (SELECT *, {V.SW_WQI} AS w FROM readings WHERE water_type = 'surface') t
 """, "readings"))
 def q_sw_index_rows(spark, sf):
     r = VW.readings(spark, sf).where(F.col("water_type") == "surface")
-    r = r.withColumn("w", W.nsf_wqi(VW.SW_PARAM_MAP)).withColumn("exposure_proxy", F.lit(1))
+    r = r.withColumn("w", W.nsf_wqi(VW.SW_PARAM_MAP, missing="skip")).withColumn("exposure_proxy", F.lit(1))
     pr = W.priority_sw("w", F.col("exposure_proxy"))
     return r.select("l_orderkey", "l_linenumber", "site", "year", r6("w", "wqi"),
                     W.wqi_class_sw("w").alias("wqi_class"), W.hotspot("w").alias("hotspot"),
@@ -160,13 +160,13 @@ def q_clean_readings(spark, sf):
     f"SELECT '{n}' AS \"column\", CAST(count(*) FILTER (WHERE \"{n}\" IS NULL) AS BIGINT) AS nulls FROM clean1"
     for n in ["site", "year"] + CLEAN_COLS), "clean1"))
 def q_null_profile_raw(spark, sf):
-    df = flows.clean_stage1(flows.raw_sheet(spark, sf))
+    df = flows.clean_stage1(VW.raw_readings(spark, sf))
     return S.null_profile(df, ["site", "year"] + CLEAN_COLS)
 
 
 @register("distinct_years", V.with_views("SELECT DISTINCT year FROM clean1", "clean1"))
 def q_distinct_years(spark, sf):
-    return S.distinct_values(flows.clean_stage1(flows.raw_sheet(spark, sf)), "year")
+    return S.distinct_values(flows.clean_stage1(VW.raw_readings(spark, sf)), "year")
 
 
 def _describe_sql(src: str, cols, group: str | None = None) -> str:
@@ -1218,8 +1218,8 @@ FROM events"""
 EVS_SQL = f"SELECT *, {V.gw_wqi_sql(['ph', 'turbidity', 'chloride', 'nitrate', 'iron'])} AS wqi FROM evr"
 
 
-def _run_stream(spark, sf):
-    qs, base = ST.run_alert_stream(spark, f"{sf.rstrip('/')}/event[s].parquet")
+def _run_stream(spark, sf, only):
+    qs, base = ST.run_alert_stream(spark, f"{sf.rstrip('/')}/event[s].parquet", only=only)
     for q in qs:
         q.awaitTermination()
     return base
@@ -1230,7 +1230,7 @@ WITH evr AS ({EVR_SQL}), evs AS ({EVS_SQL})
 SELECT event_id, site, round(wqi, 6) AS wqi, {V.GW_CLASS.format(x='wqi')} AS wqi_class,
        'Groundwater Quality Alert' AS subject FROM evs WHERE wqi > 200""")
 def q_stream_alerts(spark, sf):
-    a = ST.read_alerts(spark, _run_stream(spark, sf))
+    a = ST.read_alerts(spark, _run_stream(spark, sf, "alerts"))
     return a.select("event_id", "site", r6("wqi"), "wqi_class", "subject")
 
 
@@ -1240,5 +1240,5 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, site, round(avg(wqi),
        CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE wqi > 200) AS BIGINT) AS n_alerts
 FROM evs GROUP BY 1, 2""")
 def q_stream_daily_means(spark, sf):
-    d = ST.read_daily(spark, _run_stream(spark, sf))
+    d = ST.read_daily(spark, _run_stream(spark, sf, "daily"))
     return d.select("day", "site", r6("wqi_mean"), "n", "n_alerts")

@@ -198,41 +198,6 @@ def site_coords_rows():
     return rows
 
 
-def limits_df(spark: SparkSession, limits: dict = BIS_LIMITS) -> DataFrame:
-    schema = T.StructType([
-        T.StructField("param", T.StringType(), False),
-        T.StructField("lo", T.DoubleType(), True),
-        T.StructField("hi", T.DoubleType(), False),
-    ])
-    rows = [(k, float(v[0]), float(v[1])) if isinstance(v, tuple) else (k, None, float(v))
-            for k, v in limits.items()]
-    return spark.createDataFrame(rows, schema)
-
-
-def nsf_params_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, *map(float, v)) for k, v in NSF_PARAMS.items()],
-        "param string, ideal double, std double, weight double")
-
-
-def symptom_weights_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(pos, s, w) for pos, (s, w) in enumerate(SYMPTOM_WEIGHTS)],
-        "pos int, symptom string, weight int")
-
-
-def site_classes_df(spark: SparkSession, rows=None) -> DataFrame:
-    rows = rows if rows is not None else SITE_WQI_CLASS
-    return spark.createDataFrame(
-        [(pos, k, c) for pos, (k, c) in enumerate(rows)],
-        "pos int, key string, wqi_class string")
-
-
-def site_coords_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        site_coords_rows(), "pos int, key string, water_type string, lat double, lon double")
-
-
 def model_constants_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         MODEL_CONSTANTS, "model string, interpretability double, cv_stability double")

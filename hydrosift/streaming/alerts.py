@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hydrosift.functions import wqi as W
 from hydrosift.session import ensure_checkpoint_dir
+from hydrosift.sources.lookups import GW_ALERT_BODY, GW_ALERT_SUBJECT
 from hydrosift.sources.views import event_readings
 
 EVENT_PARAMS = {"ph": "ph", "turbidity": "turbidity", "chloride": "chloride", "nitrate": "nitrate",
@@ -24,11 +25,11 @@ EVENT_PARAMS = {"ph": "ph", "turbidity": "turbidity", "chloride": "chloride", "n
 
 def alert_rows(readings: DataFrame) -> DataFrame:
     """Index, class and alert flag per reading; message text for alerts."""
-    r = readings.withColumn("wqi", W.bis_wqi(EVENT_PARAMS))
+    r = readings.withColumn("wqi", W.bis_wqi(EVENT_PARAMS, missing="skip"))
     r = r.withColumn("wqi_class", W.wqi_class_gw("wqi")).withColumn("alert", W.alert_gw("wqi"))
-    body = F.format_string("Alert: Groundwater WQI at %s is %.2f, indicating high risk.", F.col("site"), F.col("wqi"))
+    body = F.format_string(GW_ALERT_BODY.format(site="%s", wqi="%.2f"), F.col("site"), F.col("wqi"))
     return r.withColumns({
-        "subject": F.when(F.col("alert"), F.lit("Groundwater Quality Alert")),
+        "subject": F.when(F.col("alert"), F.lit(GW_ALERT_SUBJECT)),
         "body": F.when(F.col("alert"), body),
     })
 
@@ -41,8 +42,9 @@ def _sink(path: str):
 
 def run_alert_stream(spark: SparkSession, source: str, out_dir: str | None = None,
                      schema=None, available_now: bool = True, processing_time: str | None = None,
-                     watermark: str = "1 day"):
-    """Start both streaming queries over a file source; returns (queries, out_dir).
+                     watermark: str = "1 day", only: str | None = None):
+    """Start the streaming queries ("alerts", "daily", or ``only`` one of them)
+    over a file source; returns (queries, out_dir).
 
     With ``available_now`` the queries process what is there and stop.
     """
@@ -58,6 +60,8 @@ def run_alert_stream(spark: SparkSession, source: str, out_dir: str | None = Non
                   F.count_if(F.col("alert")).alias("n_alerts")))
     queries = []
     for name, df, mode in (("alerts", alerts, "append"), ("daily", daily, "update")):
+        if only not in (None, name):
+            continue
         w = (df.writeStream.outputMode(mode).foreachBatch(_sink(f"{base}/{name}"))
              .option("checkpointLocation", f"{base}/_checkpoints/{name}"))
         if available_now:
@@ -69,7 +73,15 @@ def run_alert_stream(spark: SparkSession, source: str, out_dir: str | None = Non
 
 
 def read_alerts(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/alerts").drop("batch_id")
+    """Rows of all batches; a stream that wrote no batch has none."""
+    schema = ("event_id long, ts timestamp, site string, wqi double, wqi_class string, subject string, body string, batch_id int")
+    return spark.read.schema(schema).parquet(f"{base}/alerts").drop("batch_id") \
+        if _exists(spark, f"{base}/alerts") else spark.createDataFrame([], schema).drop("batch_id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_daily(spark: SparkSession, base: str) -> DataFrame:
