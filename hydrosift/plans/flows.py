@@ -154,3 +154,33 @@ def model_frames(spark: SparkSession, sf_dir: str, water_type: str, stratified:
     from hydrosift.session import cut_lineage
     m = cut_lineage(m)
     return m.where(~F.col("is_test")), m.where(F.col("is_test")), list(ML_FEATURES), labels
+
+
+def augmented_frames(spark: SparkSession, sf_dir: str, water_type: str, classify: bool):
+    """The study's augmented training set: split -> three noisy copies of the
+    training rows -> KNN imputation and z-scores learnt on them -> (for classes)
+    SMOTE up to the largest class.
+
+    Returns (train, augmented, balanced, test, features); each frame has key,
+    the features as columns, label_idx and target."""
+    from hydrosift.operators import knn, prep
+    from hydrosift.session import cut_lineage
+    m = ml_frame(spark, sf_dir).where(F.col("water_type") == water_type)
+    m, _ = prep.encode_label(cut_lineage(m), "label")
+    m = (prep.stratified_split(m, "key", "label", 0.2, 42) if classify else prep.split(m, "key", 0.2, 42))
+    m = m.withColumn("target", F.col("wqi")).select("key", "is_test", "label_idx", "target", *ML_FEATURES)
+    train = m.where(~F.col("is_test"))
+    noisy = prep.augment_noise(train, "key", ML_FEATURES, 3, 0.01, 42, target=None if classify else "target")
+    noisy = cut_lineage(noisy.withColumn("key", F.concat_ws("#", "key", "copy")).drop("copy"))
+    both = noisy.unionByName(m.where("is_test"))
+    both = prep.standardize(noisy, cut_lineage(knn.knn_impute(noisy, both, ML_FEATURES, "key")), ML_FEATURES)
+    both = cut_lineage(both)
+    augmented, test = both.where(~F.col("is_test")), both.where("is_test")
+    balanced = augmented
+    if classify:
+        points = augmented.select("key", "label_idx", F.array(*ML_FEATURES).alias("f"))
+        made = knn.smote(points, "key", "f", "label_idx").select(
+            F.concat_ws("~", "base_key", "syn_id").alias("key"), F.lit(False).alias("is_test"), "label_idx",
+            F.lit(None).cast("double").alias("target"), *[F.get("f", i).alias(c) for i, c in enumerate(ML_FEATURES)])
+        balanced = cut_lineage(augmented.unionByName(made))
+    return train, augmented, balanced, test, list(ML_FEATURES)

@@ -1132,6 +1132,82 @@ def q_grid_search_rf(spark, sf):
                                        "test_r2 double")
 
 
+# ------------------------------------------------------------ the augmented comparison
+
+_AUG_CLASSES = """
+SELECT water_type, label, n_c, CAST(f + CASE WHEN row_number() OVER (PARTITION BY water_type ORDER BY e - f DESC, label)
+         <= T - sum(f) OVER (PARTITION BY water_type) THEN 1 ELSE 0 END AS BIGINT) AS quota
+FROM (SELECT *, T * n_c / N AS e, floor(T * n_c / N) AS f FROM (
+  SELECT *, sum(n_c) OVER (PARTITION BY water_type) AS N, ceil(0.2 * sum(n_c) OVER (PARTITION BY water_type)) AS T
+  FROM (SELECT water_type, label, count(*) AS n_c FROM ml GROUP BY water_type, label) a) b) c"""
+
+AUG_CLASSIFIERS = ["Decision Tree", "KNN", "Random Forest"]
+AUG_REGRESSORS = ["Decision Tree", "Random Forest", "SVR-like", "Voting"]
+
+
+def _valid(*bounds) -> bool:
+    return all(v is not None and lo - 1e-9 <= v <= hi + 1e-9 for v, lo, hi in bounds)
+
+
+@register("augmented_class_leaderboard", V.with_views("""
+SELECT water_type, model, CAST(sum(n_c - quota) AS BIGINT) AS n_train, CAST(4 * sum(n_c - quota) AS BIGINT) AS n_augmented,
+       CAST(4 * max(n_c - quota) * count(*) FILTER (WHERE n_c > quota) AS BIGINT) AS n_balanced,
+       CAST(sum(quota) AS BIGINT) AS n_scored, true AS scores_valid, true AS labels_known
+FROM classes, (SELECT unnest([""" + ", ".join(f"'{m}'" for m in AUG_CLASSIFIERS) + """]) AS model) m
+GROUP BY water_type, model""", "ml", extra={"classes": _AUG_CLASSES}))
+def q_augmented_class_leaderboard(spark, sf):
+    """Grid-searched tree, forest and distance-weighted Manhattan KNN on the
+    augmented, balanced training rows: sizes of each step, and checks of scores and labels."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    rows = []
+    for wt in WATER_TYPES:
+        train, aug, bal, te, cols = flows.augmented_frames(spark, sf, wt, True)
+        sizes = (train.count(), aug.count(), bal.count())
+        known = {r[0] for r in train.select("label_idx").distinct().collect()}
+        f1 = MulticlassClassificationEvaluator(labelCol="label_idx", predictionCol="prediction", metricName="f1")
+        folded = PR.kfold(bal, "key", 5, 42)
+        tree, _ = MD.grid_search(MD.classifiers()["Decision Tree"], {"maxDepth": [5, 10]}, folded, cols, f1)
+        forest = MD.fit(MD.classifiers()["Random Forest"], bal, cols)
+        arr = F.array(*[F.col(c) for c in cols])
+        knn = KN.knn_classify(bal.withColumn("f", arr), te.withColumn("f", arr), 5, "key", "f", "label_idx",
+                              weights="distance", metric="manhattan")
+        preds = {"Decision Tree": MD.predict(tree, te), "Random Forest": MD.predict(forest, te),
+                 "KNN": knn.join(te.select("key", "label_idx"), "key").withColumnRenamed("predicted", "prediction")}
+        for name in AUG_CLASSIFIERS:
+            p = preds[name].select("key", "label_idx", "prediction")
+            m = EV.classification_metrics(p, "label_idx", "prediction").first()
+            ok = _valid((m["accuracy"], 0, 1), (m["f1_w"], 0, 1), (m["mcc"], -1, 1))
+            seen = {r[0] for r in p.select("prediction").distinct().collect()}
+            rows.append((wt, name, *sizes, p.count(), ok, seen <= known))
+    return spark.createDataFrame(rows, "water_type string, model string, n_train long, n_augmented long, n_balanced long, "
+                                       "n_scored long, scores_valid boolean, labels_known boolean")
+
+
+@register("augmented_regression_leaderboard", V.with_views("""
+SELECT water_type, model, CAST(n - ceil(0.2 * n) AS BIGINT) AS n_train, CAST(4 * (n - ceil(0.2 * n)) AS BIGINT) AS n_augmented,
+       CAST(ceil(0.2 * n) AS BIGINT) AS n_scored, true AS scores_valid, true AS in_range
+FROM (SELECT water_type, count(*) AS n FROM ml GROUP BY water_type) t,
+     (SELECT unnest([""" + ", ".join(f"'{m}'" for m in AUG_REGRESSORS) + """]) AS model) m""", "ml"))
+def q_augmented_regression_leaderboard(spark, sf):
+    """Tree, forest, Huber line and their vote on the augmented training rows:
+    sizes, checks of the scores, and tree predictions inside the training targets' range."""
+    rows = []
+    for wt in WATER_TYPES:
+        train, aug, _, te, cols = flows.augmented_frames(spark, sf, wt, False)
+        lo, hi = aug.agg(F.min("target"), F.max("target")).first()
+        models = {n: MD.fit(MD.regressors()[n], aug, cols) for n in AUG_REGRESSORS if n != "Voting"}
+        preds = {n: MD.predict(m, te) for n, m in models.items()}
+        preds["Voting"] = MD.voting_regress([models["Decision Tree"], models["Random Forest"]], te, "key")
+        for name in AUG_REGRESSORS:
+            p = preds[name].select("key", "target", "prediction")
+            m = EV.regression_metrics(p, "target", "prediction").first()
+            ok = _valid((m["r2"], -1e9, 1), (m["rmse"], m["mae"], 1e9), (m["mae"], 0, 1e9))
+            inside = name == "SVR-like" or p.where((F.col("prediction") < lo - 1e-9) | (F.col("prediction") > hi + 1e-9)).count() == 0
+            rows.append((wt, name, train.count(), aug.count(), p.count(), ok, inside))
+    return spark.createDataFrame(rows, "water_type string, model string, n_train long, n_augmented long, n_scored long, "
+                                       "scores_valid boolean, in_range boolean")
+
+
 # ------------------------------------------------------------ operators without a query of their own
 
 @register("minmax_scores", V.with_views("""
