@@ -44,6 +44,8 @@ def match_site(df: DataFrame, site: str = "site", water_type: str = "water_type"
     tokens are needed; the first key wins ties.  Adds ``matched_key``, ``lat``,
     ``lon`` (NULL when unmatched).
     """
+    if isinstance(coords, DataFrame) and not bounded_rows(coords, MAX_LOOKUP_ROWS):
+        return _match_by_tokens(df, site, water_type, coords, min_shared)
     rows = _rows(coords, ["pos", "key", "water_type", "lat", "lon"]) if coords is not None \
         else L.site_coords_rows()
     cands = F.array(*[F.struct(F.lit(pos).alias("pos"), F.lit(key).alias("key"),
@@ -65,6 +67,20 @@ def match_site(df: DataFrame, site: str = "site", water_type: str = "water_type"
     })
 
 
+def _match_by_tokens(df: DataFrame, site: str, water_type: str, coords: DataFrame, min_shared: int) -> DataFrame:
+    """``match_site`` for a table of any size: sites and keys meet on their
+    tokens, shared tokens are counted, and the best key is joined back."""
+    keys = coords.select("pos", "key", "lat", "lon", F.col("water_type").alias("__wt"),
+                         F.explode(site_tokens(F.col("key"))).alias("__t"))
+    sites = df.select(F.col(site).alias("__s"), F.col(water_type).alias("__wt")).distinct()
+    met = sites.select("*", F.explode(site_tokens(F.col("__s"))).alias("__t")).join(keys, ["__wt", "__t"])
+    counted = met.groupBy("__s", "__wt", "pos", "key", "lat", "lon").agg(F.count(F.lit(1)).alias("__n"))
+    best = counted.where(F.col("__n") >= min_shared).groupBy("__s", "__wt").agg(F.max_by(
+        F.struct("key", "lat", "lon"), F.struct(F.col("__n"), -F.col("pos"))).alias("__b"))
+    out = df.join(best, (df[site] == best["__s"]) & (df[water_type] == best["__wt"]), "left")
+    return out.select(*df.columns, F.col("__b.key").alias("matched_key"), F.col("__b.lat").alias("lat"), F.col("__b.lon").alias("lon"))
+
+
 def nearest_site_class(df: DataFrame, site: str = "nearest_site", classes=None,
                        default: str = "Unknown", out: str = "wqi_class") -> DataFrame:
     """Class of the first key (lookup order) contained, case-insensitively, in

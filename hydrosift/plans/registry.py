@@ -1267,6 +1267,22 @@ def q_stage_roundtrip(spark, sf):
     return TB.read_stage(spark, f"{base}/counts")
 
 
+@register("survey_source", V.with_views("""
+SELECT person_id AS id, name, age, gender, wqi_class, risk_level AS risk, CAST(risk_score AS INTEGER) AS score,
+       CAST(len(symptoms) AS VARCHAR) || ' reported' AS symptom_note FROM sp""", "sp"))
+def q_survey_source(spark, sf):
+    """A5 and F16: people go out as JSON lines of the survey form (symptom lists) and come back under its schema."""
+    import uuid
+
+    from hydrosift.session import ensure_checkpoint_dir
+    from hydrosift.sources import tables as TB
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/survey-{uuid.uuid4().hex}"
+    p = _people(spark, sf)
+    TB.write_stage(p.select(F.col("person_id").alias("id"), "name", "age", "gender", "nearest_site", "wqi_class", "symptoms",
+                            F.col("risk_level").alias("risk"), F.col("risk_score").cast("int").alias("risk_score")), path, "json")
+    return SV.survey_table(TB.read_survey(spark, path)).drop("site_short")
+
+
 @register("dms_coordinates", """
 SELECT l_orderkey, l_linenumber, dir, round(CASE WHEN dir IN ('S', 'W') THEN -v ELSE v END, 6) AS degrees FROM (
   SELECT l_orderkey, l_linenumber, ['N', 'S', 'E', 'W'][CAST(l_orderkey % 4 AS INTEGER) + 1] AS dir,

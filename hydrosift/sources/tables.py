@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
@@ -24,6 +25,29 @@ def read_stage(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).option("header", True).load(path)
 
 
+#: One respondent of the survey form; symptoms are a list of names.
+SURVEY_SCHEMA = ("id long, name string, age int, gender string, education string, employment string, family_size int, "
+                 "nearest_site string, wqi_class string, water_source string, water_quality string, has_toilet string, "
+                 "uses_purifier string, washes_hands string, kitchen_fuel string, uses_disinfectant string, "
+                 "health_status string, symptoms array<string>, visited_doctor string, on_medication string, "
+                 "risk string, risk_score int, neighborhood_issues string")
+
+
+def read_survey(spark: SparkSession, path: str) -> DataFrame:
+    """Survey responses as JSON lines under the form's schema (A5): absent
+    fields are NULL, an absent or NULL symptom list is empty."""
+    rows = spark.read.schema(SURVEY_SCHEMA).json(path)
+    return survey_form(rows)
+
+
+def survey_form(df: DataFrame) -> DataFrame:
+    """Survey-form columns under the names the survey operators read."""
+    none = F.array().cast("array<string>")
+    return df.withColumnsRenamed({"id": "person_id", "risk": "risk_level", "water_source": "drinking_water_source",
+                                  "water_quality": "drinking_water_quality"}).withColumn(
+        "symptoms", F.coalesce("symptoms", none))
+
+
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write a stage or metric table (A3, A4)."""

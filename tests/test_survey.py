@@ -76,3 +76,14 @@ def test_summaries(spark):
     assert len(rec[2]) == 10
     san = {(r.person_id, r.parameter): r.status for r in SV.sanitation_status(s).collect()}
     assert san[(4, "Water Quality")] == "OK" and san[(2, "Water Quality")] == "Risk"
+
+
+def test_large_lookup_tables_are_joined(spark, monkeypatch):
+    from hydrosift.operators import lookup as LK
+    from hydrosift.sources import lookups as L
+    coords = spark.createDataFrame(L.site_coords_rows(), "pos int, key string, water_type string, lat double, lon double")
+    df = spark.createDataFrame([(r[1] + " x", r[2]) for r in L.site_coords_rows()] + [("nowhere", "ground"), (None, "surface")],
+                               "site string, water_type string")
+    want = sorted(map(str, LK.match_site(df, coords=coords).collect()))
+    monkeypatch.setattr(LK, "MAX_LOOKUP_ROWS", 1)
+    assert sorted(map(str, LK.match_site(df, coords=coords).collect())) == want
