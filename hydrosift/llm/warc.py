@@ -24,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -104,7 +105,7 @@ def write_archives(pages: DataFrame, path: str, opt: WarcOptions = WarcOptions()
         referred = F.broadcast(referred)
     files = max(1, -(-total // opt.file_bytes))
     spread = records(pages, referred).repartition(files, F.xxhash64("page_id", F.length("value")))
-    spread.select("value").write.option("lineSep", RECORD_END).text(path)
+    spread.select("value").write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -162,7 +163,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                found = sorted((capture(*r) for r in parse(content.as_py())), key=order_key)
+                found = sorted((capture(*r) for r in parse(gzip.decompress(content.as_py()))), key=order_key)
                 rows = [(name, k, *c) for k, c in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                     zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
