@@ -7,7 +7,6 @@ results to agree; it is stated plainly here, in its natural order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: drinking-water limits for the ground-water index.
