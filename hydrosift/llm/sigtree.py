@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, stage, without
@@ -46,7 +46,7 @@ from .words import Words, mix, slices
 class JaccardJoin:
     """words per shingle; threshold num / den; share (1 in n) of documents that
     the shingle order is counted on, with the least count and the most entries
-    kept; the part (1 in n) of a set by which its prefix is longer; ids that may be broadcast; classes in a block; bitmap bits; leaf and
+    kept; the part (1 in n) of a set by which its prefix is longer; ids that may be broadcast; classes and shingles in a block; bitmap bits; leaf and
     fan-out of a tree."""
 
     k: int = 5
@@ -58,6 +58,7 @@ class JaccardJoin:
     extra: int = 8
     broadcast_ids: int = 2_000_000
     block: int = 2048
+    block_tokens: int = 8_000_000
     bits: int = 1024
     leaf: int = 16
     fan: int = 8
@@ -175,10 +176,13 @@ def work_units(postings: DataFrame, sizes: DataFrame, opt: JaccardJoin) -> DataF
         "doc_id", F.least("bundle", "other").alias("b1"), F.greatest("bundle", "other").alias("b2"),
         (F.col("bundle") > F.col("other")).cast("int").alias("side"))
     rows = stage(alone.union(across), "jaccard-rows")
-    found = rows.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("side").alias("sides"))
-    found = found.where("n > 1 and (b1 = b2 or sides = 2)")
-    return rows.join(found.select("b1", "b2", F.xxhash64("b1", "b2").alias("unit"),
-                                  F.ceil(F.col("n") / opt.block).cast("int").alias("split")), ["b1", "b2"])
+    found = rows.join(sizes, "doc_id").groupBy("b1", "b2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high"),
+        F.sum("n_shingles").alias("tokens")).where("n > 1 and (b1 = b2 or low < high)")
+    split = F.ceil(F.greatest(F.col("n") / opt.block, F.col("tokens") / opt.block_tokens)).cast("int")
+    # written first: a join with the aggregate itself could not split a large bundle's rows
+    found = stage(found.select("b1", "b2", F.xxhash64("b1", "b2").alias("unit"), split.alias("split")), "jaccard-found")
+    return rows.join(found, ["b1", "b2"])
 
 
 def blocks(units: DataFrame) -> DataFrame:
