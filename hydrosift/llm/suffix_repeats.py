@@ -190,8 +190,9 @@ def subtree_repeats(dealt: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
     """(doc_id, pos): starts of the windows that also start in a smaller doc_id."""
     postings = stage(seed_postings(docs, opt), "repeat-seeds")
-    grams = postings.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-                                         F.count(F.lit(1)).alias("n")).where("lo < hi")
+    # written first: a join with the aggregate itself could not split a frequent gram's rows
+    grams = stage(postings.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+                                               F.count(F.lit(1)).alias("n")).where("lo < hi"), "repeat-grams")
     level = F.when(F.col("n") <= opt.short_prefix, 1).when(F.col("n") <= opt.long_prefix, 2).otherwise(3)
     seeds = stage(postings.join(grams.select("gram", level.alias("level")), "gram").groupBy("doc_id").agg(
         F.collect_list(F.struct("pos", "level")).alias("seeds"), F.max("level").alias("top")), "repeat-seeded")
