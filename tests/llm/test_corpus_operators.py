@@ -14,7 +14,7 @@ from . import brute
 
 def test_jaccard_components(small):
     expect = brute.components(small.rows)
-    for opt in (sigtree.JaccardJoin(), sigtree.JaccardJoin(block=3, leaf=2, fan=2, broadcast_ids=1, order_share=1, order_least=2)):
+    for opt in (sigtree.JaccardJoin(), sigtree.JaccardJoin(block=3, block_tokens=300, leaf=2, fan=2, broadcast_ids=1, order_share=1, order_least=2)):
         got = sigtree.jaccard_components(small.docs, opt).collect()
         assert len(got) == len(small.rows)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expect
