@@ -44,7 +44,7 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def in_batches(df: DataFrame, run, schema: str | T.StructType, batch_bytes: int = 8 << 20) -> DataFrame:
+def in_batches(df: DataFrame, run, schema: str | T.StructType, batch_bytes: int = 4 << 20) -> DataFrame:
     """``df.mapInArrow`` with batches bounded in bytes (not only in rows), so
     that many long texts in a row do not add up in a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))

@@ -176,7 +176,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "html", 4 << 20):
+            for part in slices(batch, "html"):
                 read = [Page(x or "") for x in part.column("html").to_pylist()]
                 blocks = [[dict(zip(("path", "text", "linked", "landmark", "noise"), b, strict=True)) for b in p.blocks] for p in read]
                 inner = [[{"path": k, "styles": ",".join(dict.fromkeys(v))} for k, v in p.children.items()] for p in read]

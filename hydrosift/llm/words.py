@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -116,7 +116,7 @@ class Words:
         return int(mix(_runs(part, np.array([0]), np.array([len(part)])) + U(len(part)))[0])
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of a batch with about ``max_bytes`` of text each."""
     if batch.num_rows == 0:
         return
