@@ -4,18 +4,20 @@ Every page is read into blocks: the text between block-level tags, with the
 path of styles (tag and classes) that leads to it.  The pages of one host are
 merged into one tree of styles, as counts:
 
-* a text node's content importance is the entropy of its contents over the
-  host's pages, 1 where every page says something else, 0 where all agree;
-* an inner node's presentation importance is the entropy of the sequences of
-  child styles that its pages show;
+* a text's content importance falls with the share of the host's different
+  pages that show it: 1 for a text of one page, 0 from a tenth of the pages on.
+  Copies of a page, or of an article among other surroundings, are one page, so
+  neither a host's size nor its copies change the verdict;
+* an inner node's presentation importance is the chance that two different
+  pages show different sequences of child styles;
 * a branch's composite importance mixes its own presentation with the content
   importance of what lies below, weighted by text.
 
-Branches of low composite importance are cut from each page of the host, and
-with them what their style says outright to be no article (navigation, headers,
-footers, sidebars, notices, adverts, forms, comments).  Where a page marks its
-article, nothing inside is cut for being repeated (copies of an article on one
-host remain), and nothing outside is kept.
+Branches of low composite importance, and single texts repeated on enough
+different pages, are cut from each page of the host, and with them what its
+style says outright to be no article (navigation, headers, footers, sidebars,
+notices, adverts, forms, comments).  Where a page marks its article, nothing
+inside is cut for being repeated, and nothing outside is kept.
 
 Text: character references decoded, white space inside a block one space,
 blocks joined by a newline in page order.
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stage
+from .common import in_batches, let, stage
 from .words import slices
 
 # How HTML elements are read.
@@ -68,13 +70,17 @@ NAME = re.compile(r"[^a-z]+")
 
 @dataclass(frozen=True)
 class StyleTree:
-    """Pages of a host from which repetition counts as evidence, importance
-    under which a branch is cut, weight of a branch's own presentation, and
-    hosts whose cut branches may be broadcast."""
+    """Different pages of a host (and of a single text) from which repetition
+    counts as evidence, importance under which a branch or text is cut, share of
+    the pages from which a repeated text has no importance, weight of a branch's
+    own presentation, weight of marked text in telling pages apart, and rows of
+    a host table that may be broadcast."""
 
     min_pages: int = 4
     threshold: float = 0.2
+    full_share: float = 0.1
     presentation: float = 0.1
+    landmark: float = 4.0
     broadcast_rows: int = 200_000
 
 
@@ -189,52 +195,86 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return rows.transform(in_batches, run, schema)
 
 
-def _entropy(counted: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Per key: rows, and the entropy of their variants (column ``n`` counts
-    each) over its largest possible value, the logarithm of the rows."""
-    total, logs = F.sum("n"), F.sum(F.col("n") * F.log("n"))
-    spread = F.when(total > 1, (F.log(total) - logs / total) / F.log(total)).otherwise(1.0)
-    return counted.groupBy(*keys).agg(total.alias(f"{name}_rows"), spread.alias(name))
+def _linked(block):
+    return 2 * block["linked"] > F.length(block["text"])
 
 
-def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> DataFrame:
-    """(host, path, pages, importance) of every style node with text below it.
+def _bounded(df: DataFrame, opt: StyleTree) -> DataFrame:
+    """Broadcast after counting at most one row over the bound, else as it is."""
+    return F.broadcast(df) if df.limit(opt.broadcast_rows + 1).count() <= opt.broadcast_rows else df
+
+
+def page_texts(read: DataFrame) -> DataFrame:
+    """(host, page, path, content, chars, landmark) of the texts that may be
+    article; ``page`` is a hash of all of them, so equal pages are one."""
+    body = F.filter("blocks", lambda b: ~b["noise"] & (b["landmark"] | ~_linked(b)))
+    pages = read.where(F.col("host").isNotNull()).select("host", body.alias("body"), F.xxhash64(
+        F.transform(body, lambda b: b["text"])).alias("page"))
+    return pages.select("host", "page", F.explode("body").alias("b")).select(
+        "host", "page", "b.path", F.xxhash64("b.text").alias("content"), F.length("b.text").alias("chars"), "b.landmark").distinct()
+
+
+def page_keys(texts: DataFrame, opt: StyleTree) -> DataFrame:
+    """(host, page, key): the text that tells a page from others, which is the
+    longest for the pages that show it.  Copies of an article share the key
+    whatever stands around them; pages with one long notice do not."""
+    shared = stage(texts.select("host", "page", "content").distinct().groupBy("host", "content").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1"), "style-shared")
+    telling = F.col("chars") * F.when(F.col("landmark"), opt.landmark).otherwise(1.0) / F.coalesce("n", F.lit(1))
+    return texts.join(_bounded(shared, opt), ["host", "content"], "left").groupBy("host", "page").agg(
+        F.max(F.struct(telling.alias("telling"), "content"))["content"].alias("key"))
+
+
+def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> tuple[DataFrame, DataFrame]:
+    """(host, path, pages, importance) of every style node with text below it,
+    and (host, path, content, shown, pages, importance) of the repeated texts.
 
     All sums are map-side combined, so a host of any size is never gathered."""
-    hosted = read.where(F.col("host").isNotNull())
-    texts = hosted.select("host", "page_id", F.explode("blocks").alias("b")).select(
-        "host", "page_id", "b.path", F.length("b.text").alias("chars"), F.xxhash64("b.text").alias("content"))
-    contents = texts.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-    weight = contents.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-    content = _entropy(contents, ["host", "path"], "content_importance").join(weight, ["host", "path"])
+    texts = stage(page_texts(read), "style-texts")
+    keys = stage(page_keys(texts, opt), "style-keys")
+    pages = stage(keys.groupBy("host", "key").count().groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "style-hosts")
+    pages = _bounded(pages, opt)
+    shown = texts.join(keys, ["host", "page"]).groupBy("host", "path", "content", "key").agg(F.max("chars").alias("chars")).groupBy(
+        "host", "path", "content").agg(F.count(F.lit(1)).alias("shown"), F.max("chars").alias("chars")).join(pages, "host")
+    share = F.col("shown") / F.col("pages")
+    contents = stage(shown.withColumn("importance", F.when(F.col("shown") < 2, 1.0).otherwise(
+        1 - F.least(share / opt.full_share, F.lit(1.0)))), "style-contents")
+    leaves = contents.groupBy("host", "path").agg(F.sum(F.col("chars") * F.col("shown")).alias("chars"), F.sum(
+        F.col("chars") * F.col("shown") * F.col("importance")).alias("important"))
     steps = F.split("path", "/")
-    branches = content.select("host", "chars", "content_importance", F.explode(F.transform(
+    branches = leaves.select("host", "chars", "important", F.explode(F.transform(
         F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("path")).where(
-        F.col("path").isNotNull())
-    below = branches.groupBy("host", "path").agg(
-        (F.sum(F.col("chars") * F.col("content_importance")) / F.sum("chars")).alias("below"))
-    shown = hosted.select("host", F.explode("inner").alias("i")).groupBy("host", "i.path", "i.styles").agg(F.count(F.lit(1)).alias("n"))
-    shape = _entropy(shown, ["host", "path"], "presentation_importance")
-    pages = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    own = F.coalesce("presentation_importance", F.col("below"))
-    return below.join(shape, ["host", "path"], "left").join(pages, "host").select(
+        F.size(F.split("path", "/")) > 1)
+    below = branches.groupBy("host", "path").agg((F.sum("important") / F.sum("chars")).alias("below"))
+    body = F.filter("blocks", lambda b: ~b["noise"] & (b["landmark"] | ~_linked(b)))
+    styled = read.where(F.col("host").isNotNull()).select("host", F.xxhash64(F.transform(body, lambda b: b["text"])).alias("page"), "inner").select(
+        "host", "page", F.explode("inner").alias("i")).select("host", "page", "i.path", F.xxhash64("i.styles").alias("styles"))
+    counted = styled.join(keys, ["host", "page"]).groupBy("host", "path", "styles", "key").count().groupBy(
+        "host", "path", "styles").agg(F.count(F.lit(1)).alias("n"))
+    n, pairs = F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))
+    shape = counted.groupBy("host", "path").agg(F.when(n > 1, 1 - pairs / (n * (n - 1))).otherwise(1.0).alias("own"))
+    own = F.coalesce("own", F.col("below"))
+    nodes = below.join(shape, ["host", "path"], "left").join(pages, "host").select(
         "host", "path", "pages", ((1 - opt.presentation) * F.col("below") + opt.presentation * own).alias("importance"))
+    return nodes, contents.where("shown > 1").drop("chars")
 
 
 def main_text(pages: DataFrame, opt: StyleTree = StyleTree()) -> DataFrame:
     """page_id, url and text of every page."""
     read = stage(read_pages(pages), "style-pages")
-    cut = style_tree(read, opt).where((F.col("pages") >= opt.min_pages) & (F.col("importance") < opt.threshold)).groupBy(
-        "host").agg(F.collect_set("path").alias("cut"))
-    cut = stage(cut, "style-cut")
-    if cut.limit(opt.broadcast_rows + 1).count() <= opt.broadcast_rows:
-        cut = F.broadcast(cut)
-    marked = F.exists("blocks", lambda b: b["landmark"] & ~b["noise"])
-    judged = read.join(cut, "host", "left").withColumn("marked", marked)
-    repeated = lambda b: F.exists(
-        F.coalesce("cut", F.array().cast("array<string>")),
-        lambda c: (b["path"] == c) | b["path"].startswith(F.concat(c, F.lit("/"))))
-    linked = lambda b: 2 * b["linked"] > F.length(b["text"])
-    kept = F.filter("blocks", lambda b: ~b["noise"] & F.when(F.col("marked"), b["landmark"]).otherwise(
-        ~repeated(b) & ~linked(b)))
+    nodes, repeated = style_tree(read, opt)
+    enough = F.col("pages") >= opt.min_pages
+    cut = nodes.where(enough & (F.col("importance") < opt.threshold)).groupBy("host").agg(F.collect_set("path").alias("cut"))
+    # a page shows few texts, so few can be on a given share of the pages
+    again = repeated.where((F.col("shown") >= opt.min_pages) & (F.col("importance") < opt.threshold)).groupBy("host").agg(
+        F.collect_set(F.xxhash64("path", "content")).alias("again"))
+    verdicts = _bounded(stage(cut.join(again, "host", "full"), "style-cut"), opt)
+    judged = read.join(verdicts, "host", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<string>"))).withColumn(
+        "again", F.coalesce("again", F.array().cast("array<bigint>")))
+    common = lambda b: F.array_contains("again", F.xxhash64(b["path"], F.xxhash64(b["text"]))) | F.exists(
+        "cut", lambda c: (b["path"] == c) | b["path"].startswith(F.concat(c, F.lit("/"))))
+    read_as = F.transform(F.filter("blocks", lambda b: ~b["noise"] & (b["landmark"] | ~_linked(b))), lambda b: F.struct(
+        b["text"].alias("text"), b["landmark"].alias("landmark"), common(b).alias("common")))
+    marked = lambda a: F.exists(a, lambda b: b["landmark"])
+    kept = let(read_as, lambda a: let(marked(a), lambda m: F.filter(a, lambda b: F.when(m, b["landmark"]).otherwise(~b["common"]))))
     return judged.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

@@ -209,3 +209,31 @@ def test_plans_fill_exactly_where_they_can():
     bound = -(-sum(n * c for n, c in counts.items()) // 1024)
     assert sum(times for _, times in plan) <= 1.002 * bound + 1
     assert len(plan) <= 4 * len(counts)
+
+
+def texts_of(spark, pages):
+    rows = [(k, url, html) for k, (url, html) in enumerate(pages)]
+    got = site_style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def sentence(*seed):
+    rnd = random.Random(str(seed))
+    return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+
+
+def test_verdict_depends_neither_on_host_size_nor_on_copies(spark):
+    pages, expect = [], []
+    for size in (24, 90, 400):
+        for k in range(size):
+            pages.append((f"http://h{size}.example/", f"<div class=main><p>{sentence(size, k)}</p></div>"
+                          f"<div class=box><p>{sentence('box', k % 3)}</p></div><div class=tip><p>{sentence('tip', k % 6)}</p></div>"))
+            expect.append(sentence(size, k))
+    for copies in (4, 100):  # a host of copies, and one with others beside them
+        for others in (0, 8):
+            for k in range(copies + others):
+                text = [sentence("copy", i) for i in range(3)] if k < copies else [sentence("other", k)]
+                pages.append((f"http://c{copies}-{others}.example/", "<div class=main>" + "".join(f"<p>{t}</p>" for t in text) + "</div>"))
+                expect.append("\n".join(text))
+    got = texts_of(spark, pages)
+    assert [got[k] for k in range(len(pages))] == expect
