@@ -16,8 +16,10 @@ merged into one tree of styles, as counts:
 Branches of low composite importance, and single texts repeated on enough
 different pages, are cut from each page of the host, and with them what its
 style says outright to be no article (navigation, headers, footers, sidebars,
-notices, adverts, forms, comments).  Where a page marks its article, nothing
-inside is cut for being repeated, and nothing outside is kept.
+notices, adverts, forms, comments) and, outside a marked article, blocks that
+are mostly links.  The tree judges marked articles too; the mark only protects
+copies: where most of a page's marked text is repeated, it is an article that
+the host shows often, and stays.
 
 Text: character references decoded, white space inside a block one space,
 blocks joined by a newline in page order.
@@ -275,6 +277,8 @@ def main_text(pages: DataFrame, opt: StyleTree = StyleTree()) -> DataFrame:
         "cut", lambda c: (b["path"] == c) | b["path"].startswith(F.concat(c, F.lit("/"))))
     read_as = F.transform(F.filter("blocks", lambda b: ~b["noise"] & (b["landmark"] | ~_linked(b))), lambda b: F.struct(
         b["text"].alias("text"), b["landmark"].alias("landmark"), common(b).alias("common")))
-    marked = lambda a: F.exists(a, lambda b: b["landmark"])
-    kept = let(read_as, lambda a: let(marked(a), lambda m: F.filter(a, lambda b: F.when(m, b["landmark"]).otherwise(~b["common"]))))
+    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    inside = lambda a: F.filter(a, lambda b: b["landmark"])
+    copied = lambda a: 2 * chars(F.filter(inside(a), lambda b: b["common"])) > chars(inside(a))
+    kept = let(read_as, lambda a: let(copied(a), lambda c: F.filter(a, lambda b: ~b["common"] | (b["landmark"] & c))))
     return judged.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

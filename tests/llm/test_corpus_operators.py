@@ -222,6 +222,20 @@ def sentence(*seed):
     return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(20))
 
 
+def test_marked_pages_are_judged_by_the_tree(spark):
+    teaser = "<article><p>The same teaser card on all pages.</p></article>"
+    cards = [("http://cards.example/", f"<body><div class=story><p>{sentence('c', k)}</p></div>{teaser}</body>") for k in range(8)]
+    inner = [("http://inner.example/", f"<main><p>{sentence('m', k)}</p><p>Read more on our front page.</p></main>"
+              f"<p>{sentence('beside', k)}</p>") for k in range(8)]
+    copies = [("http://copies.example/", f"<article><p>{sentence('one')}</p></article><p>Stamp {k} {sentence('s', k)}</p>") for k in range(20)]
+    got = texts_of(spark, cards + inner + copies)
+    for k in range(8):
+        assert got[k].startswith(sentence("c", k))
+        assert got[8 + k] == sentence("m", k) + "\n" + sentence("beside", k)
+    for k in range(20):
+        assert got[16 + k].startswith(sentence("one"))
+
+
 def test_verdict_depends_neither_on_host_size_nor_on_copies(spark):
     pages, expect = [], []
     for size in (24, 90, 400):
