@@ -17,9 +17,11 @@ Branches of low composite importance, and single texts repeated on enough
 different pages, are cut from each page of the host, and with them what its
 style says outright to be no article (navigation, headers, footers, sidebars,
 notices, adverts, forms, comments) and, outside a marked article, blocks that
-are mostly links.  The tree judges marked articles too; the mark only protects
-copies: where most of a page's marked text is repeated, it is an article that
-the host shows often, and stays.
+are mostly links.  A class or id is weaker: it takes no branch that holds the
+article or most of the text; there it only raises the importance asked of it.
+The tree judges marked articles too; the mark only protects copies: where most
+of a page's marked text is repeated, it is an article that the host shows
+often, and stays.
 
 Text: character references decoded, white space inside a block one space,
 blocks joined by a newline in page order.
@@ -64,22 +66,45 @@ nav navbar navigation newsletter notice notices notification pagination pager po
 recommended replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription
 teaser toolbar widget""".split())
 
+#: Words that also name parts of an article: its heading, lead or notes.
+SOFT_WORDS = frozenset("banner copyright disclaimer header masthead notice notices teaser toolbar widget".split())
+#: Words beside which a name still says what its other words say ("site-footer").
+PLAIN_WORDS = frozenset("""area bar block blocks bottom box button buttons col column container content first form global
+group holder icons inner item items last left link links list main outer page panel post posts primary right row
+secondary section site slot text title top unit user wrap wrapper""".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 UNREAD_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in UNREAD}
 NAME = re.compile(r"[^a-z]+")
+PLAIN, HINT, SOFT, NAMED = range(4)  # what an element's class and id say
+
+
+def named_as(names: str) -> int:
+    """NAMED: a whole name is a boilerplate word (plain words beside it do not
+    count); SOFT: such a word also names parts of an article; HINT: the word is
+    only part of a name that says something else ("has-sidebar")."""
+    said = PLAIN
+    for name in names.split():
+        words = {w for w in NAME.split(name) if w}
+        found = words & BOILERPLATE_WORDS
+        if found:
+            whole = words <= BOILERPLATE_WORDS | PLAIN_WORDS
+            said = max(said, HINT if not whole else SOFT if found <= SOFT_WORDS else NAMED)
+    return said
 
 
 @dataclass(frozen=True)
 class StyleTree:
     """Different pages of a host (and of a single text) from which repetition
-    counts as evidence, importance under which a branch or text is cut, share of
-    the pages from which a repeated text has no importance, weight of a branch's
+    counts as evidence, importance under which a branch or text is cut (and a
+    branch named like boilerplate), share of the pages from which a repeated text has no importance, weight of a branch's
     own presentation, weight of marked text in telling pages apart, and rows of
     a host table that may be broadcast."""
 
     min_pages: int = 4
     threshold: float = 0.2
+    named_threshold: float = 0.5
     full_share: float = 0.1
     presentation: float = 0.1
     landmark: float = 4.0
@@ -88,15 +113,43 @@ class StyleTree:
 
 class Page:
     """Blocks of one page: (path, text, linked characters, inside a landmark,
-    styled as boilerplate), and per inner path the sequence of child styles."""
+    styled as boilerplate, named like boilerplate), and per inner path the
+    sequence of child styles.
+
+    A tag or role is believed at once.  A name is weighed when the page has been
+    read: it never takes a branch that holds a landmark or most of the page's
+    text (unless a landmark beside it holds a quarter), nor, inside a landmark,
+    one whose word also names parts of an article.  What it does not take is
+    left to the tree, as named like boilerplate."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, int, bool, bool]] = []
+        self.blocks: list[tuple[str, str, int, bool, bool, bool]] = []
         self.children: dict[str, list[str]] = {}
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, path, landmark, boilerplate
+        self.stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, path, landmark, boilerplate, named
+        self.named: list[tuple[int, bool]] = []  # what the names of an element say, whether it lies in a landmark
         self.parts: list[str] = []
         self.linked = 0
+        self.read: list[tuple[str, str, int, bool, bool, tuple[int, ...]]] = []
         self._read(source)
+        taken = self._taken()
+        self.blocks = [(*b[:4], b[4] or any(taken[k] for k in b[5]), bool(b[5])) for b in self.read]
+
+    def _taken(self) -> list[bool]:
+        """Which of the named elements are boilerplate."""
+        below, marked, holds = [0] * len(self.named), [0] * len(self.named), [False] * len(self.named)
+        total = in_landmarks = 0
+        for _, text, linked, landmark, noise, named in self.read:
+            if noise or 2 * linked > len(text) and not landmark:
+                continue
+            total += len(text)
+            in_landmarks += len(text) * landmark
+            for k in named:
+                below[k] += len(text)
+                marked[k] += len(text) * landmark
+                holds[k] |= landmark and not self.named[k][1]
+        return [not holds[k] and said > HINT and not (inside and said == SOFT)
+                and (2 * below[k] <= total or 4 * (in_landmarks - marked[k]) >= total)
+                for k, (said, inside) in enumerate(self.named)]
 
     def _read(self, source: str) -> None:
         at, in_link = 0, False
@@ -136,8 +189,8 @@ class Page:
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, path, landmark, boilerplate = self.stack[-1] if self.stack else ("", "", False, False)
-            self.blocks.append((path, text, min(self.linked, len(text)), landmark, boilerplate))
+            _, path, landmark, boilerplate, named = self.stack[-1] if self.stack else ("", "", False, False, ())
+            self.read.append((path, text, min(self.linked, len(text)), landmark, boilerplate, named))
         self.parts, self.linked = [], 0
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -152,18 +205,21 @@ class Page:
         found = {m.group(1).lower(): (m.group(2) or m.group(3) or m.group(4) or "").lower()
                  for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         names = found.get("class", "").split()
-        words = {w for w in NAME.split(f"{found.get('class', '')} {found.get('id', '')}") if w}
-        _, path, landmark, boilerplate = self.stack[-1] if self.stack else ("", "", False, False)
+        _, path, landmark, boilerplate, named = self.stack[-1] if self.stack else ("", "", False, False, ())
         label = ".".join([tag, *sorted(names)])
         self.children.setdefault(path, []).append(label)
         if tag in VOID_BLOCKS:
             return
         plain = tag in ("html", "body") or tag in LANDMARKS
-        noise = tag in BOILERPLATE_TAGS or found.get("role") in BOILERPLATE_ROLES or (not plain and bool(words & BOILERPLATE_WORDS))
+        noise = tag in BOILERPLATE_TAGS or found.get("role") in BOILERPLATE_ROLES
+        said = PLAIN if plain or not found else named_as(f"{found.get('class', '')} {found.get('id', '')}")
+        if said:
+            named = (*named, len(self.named))
+            self.named.append((said, landmark))
         # an article's own header holds its heading; a page's header does not
         noise = noise and not (tag == "header" and landmark)
         inside = landmark or tag in LANDMARKS or found.get("role") in ("main", "article")
-        self.stack.append((tag, f"{path}/{label}", inside, boilerplate or noise))
+        self.stack.append((tag, f"{path}/{label}", inside, boilerplate or noise, named))
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -174,11 +230,11 @@ class Page:
 
 def read_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, host, blocks and inner nodes (path, child styles) of every page."""
-    block = "struct<path:string,text:string,linked:int,landmark:boolean,noise:boolean>"
+    block = "struct<path:string,text:string,linked:int,landmark:boolean,noise:boolean,named:boolean>"
     schema = f"page_id long, url string, host string, blocks array<{block}>, inner array<struct<path:string,styles:string>>"
     kinds = [pa.int64(), pa.string(), pa.string(),
              pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("linked", pa.int32()),
-                                 ("landmark", pa.bool_()), ("noise", pa.bool_())])),
+                                 ("landmark", pa.bool_()), ("noise", pa.bool_()), ("named", pa.bool_())])),
              pa.list_(pa.struct([("path", pa.string()), ("styles", pa.string())]))]
     names = ["page_id", "url", "host", "blocks", "inner"]
 
@@ -186,7 +242,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "html"):
                 read = [Page(x or "") for x in part.column("html").to_pylist()]
-                blocks = [[dict(zip(("path", "text", "linked", "landmark", "noise"), b, strict=True)) for b in p.blocks] for p in read]
+                blocks = [[dict(zip(("path", "text", "linked", "landmark", "noise", "named"), b, strict=True)) for b in p.blocks] for p in read]
                 inner = [[{"path": k, "styles": ",".join(dict.fromkeys(v))} for k, v in p.children.items()] for p in read]
                 columns = [*(part.column(c) for c in names[:3]), blocks, inner]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k)
@@ -228,8 +284,8 @@ def page_keys(texts: DataFrame, opt: StyleTree) -> DataFrame:
 
 
 def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> tuple[DataFrame, DataFrame]:
-    """(host, path, pages, importance) of every style node with text below it,
-    and (host, path, content, shown, pages, importance) of the repeated texts.
+    """(host, path, pages, best, importance) of every style node with text below
+    it (``best``: of any single node there), and (host, path, content, shown, pages, importance) of the repeated texts.
 
     All sums are map-side combined, so a host of any size is never gathered."""
     texts = stage(page_texts(read), "style-texts")
@@ -244,10 +300,10 @@ def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> tuple[DataFrame
     leaves = contents.groupBy("host", "path").agg(F.sum(F.col("chars") * F.col("shown")).alias("chars"), F.sum(
         F.col("chars") * F.col("shown") * F.col("importance")).alias("important"))
     steps = F.split("path", "/")
-    branches = leaves.select("host", "chars", "important", F.explode(F.transform(
+    branches = leaves.select("host", "chars", "important", (F.col("important") / F.col("chars")).alias("leaf"), F.explode(F.transform(
         F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("path")).where(
         F.size(F.split("path", "/")) > 1)
-    below = branches.groupBy("host", "path").agg((F.sum("important") / F.sum("chars")).alias("below"))
+    below = branches.groupBy("host", "path").agg((F.sum("important") / F.sum("chars")).alias("below"), F.max("leaf").alias("best"))
     body = F.filter("blocks", lambda b: ~b["noise"] & (b["landmark"] | ~_linked(b)))
     styled = read.where(F.col("host").isNotNull()).select("host", F.xxhash64(F.transform(body, lambda b: b["text"])).alias("page"), "inner").select(
         "host", "page", F.explode("inner").alias("i")).select("host", "page", "i.path", F.xxhash64("i.styles").alias("styles"))
@@ -257,7 +313,7 @@ def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> tuple[DataFrame
     shape = counted.groupBy("host", "path").agg(F.when(n > 1, 1 - pairs / (n * (n - 1))).otherwise(1.0).alias("own"))
     own = F.coalesce("own", F.col("below"))
     nodes = below.join(shape, ["host", "path"], "left").join(pages, "host").select(
-        "host", "path", "pages", ((1 - opt.presentation) * F.col("below") + opt.presentation * own).alias("importance"))
+        "host", "path", "pages", "best", ((1 - opt.presentation) * F.col("below") + opt.presentation * own).alias("importance"))
     return nodes, contents.where("shown > 1").drop("chars")
 
 
@@ -266,15 +322,21 @@ def main_text(pages: DataFrame, opt: StyleTree = StyleTree()) -> DataFrame:
     read = stage(read_pages(pages), "style-pages")
     nodes, repeated = style_tree(read, opt)
     enough = F.col("pages") >= opt.min_pages
-    cut = nodes.where(enough & (F.col("importance") < opt.threshold)).groupBy("host").agg(F.collect_set("path").alias("cut"))
+    common_path = F.when(F.col("importance") < opt.threshold, F.col("path"))
+    # a branch with an important node inside is not cut as a whole
+    poor = F.greatest("importance", "best") < opt.named_threshold
+    cut = nodes.where(enough & poor).groupBy("host").agg(
+        F.collect_set(common_path).alias("cut"), F.collect_set("path").alias("cut_named"))
     # a page shows few texts, so few can be on a given share of the pages
     again = repeated.where((F.col("shown") >= opt.min_pages) & (F.col("importance") < opt.threshold)).groupBy("host").agg(
         F.collect_set(F.xxhash64("path", "content")).alias("again"))
     verdicts = _bounded(stage(cut.join(again, "host", "full"), "style-cut"), opt)
-    judged = read.join(verdicts, "host", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<string>"))).withColumn(
-        "again", F.coalesce("again", F.array().cast("array<bigint>")))
-    common = lambda b: F.array_contains("again", F.xxhash64(b["path"], F.xxhash64(b["text"]))) | F.exists(
-        "cut", lambda c: (b["path"] == c) | b["path"].startswith(F.concat(c, F.lit("/"))))
+    judged = read.join(verdicts, "host", "left")
+    for name, kind in (("cut", "string"), ("cut_named", "string"), ("again", "bigint")):
+        judged = judged.withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+    under = lambda b, name: F.exists(name, lambda c: (b["path"] == c) | b["path"].startswith(F.concat(c, F.lit("/"))))
+    common = lambda b: (F.array_contains("again", F.xxhash64(b["path"], F.xxhash64(b["text"])))
+                        | under(b, "cut") | (b["named"] & under(b, "cut_named")))
     read_as = F.transform(F.filter("blocks", lambda b: ~b["noise"] & (b["landmark"] | ~_linked(b))), lambda b: F.struct(
         b["text"].alias("text"), b["landmark"].alias("landmark"), common(b).alias("common")))
     chars = lambda a: F.aggregate(a, F.lit(0), lambda n, b: n + F.length(b["text"]))

@@ -251,3 +251,20 @@ def test_verdict_depends_neither_on_host_size_nor_on_copies(spark):
                 expect.append("\n".join(text))
     got = texts_of(spark, pages)
     assert [got[k] for k in range(len(pages))] == expect
+
+
+def test_a_boilerplate_word_alone_takes_no_article(spark):
+    kept = lambda source: [b[1] for b in site_style_tree.Page(source).blocks if not b[4]]
+    body, lead = sentence("body"), "A lead."
+    for wrapper in ("div class='layout has-sidebar'", "div id=widget class=banner", "div class='sidebar'"):
+        assert kept(f"<{wrapper}><article><p>{body}</p></article></div><div class=ad>Buy!</div>") == [body]
+    for wrapper in ("div class='entry-content comments-open'", "section class='ad-hoc-study'", "div class=widget"):
+        assert kept(f"<{wrapper}><p>{body}</p></div></section><div class='ad-slot'>Buy!</div>") == [body]
+    assert kept(f"<section><p>{body}</p></section><section class='ad-hoc-study'><p>{lead}</p></section>") == [body, lead]
+    inside = f"<div class=header><h1>Title</h1></div><p class=teaser>{lead}</p><p>{body}</p><div class=comments><p>me too</p></div>"
+    assert kept(f"<article>{inside}</article>") == ["Title", lead, body]
+    assert kept(f"<article><p>{body}</p></article><div class='post-comments'><p>{body} {body}</p></div>") == [body]
+    notice = " ".join(sentence("notice", i) for i in range(12))  # most of the host's text
+    got = texts_of(spark, [("http://n.example/", f"<div class='layout has-sidebar'><article><p>{sentence('n', k)}</p></article>"
+                            f"<div class=box><p>{notice}</p></div></div>") for k in range(8)])
+    assert [got[k] for k in range(8)] == [sentence("n", k) for k in range(8)]
