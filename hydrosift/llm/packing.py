@@ -33,8 +33,8 @@ from .common import in_batches, stage
 @dataclass(frozen=True)
 class Packing:
     """Tokens of a sequence, the token after each document, the vocabulary file
-    (byte-level ranks; the path must be readable by the executors) and the
-    pieces numbered in one bucket."""
+    (byte-level ranks, with the added tokens in the .json file beside it; the
+    path must be readable by the executors) and the pieces numbered in one bucket."""
 
     length: int = 1024
     end_id: int = 2
@@ -47,16 +47,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that the vocabulary's .json file adds to its ranks."""
+    import json
+    import os
+    described = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(described):
+        return {}
+    with open(described, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", [])
+    if any(t.get(rule) for t in added for rule in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{described} adds tokens that match with more than their text")
+    return {t["content"]: t["id"] for t in added}
+
+
 def load_encoder(path: str):
-    """A byte-level encoder from a rank file.  Texts hold no special tokens: a
-    string that spells one is ordinary text."""
+    """A byte-level encoder from a rank file and the added tokens beside it."""
     import base64
 
     import public_tokenizers
     import tiktoken
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+
+
+def encode_text(encoder, text: str) -> list[int]:
+    """The ids of a text; where it spells an added token, that token's id."""
+    if any(token in text for token in encoder.special_tokens_set):
+        return encoder.encode(text, allowed_special="all", disallowed_special=())
+    return encoder.encode_ordinary(text)
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -75,11 +95,11 @@ def token_pieces(docs: DataFrame, opt: Packing, with_ids: bool = False) -> DataF
     schema = pa.schema(fields)
 
     def run(batches):
-        encode = load_encoder(path).encode_ordinary
+        encoder = load_encoder(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], dtype="<u4")
+                ids = np.array([*encode_text(encoder, text or ""), end_id], dtype="<u4")
                 for k, (a, n) in enumerate(cut(len(ids), length)):
                     part = ids[a:a + n]
                     row = (doc_id, k, a, n, zlib.crc32(part.tobytes()))

@@ -268,3 +268,17 @@ def test_a_boilerplate_word_alone_takes_no_article(spark):
     got = texts_of(spark, [("http://n.example/", f"<div class='layout has-sidebar'><article><p>{sentence('n', k)}</p></article>"
                             f"<div class=box><p>{notice}</p></div></div>") for k in range(8)])
     assert [got[k] for k in range(8)] == [sentence("n", k) for k in range(8)]
+
+
+def test_texts_that_spell_an_added_token(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    encoder = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark}x", f"one \n {mark}  two  {mark}\n", f"<|endoftext|{mark}|>", "<|endoftext|", f"é中 {mark}" * 700]
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect():
+        got.setdefault(r.doc_id, {})[r.start] = r.ids
+    for k, text in enumerate(texts):
+        ids = [x for _, part in sorted(got[k].items()) for x in part]
+        assert ids == [*encoder.encode(text, add_special_tokens=False).ids, 2]
