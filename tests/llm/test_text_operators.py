@@ -103,6 +103,17 @@ def test_language_is_learned(spark, small):
     assert {r.lang_pred for r in string_kernel.identify(small.docs).collect()} <= {"en", "und"}
 
 
+def test_every_language_value_is_learned(spark):
+    rnd = random.Random(4)
+    rows = [(6 * k + i, "".join(rnd.choice([chr(0x4e00 + 6 * k + j) for j in range(6)]) for _ in range(40)), f"l{k:03}")
+            for k in range(240) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for opt in (string_kernel.KernelOptions(), string_kernel.KernelOptions(landmarks=100, block_rows=300)):
+        got = {r.doc_id: r.lang_pred for r in string_kernel.identify(docs, opt).collect()}
+        assert len(set(got.values())) == 240
+        assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.95
+
+
 def test_presence_does_not_depend_on_chunks():
     texts = ["abcabdé中" * 50, "", "a"]
     a = string_kernel.presence(texts, string_kernel.KernelOptions())
