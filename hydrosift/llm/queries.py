@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import additive_quality, packing, phrase_index, pii, sigtree, site_style_tree, string_kernel, suffix_repeats, warc
+from . import (additive_quality, packing, phrase_index, pii, sigtree, site_style_tree, spelling,
+               string_kernel, suffix_repeats, warc)
 from .common import table
 
 
@@ -57,6 +58,11 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style_tree.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opt = spelling.Spelling(damage=97)
+    return spelling.variant_groups(spelling.count_words(table(spark, sf_dir, "documents"), opt), opt)
+
+
 SQL_OP2 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -139,6 +145,7 @@ QUERIES = {
     "op8_exact_complement_packing": op8_exact_complement_packing,
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_site_style_tree": op10_site_style_tree,
+    "op11_reduced_alphabet": op11_reduced_alphabet,
 }
 ORACLES = {
     "op2_host_rules": SQL_OP2,
