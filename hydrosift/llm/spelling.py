@@ -221,8 +221,9 @@ def edit_places(vocabulary: DataFrame, opt: Spelling) -> DataFrame:
 
 
 def edit_keys(placed: DataFrame) -> DataFrame:
-    """(kind, key, whole) of every word: SWAP keys meet each other, a DROP key
-    meets the SAME key of the word that is one letter shorter."""
+    """(kind, key, place, whole) of every word: SWAP keys meet each other, a DROP
+    key meets the SAME key of the word that is one letter shorter.  In a run of
+    equal letters only the last is dropped."""
 
     def run(batches):
         for batch in batches:
@@ -230,7 +231,10 @@ def edit_keys(placed: DataFrame) -> DataFrame:
             whole = np.array(column["whole"], np.int64)
             for rows, points in by_length(column["word"]):
                 codes, (m, n) = Codes(points), points.shape
-                parts = [(SAME, rows[[bool(column["adds"][k]) for k in rows]], None)]
+                mine = rows[[bool(column["adds"][k]) for k in rows]]
+                parts = [(SAME, mine, np.zeros(len(mine), np.int32), whole[mine])]
+                ends_run = np.ones((m, n), bool)
+                ends_run[:, :-1] = points[:, :-1] != points[:, 1:]
                 for a, b in blocks(n, m):
                     for kind, name, keys in ((SWAP, "swaps", codes.masked), (DROP, "drops", codes.dropped)):
                         chosen = np.zeros((m, b - a), bool)
@@ -240,30 +244,31 @@ def edit_keys(placed: DataFrame) -> DataFrame:
                             elif column[name][row]:
                                 at = np.array(column[name][row])
                                 chosen[k, at[(at >= a) & (at < b)] - a] = True
-                        k, at = np.nonzero(chosen)
-                        parts.append((kind, rows[k], keys(a, b)[k, at]))
-                for kind, owners, keys in parts:
+                        k, at = np.nonzero(chosen & ends_run[:, a:b] if kind == DROP else chosen)
+                        parts.append((kind, rows[k], (at + a).astype(np.int32), keys(a, b)[k, at].view(np.int64)))
+                for kind, owners, place, key in parts:
                     if len(owners):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(owners), kind, np.int8)),
-                             _signed(keys) if keys is not None else pa.array(whole[owners]), pa.array(whole[owners])],
-                            names=["kind", "key", "whole"])
+                            [pa.array(np.full(len(owners), kind, np.int8)), pa.array(key), pa.array(place), pa.array(whole[owners])],
+                            names=["kind", "key", "place", "whole"])
 
     names = ["word", "whole", "crowded", "swaps", "drops", "adds"]
-    return in_batches(placed.select(*names), run, "kind byte, key long, whole long").distinct()
+    return in_batches(placed.select(*names), run, "kind byte, key long, place int, whole long")
 
 
 def near_words(vocabulary: DataFrame, opt: Spelling = Spelling()) -> DataFrame:
     """(word, near, near_n): every pair of words one edit apart, in both directions."""
     placed = vocabulary.join(edit_places(vocabulary, opt), "code")
     keys = stage(edit_keys(placed), "spelling-keys")
-    of = lambda kind, name: keys.where(F.col("kind") == kind).select("key", F.col("whole").alias(name))
-    swaps = of(SWAP, "a").join(of(SWAP, "b"), "key").where("a <> b").select("a", "b")
-    drops = of(DROP, "a").join(of(SAME, "b"), "key").select("a", "b")
-    pairs = swaps.union(drops).union(drops.select("b", "a")).distinct()
-    left = vocabulary.select(F.col("whole").alias("a"), "word")
-    right = vocabulary.select(F.col("whole").alias("b"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return pairs.join(left, "a").join(right, "b").where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n").distinct()
+    of = lambda kind, name, *more: keys.where(F.col("kind") == kind).select("key", F.col("whole").alias(name), *more)
+    swaps = of(SWAP, "a", "place").join(of(SWAP, "b", "place"), ["key", "place"]).where("a <> b").select("a", "b", "place")
+    drops = of(DROP, "a", "place").join(of(SAME, "b"), "key").select("a", "b", "place")
+    side = lambda key, word, n: vocabulary.select(F.col("whole").alias(key), F.col("word").alias(word), F.col("n").alias(n))
+    strings = lambda pairs: pairs.join(side("a", "x", "x_n"), "a").join(side("b", "y", "y_n"), "b")
+    rest = "concat(substring({0}, 1, place), substring({0}, place + 2))".format
+    swapped = strings(swaps).where(f"x <> y and {rest('x')} = {rest('y')}").selectExpr("x as word", "y as near", "y_n as near_n")
+    dropped = stage(strings(drops).where(f"{rest('x')} = y").select("x", "x_n", "y", "y_n"), "spelling-drops")
+    return swapped.union(dropped.select("x", "y", "y_n")).union(dropped.select("y", "x", "x_n")).distinct()
 
 
 def variant_groups(words: DataFrame, opt: Spelling = Spelling()) -> DataFrame:
