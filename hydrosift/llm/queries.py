@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules as _host_rules
-from . import (additive_quality, packing, phrase_index, pii, sigtree, site_style_tree, spelling,
-               string_kernel, suffix_repeats, warc)
+from . import (additive_quality, bpe_automaton, packing, phrase_index, pii, ranked_search, sigtree, site_style_tree,
+               spelling, string_kernel, suffix_repeats, warc)
 from .common import table
 
 
@@ -63,6 +63,17 @@ def op11_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.count_words(table(spark, sf_dir, "documents"), opt), opt)
 
 
+def op12_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe_automaton.decode(bpe_automaton.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                         F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SQL_OP2 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -134,6 +145,31 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_diges
 FROM p LEFT JOIN f ON p.h = f.h
 """
 
+SQL_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT row_number() OVER () AS b, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT b, t, count(*) AS times FROM (SELECT b, unnest(w) AS t FROM b) GROUP BY b, t),
+tf AS (
+  SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY d, t),
+wt AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), c),
+m AS (SELECT d, doc_id, 75 + (25 * len(w) * n) // l AS m FROM d, c WHERE len(w) > 0),
+s AS (
+  SELECT b, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (d) GROUP BY b, d),
+r AS (
+  SELECT b, doc_id, score, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS rank
+  FROM s JOIN d USING (d) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r JOIN b USING (b) WHERE rank <= 20
+"""
+
 QUERIES = {
     "op1_additive_quality": op1_additive_quality,
     "op2_host_rules": op2_host_rules,
@@ -146,9 +182,12 @@ QUERIES = {
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_site_style_tree": op10_site_style_tree,
     "op11_reduced_alphabet": op11_reduced_alphabet,
+    "op12_tokenization_automaton": op12_tokenization_automaton,
+    "op13_hybrid_ranking": op13_hybrid_ranking,
 }
 ORACLES = {
     "op2_host_rules": SQL_OP2,
     "op5_phrase_index": SQL_OP5,
     "op7_warc_index_merge": SQL_OP7,
+    "op13_hybrid_ranking": SQL_OP13,
 }
