@@ -28,13 +28,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import in_batches
+from .words import slices
 
 # Fixed value: the pattern of words that byte-level vocabularies of this kind use.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,7 +51,7 @@ class Vocabulary:
     ``memo_chars`` characters a task remembers."""
 
     path: str = ""
-    memo_words: int = 200_000
+    memo_words: int = 400_000
     memo_chars: int = 64
 
 
@@ -115,26 +116,21 @@ def compile_tables(path: str) -> dict:
 class Automaton:
     """Transitions by state (the last token; -1 at the start) and token."""
 
-    def __init__(self, tables: dict, memo_words: int = 200_000, memo_chars: int = 64):
+    def __init__(self, tables: dict, memo_words: int = 400_000, memo_chars: int = 64):
         import regex
         self.labels, self.made = tables["labels"], tables["made"]
         self.left, self.right, self.lost = tables["left"], tables["right"], tables["lost"]
         self.added = tables["added"]
-        self.next: dict[int, int] = {}  # trie of the labels: node << 8 | byte -> node
-        self.token_at = [-1]
-        for t in tables["tokens"]:
-            node = 0
-            for byte in self.labels[t]:
-                node = self.next.setdefault(node << 8 | byte, len(self.token_at))
-                if node == len(self.token_at):
-                    self.token_at.append(-1)
-            self.token_at[node] = t
+        self.token = {self.labels[t]: t for t in tables["tokens"]}
+        self.reach: dict[bytes, int] = {}  # longest label that starts with these two bytes
+        for label in self.token:
+            self.reach[label[:2]] = max(self.reach.get(label[:2], 1), len(label))
         self.arcs: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.memo_words, self.memo_chars = memo_words, memo_chars
         self.word, self.unsettled = regex.compile(WORD), regex.compile(SETTLED)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.library = None
+        self.library = self.emitted = None
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the state behind token ``state`` has an arc ``token``."""
@@ -148,35 +144,46 @@ class Automaton:
         self.arcs[key] = found
         return found
 
-    def encode_bytes(self, data: bytes) -> list[int]:
-        """The accepted path of a word.  ``last[i]`` is the token that ends the
-        path of the first i bytes; it is the state there, too."""
-        n, step, token_at, arc = len(data), self.next.get, self.token_at, self.arc
-        last = [-1] * (n + 1)
-        for i in range(n):
-            node, state = 0, last[i]
-            for j in range(i, n):
-                node = step(node << 8 | data[j])
-                if node is None:
-                    break
-                token = token_at[node]
-                if token >= 0 and last[j + 1] < 0 and (i == 0 or arc(state, token)):
-                    last[j + 1] = token
-        path, at = [], n
-        while at > 0:
-            path.append(last[at])
-            at -= len(self.labels[last[at]])
-        return path[::-1]
-
-    def word_ids(self, word: str) -> list[int]:
-        ids = self.memo.get(word)
-        if ids is None:
-            ids = self.encode_bytes(word.encode())
-            if len(word) <= self.memo_chars:
-                if len(self.memo) >= self.memo_words:
-                    self.memo.clear()
-                self.memo[word] = ids
-        return ids
+    def encode_bytes(self, data: bytes) -> tuple[int, ...]:
+        """The accepted path of a word.  From each place the longest token with an
+        arc comes first; a place from which no token leads on is left for good, as
+        only one path leads there."""
+        n, token_of, reach, arcs = len(data), self.token.get, self.reach.get, self.arcs
+        whole = token_of(data)
+        if whole is not None:
+            return (whole,)
+        at, end, state, path, starts, closed = 0, 0, -1, [], [], set()
+        while at < n:
+            if not end:
+                end = min(n, at + reach(data[at:at + 2], 1))
+            while end > at:
+                token = token_of(data[at:end])
+                if token is not None and end not in closed:
+                    known = not at or arcs.get(state << 20 | token)
+                    if self.arc(state, token) if known is None else known:
+                        path.append(token)
+                        starts.append(at)
+                        at, end, state = end, 0, token
+                        break
+                end -= 1
+            else:
+                closed.add(at)
+                end, at = at - 1, starts.pop()
+                path.pop()
+                state = path[-1] if path else -1
+        return tuple(path)
+
+    def paths(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The paths of different words; new ones are run in order, as words that
+        begin alike use the same entries of the tables."""
+        known = list(map(self.memo.get, words))
+        # a word of a text split at the added tokens holds none but itself
+        new = {w: (self.added[w],) if w in self.added else self.encode_bytes(w.encode())
+               for w in sorted(w for w, p in zip(words, known, strict=True) if p is None)}
+        if len(self.memo) + len(new) > self.memo_words:
+            self.memo.clear()
+        self.memo.update((w, p) for w, p in islice(new.items(), self.memo_words) if len(w) <= self.memo_chars)
+        return [new[w] if p is None else p for w, p in zip(words, known, strict=True)]
 
     def split(self, text: str) -> list[str]:
         if not self.unsettled.search(text):
@@ -186,14 +193,41 @@ class Automaton:
             self.library = pre_tokenizers.ByteLevel(add_prefix_space=False)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
+    def words(self, text: str) -> list[str]:
+        """Words and added tokens of a text."""
+        if self.splits is None:
+            return self.split(text)
+        parts = self.splits.split(text)
+        return self.split(text) if len(parts) == 1 else [
+            w for p in parts for w in ((p,) if p in self.added else self.split(p))]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end, and where each text's begin (and the last end).
+        Equal words of the texts are looked up once."""
+        lists = [self.words(text) for text in texts]
+        coded = pa.array(chain.from_iterable(lists), pa.string()).dictionary_encode()
+        paths = self.paths(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, paths), np.int64, len(paths))
+        flat, first = np.fromiter(chain.from_iterable(paths), np.int32, int(size.sum())), np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[word])])
+        ids = flat[np.repeat(first[word] - ends[:-1], size[word]) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum([0, *map(len, lists)])]
+
     def encode(self, text: str) -> np.ndarray:
-        parts = self.splits.split(text) if self.splits else [text]
-        runs = ([self.added[p]] if p in self.added else chain.from_iterable(map(self.word_ids, self.split(p))) for p in parts)
-        return np.fromiter(chain.from_iterable(runs), np.int32)
+        return self.encode_all([text])[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The labels of the ids from each end to the next, as texts."""
+        n = len(self.labels)
+        if self.emitted is None:
+            self.emitted = pa.array([*self.labels, b""], pa.large_binary())
+        out = self.emitted.take(pa.array(np.where((ids >= 0) & (ids < n), ids, n)))
+        data, at = out.buffers()[2], np.frombuffer(out.buffers()[1], np.int64, len(ids) + 1)[ends].tolist()
+        return [bytes(data[a:b]).decode("utf-8", "replace") if b > a else "" for a, b in zip(at, at[1:], strict=False)]
 
     def decode(self, ids) -> str:
-        labels, n = self.labels, len(self.labels)
-        return b"".join([labels[t] for t in ids if 0 <= t < n]).decode("utf-8", "replace")
+        return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 def _tables(df: DataFrame, opt: Vocabulary):
@@ -204,22 +238,17 @@ def _tables(df: DataFrame, opt: Vocabulary):
     return df.sparkSession.sparkContext.broadcast(compile_tables(path))
 
 
-def encode(docs: DataFrame, opt: Vocabulary = Vocabulary(), held_ids: int = 500_000) -> DataFrame:
-    """(doc_id, ids) of every text."""
+def encode(docs: DataFrame, opt: Vocabulary = Vocabulary(), text_bytes: int = 4 << 20) -> DataFrame:
+    """(doc_id, ids) of every text; texts are encoded together up to ``text_bytes``."""
     tables, memo = _tables(docs, opt), (opt.memo_words, opt.memo_chars)
 
     def run(batches):
         automaton = Automaton(tables.value, *memo)
         for batch in batches:
-            start, held, lists = 0, 0, []
-            for k, text in enumerate(batch.column(1).to_pylist(), start=1):
-                lists.append(automaton.encode(text or ""))
-                held += len(lists[-1])
-                if held >= held_ids or k == batch.num_rows:
-                    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k - start), ids], names=["doc_id", "ids"])
-                    start, held, lists = k, 0, []
+            for part in slices(batch, "text", text_bytes):
+                ids, ends = automaton.encode_all([text or "" for text in part.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>")
@@ -232,7 +261,10 @@ def decode(encoded: DataFrame, opt: Vocabulary = Vocabulary()) -> DataFrame:
     def run(batches):
         automaton = Automaton(tables.value)
         for batch in batches:
-            texts = pa.array([automaton.decode(ids or ()) for ids in batch.column(1).to_pylist()], pa.string())
+            lists = batch.column(1)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            texts = pa.array(automaton.decode_all(ids, np.cumsum([0, *sizes])), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

@@ -138,9 +138,9 @@ def test_odd_tables(spark, small, library):
     assert sorted((r.doc_id, r.ids, r.text) for r in got) == sorted(expect)
     assert bpe_automaton.decode(bpe_automaton.encode(small.empty)).count() == 0
     none = small.docs.limit(3).withColumn("doc_id", F.lit(None).cast("string"))
-    assert [r.doc_id for r in bpe_automaton.encode(none, held_ids=1).collect()] == [None] * 3
-    nulls = spark.createDataFrame([(1, None), (None, [262])], "doc_id long, ids array<int>")
-    assert sorted((r.text for r in bpe_automaton.decode(nulls).collect())) == ["", automaton_text(262)]
+    assert [r.doc_id for r in bpe_automaton.encode(none, text_bytes=1).collect()] == [None] * 3
+    nulls = spark.createDataFrame([(1, None), (None, [262]), (2, []), (3, [-5, 262, 99999])], "doc_id long, ids array<int>")
+    assert sorted((r.text for r in bpe_automaton.decode(nulls).collect())) == ["", "", automaton_text(262), automaton_text(262)]
 
 
 def automaton_text(t):
