@@ -14,11 +14,14 @@ selects the pattern, the sequence and the offset.
 
 Defined results for odd input: a NULL or empty text is one piece holding the end
 token; rows that repeat a doc_id are packed each; a NULL doc_id is kept as it is;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; further columns are ignored; texts of any
+length are cut into pieces, and one with white space running on for 20,000
+characters is encoded by the tokenizers library (the same ids, more slowly).
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -42,6 +45,10 @@ class Packing:
     bucket_rows: int = 50_000
 
 
+LONG_RUN = 20_000
+LONG_BLANK = re.compile(r"\s{%d}" % LONG_RUN)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,6 +79,23 @@ def load_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
+def has_long_run(text: str) -> bool:
+    """Whether white space runs on for longer than the fast encoder's pattern can
+    follow (its stack ends at about a million characters)."""
+    return len(text) >= LONG_RUN and LONG_BLANK.search(text) is not None
+
+
+def load_library(path: str):
+    """The tokenizers library on the .json file beside a rank file."""
+    import os
+
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(os.path.splitext(path)[0] + ".json")
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def encode_text(encoder, text: str) -> list[int]:
     """The ids of a text; where it spells an added token, that token's id."""
     if any(token in text for token in encoder.special_tokens_set):
@@ -95,11 +119,16 @@ def token_pieces(docs: DataFrame, opt: Packing, with_ids: bool = False) -> DataF
     schema = pa.schema(fields)
 
     def run(batches):
-        encoder = load_encoder(path)
+        encoder, library = load_encoder(path), None
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode_text(encoder, text or ""), end_id], dtype="<u4")
+                if has_long_run(text or ""):
+                    library = library or load_library(path)
+                    found = library.encode(text, add_special_tokens=False).ids
+                else:
+                    found = encode_text(encoder, text or "")
+                ids = np.array([*found, end_id], dtype="<u4")
                 for k, (a, n) in enumerate(cut(len(ids), length)):
                     part = ids[a:a + n]
                     row = (doc_id, k, a, n, zlib.crc32(part.tobytes()))

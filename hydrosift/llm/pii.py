@@ -40,8 +40,8 @@ IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 USER_URL = re.compile(r"://[A-Za-z0-9._~%!$&'()*+,;=:-]+@(?:[A-Za-z0-9.-]+|\[[0-9A-Fa-f:.]+\])(?::[0-9]+)?")
-IDENTIFIER = re.compile(r"(?:[ \t]+(?:no|nr|number|id))?\.?[ \t]*[:=#]?[ \t]*[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
-SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/.=-]{8,})")
+IDENTIFIER = re.compile(r"(?:[ \t]++(?:no|nr|number|id))?\.?[ \t]*+[:=#]?+[ \t]*+[\"']?+([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+SECRET = re.compile(r"[\"']?+[ \t]*+[:=][ \t]*+[\"']?+([A-Za-z0-9_+/.=-]{8,})")
 IDENTIFIER_CUES = ("account", "acct", "iban", "ssn", "passport")
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "access_key")
 SCHEMES = ("http", "https", "ftp", "sftp", "ssh", "smtp", "imap", "ldap", "mysql", "postgres", "mongodb", "redis")
@@ -97,7 +97,7 @@ class Scanner:
 
     def spans(self, text: str) -> list[Span]:
         out: dict[str, list[Span]] = {kind: [] for kind in KINDS}
-        done = dict.fromkeys(KINDS, 0)
+        done = dict.fromkeys((*KINDS, "refused"), 0)
         for last, (family, size) in self.anchors.iter(text):
             at = last - size + 1
             if family == "digit":
@@ -154,6 +154,8 @@ class Scanner:
             out["url"].append(Span("url", at, m.end()))
 
     def _account(self, family, text, after, out, done):
+        if family == "secret" and after < done["refused"]:
+            return  # inside a refused value, of which only a part could follow
         m = (SECRET if family == "secret" else IDENTIFIER).match(text, after)
         if not m:
             return
@@ -162,6 +164,8 @@ class Scanner:
         if iban(value) or (digits >= 2 if family == "secret" else digits >= 6 and 2 * digits >= len(value)):
             done["account"] = m.end(1)
             out["account"].append(Span("account", m.start(1), m.end(1)))
+        elif family == "secret":
+            done["refused"] = m.end(1)
 
 
 def mask(text: str, spans: list[Span]) -> str:

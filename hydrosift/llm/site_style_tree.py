@@ -73,8 +73,10 @@ PLAIN_WORDS = frozenset("""area bar block blocks bottom box button buttons col c
 group holder icons inner item items last left link links list main outer page panel post posts primary right row
 secondary section site slot text title top unit user wrap wrapper""".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag; a quoted value, which may hold ">", starts only after "=".  No part is read twice.
+TAG = re.compile(r"<(/?+)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+UNQUOTED_TAG = re.compile(r"<(/?+)([A-Za-z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 UNREAD_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in UNREAD}
 NAME = re.compile(r"[^a-z]+")
 PLAIN, HINT, SOFT, NAMED = range(4)  # what an element's class and id say
@@ -152,20 +154,39 @@ class Page:
                 for k, (said, inside) in enumerate(self.named)]
 
     def _read(self, source: str) -> None:
-        at, in_link = 0, False
+        """Tag by tag, in one pass.  From a tag whose quotes never close on, tags
+        end at their first ">"; a "<" that starts no tag is text."""
+        at, begin, in_link, last, tags = 0, 0, False, source.rfind(">"), TAG
         while True:
-            token = TOKEN.search(source, at)
-            self._text(source[at:token.start() if token else len(source)], in_link)
-            if not token:
+            start = source.find("<", at)
+            if start < 0 or start + 1 >= len(source):
+                break
+            sign = source[start + 1]
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                self._text(source[begin:start], in_link)
+                at = begin = end + 3 if end >= 0 else len(source)
+                continue
+            if start > last:
                 break
-            at = token.end()
-            if token.group(2) is None:
+            if sign in "!?":
+                self._text(source[begin:start], in_link)
+                at = begin = source.find(">", start) + 1
+                continue
+            token = tags.match(source, start)
+            if not token and tags is TAG and (sign.isascii() and sign.isalpha() or sign == "/" and source[start + 2:start + 3].isalpha()):
+                tags = UNQUOTED_TAG
+                token = tags.match(source, start)
+            if not token:
+                at = start + 1
                 continue
+            self._text(source[begin:start], in_link)
+            at = begin = token.end()
             tag, closing = token.group(2).lower(), bool(token.group(1))
             if tag in UNREAD_END:
                 if not closing and not token.group(3).endswith("/"):
-                    end = UNREAD_END[tag].search(source, at)
-                    at = end.end() if end else len(source)
+                    end = UNREAD_END[tag].search(source, at) if at <= last else None
+                    at = begin = end.end() if end else len(source)
             elif tag == "a":
                 in_link = not closing
             elif tag == "br":
@@ -177,6 +198,7 @@ class Page:
                 else:
                     self._open(tag, token.group(3))
                     in_link = False
+        self._text(source[begin:], in_link)
         self._flush()
 
     def _text(self, raw: str, in_link: bool) -> None:

@@ -21,9 +21,10 @@ a document with a smaller doc_id.
 Windows are compared by three 64-bit hashes (10, 15 and 25 words).
 
 Defined results for odd input: a NULL, empty or blank text has no words; a
-document with under 50 words loses none; repeated rows with one doc_id never
-count against each other; rows with a NULL doc_id keep all words and are never
-the smaller document; an empty table gives an empty result; further columns are ignored.
+document with under 50 words loses none; rows with one doc_id never count against
+each other and each loses its own words (a row is known by doc_id and a hash of
+its text); rows with a NULL doc_id keep all words and are never the smaller
+document; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +56,7 @@ class RepeatOptions:
     broadcast_ids: int = 2_000_000
 
 
+KEY = ["doc_id", "row"]
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -68,10 +70,11 @@ def word_texts(docs: DataFrame) -> DataFrame:
                 words = (text or "").encode().split()
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string())],
-                                             names=["doc_id", "n_words", "sha"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(sha, pa.string())],
+                names=["doc_id", "row", "n_words", "sha"])
 
-    return docs.select("doc_id", "text").transform(in_batches, run, "doc_id long, n_words long, sha string")
+    return docs.select("doc_id", "row", "text").transform(in_batches, run, "doc_id long, row long, n_words long, sha string")
 
 
 def _seeds(words: Words, t: int, grams: np.ndarray, opt: RepeatOptions) -> np.ndarray:
@@ -90,7 +93,7 @@ def _seeds(words: Words, t: int, grams: np.ndarray, opt: RepeatOptions) -> np.nd
 
 
 def seed_postings(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
-    """(gram, doc_id, pos) of every seed of every document."""
+    """(gram, doc_id, row, pos) of every seed of every document."""
 
     def run(batches):
         for batch in batches:
@@ -103,16 +106,17 @@ def seed_postings(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
                     gram.append(grams[words.first[t] + at])
                     pos.append(at)
                     n.append(len(at))
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in KEY)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.repeat(ids, n).astype(np.int64)),
-                     pa.array(np.concatenate(pos).astype(np.int32))], names=["gram", "doc_id", "pos"])
+                     pa.array(np.repeat(rows, n).astype(np.int64)), pa.array(np.concatenate(pos).astype(np.int32))],
+                    names=["gram", *KEY, "pos"])
 
-    return docs.select("doc_id", "text").transform(in_batches, run, "gram long, doc_id long, pos int")
+    return docs.select(*KEY, "text").transform(in_batches, run, "gram long, doc_id long, row long, pos int")
 
 
 def suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
-    """(p1, p2, p3, level, doc_id, pos) of the windows with a repeated seed;
+    """(p1, p2, p3, level, doc_id, row, pos) of the windows with a repeated seed;
     ``docs`` carries ``seeds``: (pos, level) of the document's repeated seeds."""
     ends = np.cumsum([0, *opt.symbols])
 
@@ -122,12 +126,12 @@ def suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
                 words = Words(part.column("text"))
                 grams = words.windows(opt.seed)
                 symbols = [words.windows(k) for k in opt.symbols]
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in KEY)
                 lists = part.column("seeds")
                 at = np.asarray(lists.offsets)
                 seed_pos = np.asarray(lists.values.field("pos"))
                 seed_level = np.asarray(lists.values.field("level"))
-                out = [[np.zeros(0, np.uint64)] for _ in symbols] + [[np.zeros(0, np.int64)] for _ in range(3)]
+                out = [[np.zeros(0, np.uint64)] for _ in symbols] + [[np.zeros(0, np.int64)] for _ in range(4)]
                 for t in range(part.num_rows):
                     of = _seeds(words, t, grams, opt)
                     level = np.zeros(int(words.first[t + 1] - words.first[t]) + 1, np.int64)
@@ -139,14 +143,15 @@ def suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
                         out[k].append(sym[words.first[t] + s + ends[k]])
                     out[3].append(level[of][s] if len(of) else of)
                     out[4].append(np.full(len(s), ids[t], np.int64))
-                    out[5].append(s)
-                a, b, c, lv, d, s = (np.concatenate(x) for x in out)
+                    out[5].append(np.full(len(s), rows[t], np.int64))
+                    out[6].append(s)
+                a, b, c, lv, d, r, s = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(x.view(np.int64)) for x in (a, b, c)), pa.array(lv.astype(np.int32)), pa.array(d),
-                     pa.array(s.astype(np.int32))], names=["p1", "p2", "p3", "level", "doc_id", "pos"])
+                     pa.array(r), pa.array(s.astype(np.int32))], names=["p1", "p2", "p3", "level", *KEY, "pos"])
 
-    return docs.select("doc_id", "text", "seeds").transform(in_batches,
-        run, "p1 long, p2 long, p3 long, level int, doc_id long, pos int")
+    return docs.select(*KEY, "text", "seeds").transform(in_batches,
+        run, "p1 long, p2 long, p3 long, level int, doc_id long, row long, pos int")
 
 
 def deep_nodes(symbols: np.ndarray) -> np.ndarray:
@@ -161,7 +166,7 @@ def deep_nodes(symbols: np.ndarray) -> np.ndarray:
 
 
 def subtree_repeats(dealt: DataFrame) -> DataFrame:
-    """(doc_id, pos) of suffixes below a full-depth node whose smallest doc_id
+    """(doc_id, row, pos) of suffixes below a full-depth node whose smallest doc_id
     is another document.  Partitions are sorted, so a node is a run of rows
     and only its first one is carried from batch to batch."""
 
@@ -181,25 +186,25 @@ def subtree_repeats(dealt: DataFrame) -> DataFrame:
                               first_doc if first_doc is not None else 0)
             hit = docs > lowest
             last, first_doc = sym[-1], lowest[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[hit]), batch.column("pos").filter(pa.array(hit))],
-                                             names=["doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[hit]), *(batch.column(c).filter(pa.array(hit)) for c in ("row", "pos"))],
+                                             names=[*KEY, "pos"])
 
-    return dealt.select("p1", "p2", "p3", "doc_id", "pos").transform(in_batches, run, "doc_id long, pos int")
+    return dealt.select("p1", "p2", "p3", *KEY, "pos").transform(in_batches, run, "doc_id long, row long, pos int")
 
 
 def repeated_windows(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
-    """(doc_id, pos): starts of the windows that also start in a smaller doc_id."""
+    """(doc_id, row, pos): starts of the windows that also start in a smaller doc_id."""
     postings = stage(seed_postings(docs, opt), "repeat-seeds")
     # written first: a join with the aggregate itself could not split a frequent gram's rows
     grams = stage(postings.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
                                                F.count(F.lit(1)).alias("n")).where("lo < hi"), "repeat-grams")
     level = F.when(F.col("n") <= opt.short_prefix, 1).when(F.col("n") <= opt.long_prefix, 2).otherwise(3)
-    seeds = stage(postings.join(grams.select("gram", level.alias("level")), "gram").groupBy("doc_id").agg(
+    seeds = stage(postings.join(grams.select("gram", level.alias("level")), "gram").groupBy(*KEY).agg(
         F.collect_list(F.struct("pos", "level")).alias("seeds"), F.max("level").alias("top")), "repeat-seeded")
-    ids = seeds.select("doc_id")
+    ids = seeds.select(*KEY)
     if ids.limit(opt.broadcast_ids + 1).count() <= opt.broadcast_ids:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    found = suffixes(docs.join(seeds, "doc_id"), opt)
+        docs = docs.join(F.broadcast(ids), KEY, "left_semi")
+    found = suffixes(docs.join(seeds, KEY), opt)
     key = F.xxhash64("p1", F.when(F.col("level") > 1, F.col("p2")))
     order = ["p1", "p2", "p3", "doc_id"]
     if not seeds.where("top = 3").limit(1).count():
@@ -209,30 +214,30 @@ def repeated_windows(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
     many = found.where("level = 3")
     low = many.groupBy("p1", "p2", "p3").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     rest = many.join(low, ["p1", "p2", "p3"]).where("doc_id > low")
-    return some.union(rest.select("doc_id", "pos"))
+    return some.union(rest.select(*KEY, "pos"))
 
 
 def remove_repeats(docs: DataFrame, opt: RepeatOptions = RepeatOptions()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row;
     kept_text is NULL where the text keeps all its words."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     all_words = stage(word_texts(docs), "repeat-words")
     classes = all_words.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= opt.window)).groupBy("sha", "n_words").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     copies = stage(all_words.join(classes.where("size > 1"), ["sha", "n_words"]).where("doc_id > class_id").select(
-        "doc_id").distinct(), "repeat-copies")
+        *KEY).distinct(), "repeat-copies")
     n_copies = copies.limit(opt.broadcast_ids + 1).count()
     few = F.broadcast(copies) if n_copies <= opt.broadcast_ids else copies
-    distinct = docs.where("doc_id is not null").join(few, "doc_id", "left_anti")
-    hits = stage(repeated_windows(distinct, opt).groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "repeat-hits")
-    ids = hits.select("doc_id")
-    texts = distinct.join(F.broadcast(ids), "doc_id", "left_semi") if ids.limit(
+    distinct = docs.where("doc_id is not null").join(few, KEY, "left_anti")
+    hits = stage(repeated_windows(distinct, opt).groupBy(*KEY).agg(F.collect_list("pos").alias("starts")), "repeat-hits")
+    ids = hits.select(*KEY)
+    texts = distinct.join(F.broadcast(ids), KEY, "left_semi") if ids.limit(
         opt.broadcast_ids + 1).count() <= opt.broadcast_ids else distinct
 
     def cut(batches):
         for batch in batches:
             out = []
-            for doc_id, text, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True):
+            for doc_id, row, text, starts in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "starts")), strict=True):
                 words = (text or "").encode().split()
                 step = np.zeros(len(words) + opt.window + 1, np.int64)
                 at = np.asarray(starts)
@@ -241,18 +246,19 @@ def remove_repeats(docs: DataFrame, opt: RepeatOptions = RepeatOptions()) -> Dat
                 np.add.at(step, at + opt.window, -1)
                 keep = np.flatnonzero(np.cumsum(step)[:len(words)] == 0)
                 kept = b" ".join([words[i] for i in keep])
-                out.append((doc_id, len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                out.append((doc_id, row, len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 4,
-                                                      (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
-                names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
-
-    partly = texts.join(hits, "doc_id").select("doc_id", "text", "starts").transform(in_batches,
-        cut, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
-    wholly = copies.select("doc_id", F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"),
+                [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 5,
+                                                      (*[pa.int64()] * 3, *[pa.string()] * 2), strict=True)],
+                names=[*KEY, "n_removed", "kept_sha256", "kept_text"])
+
+    # a repeated row is cut once
+    partly = texts.dropDuplicates(KEY).join(hits, KEY).select(*KEY, "text", "starts").transform(in_batches,
+        cut, "doc_id long, row long, n_removed long, kept_sha256 string, kept_text string")
+    wholly = copies.select(*KEY, F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"),
                            F.lit("").alias("kept_text"))
     changed = partly.union(wholly).withColumn("changed", F.lit(True))
-    out = all_words.join(changed, "doc_id", "left")
+    out = all_words.join(changed, KEY, "left")
     removed = F.when(F.col("changed"), F.coalesce("n_removed", "n_words")).otherwise(0)
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"),
                       F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text")

@@ -38,6 +38,7 @@ from .common import in_batches, stage, stage_path
 
 CRLF = "\r\n"
 RECORD_END = "\r\n\r\n"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 
 
@@ -78,20 +79,22 @@ def _line(name: str, value: Column) -> Column:
 def records(pages: DataFrame, referred: DataFrame) -> DataFrame:
     """One string per page: its record without the blank lines that end it.
 
-    Pages carry no capture time, so a fixed day plus page_id seconds stands for it."""
+    Pages carry no capture time, so a second of one fixed day, taken from the
+    page_id, stands for it; captures of one second are told apart by page_id."""
     keyed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn(
         "digest", F.sha2(F.col("html").cast("binary"), 256)).join(referred, ["page_id", "digest"], "left")
     again = F.col("refers_to").isNotNull()
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
     size = lambda c: F.octet_length(c.cast("binary")).cast("string")
     urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(F.col("page_id"), F.lit(0)))
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(86_400)))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), _line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", urn(F.col("page_id"))), _line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")),
         _line("WARC-Date", F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        _line("WARC-Refers-To", F.when(again, urn(F.col("refers_to")))), _line("X-Payload-Length", size(F.col("html"))),
+        _line("WARC-Profile", F.when(again, F.lit(REVISIT_PROFILE))), _line("WARC-Refers-To", F.when(again, urn(F.col("refers_to")))),
+        _line("Content-Type", F.when(~again, F.lit("text/html; charset=utf-8"))), _line("X-Payload-Length", size(F.col("html"))),
         _line("Content-Length", size(body)), F.lit(CRLF))
     return keyed.select("page_id", F.concat(head, body).alias("value"))
 

@@ -93,7 +93,7 @@ def test_proximity(spark, small):
     windows = phrase_index.item_windows(bench, opt)
     terms = phrase_index.rarest_terms(docs, windows, opt)
     index = phrase_index.postings(docs, terms, opt)
-    assert {r.doc_id for r in phrase_index.proximity_matches(index, terms, 10).collect()} == {1, 3}
+    assert {r.id for r in phrase_index.proximity_matches(index, terms, 10).collect()} == {1, 3}
 
 
 def test_repeated_passages(small):
