@@ -31,10 +31,11 @@ def _mapped(params: Mapping, table: Mapping, missing: str) -> list[tuple]:
     return [(_c(params[p]).cast("double"), p, entry) for p, entry in table.items() if p in params]
 
 
-def _weighted_mean(terms: list[tuple[Column, float]]) -> Column:
-    """Mean of the non-null sub-indices by weight; NULL when all are NULL."""
-    total = reduce(lambda x, y: x + y, [F.coalesce(q * F.lit(w), F.lit(0.0)) for q, w in terms], F.lit(0.0))
-    weight = reduce(lambda x, y: x + y, [F.when(q.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for q, w in terms], F.lit(0.0))
+def _weighted_mean(terms: list[tuple[Column, Column, float]]) -> Column:
+    """Mean of the sub-indices by weight over the inputs that are not NULL; NULL
+    when all are.  The input is tested, so a sub-index is computed once."""
+    total = reduce(lambda x, y: x + y, [F.coalesce(q * F.lit(w), F.lit(0.0)) for _, q, w in terms], F.lit(0.0))
+    weight = reduce(lambda x, y: x + y, [F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for v, _, w in terms], F.lit(0.0))
     return F.when(weight > 0, total / weight)
 
 
@@ -45,19 +46,19 @@ def bis_wqi(params: Mapping[str, str | Column], limits: Mapping = BIS_LIMITS, mi
     uses its high end); sub-index ``value/limit*100``, for pH
     ``|v-7|/1.5*100``.  NULL when no parameter is present.
     """
-    def term(v: Column, name: str, limit) -> tuple[Column, float]:
+    def term(v: Column, name: str, limit) -> tuple[Column, Column, float]:
         high = limit[1] if isinstance(limit, tuple) else limit
-        return (F.abs(v - 7.0) / (8.5 - 7.0) * 100 if name == "ph" else v / high * 100), 1 / high
+        return v, (F.abs(v - 7.0) / (8.5 - 7.0) * 100 if name == "ph" else v / high * 100), 1 / high
     return _weighted_mean([term(*m) for m in _mapped(params, limits, missing)])
 
 
 def nsf_wqi(params: Mapping[str, str | Column], table: Mapping = NSF_PARAMS, missing: str = "raise") -> Column:
     """NSF-style surface-water index (C2): sub-index 100 at or below the ideal,
     else ``max(0, 100*(std-v)/(std-ideal))``; weighted mean over present values."""
-    def term(v: Column, name: str, entry: tuple) -> tuple[Column, float]:
+    def term(v: Column, name: str, entry: tuple) -> tuple[Column, Column, float]:
         ideal, limit, weight = entry
         falling = F.greatest(F.lit(0.0), 100 * (F.lit(limit) - v) / (limit - ideal))
-        return F.when(v <= ideal, F.lit(100.0)).when(v.isNotNull(), falling), weight
+        return v, F.when(v <= ideal, F.lit(100.0)).when(v.isNotNull(), falling), weight
     return _weighted_mean([term(*m) for m in _mapped(params, table, missing)])
 
 
