@@ -220,9 +220,8 @@ def _grow(data: DataFrame, model: Model, pending: list) -> list[Tree]:
     return trees
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, classes: int = 0, opt: Boosting = Boosting()) -> Model:
-    """A model of ``label``: a number, or a class 0 .. classes - 1.  Rows with a
-    NULL label are left out; no rows give a model without trees."""
+def prepare(df: DataFrame, features: Sequence[str], label: str, classes: int, opt: Boosting) -> tuple[Model, DataFrame, int]:
+    """A model without trees, the binned rows with its base scores, and their number."""
     df = df.where(F.col(label).isNotNull())
     edges, outputs = bin_edges(df, features, opt.bins), max(1, classes)
     if classes:
@@ -244,8 +243,30 @@ def fit(df: DataFrame, features: Sequence[str], label: str, classes: int = 0, op
 
     numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
     rows = df.select(numbers.alias("f"), F.col(label).cast("double").alias("y"))
-    data, pending = stage_table(rows.mapInArrow(run, "b array<smallint>, y double, s array<double>"), "boosting"), []
-    for r in range(opt.rounds if n else 0):
+    return model, stage_table(rows.mapInArrow(run, "b array<smallint>, y double, s array<double>"), "boosting"), n
+
+
+def root_gains(df: DataFrame, features: Sequence[str], label: str, classes: int = 0, opt: Boosting = Boosting()) -> list[tuple]:
+    """(class, feature, threshold, gain) of every split that the first trees may begin with."""
+    model, data, n = prepare(df, features, label, classes, opt)
+    outputs, width = max(1, classes), 1 + max(map(len, model.edges))
+    table = np.zeros((3, outputs, len(features), width))
+    for r in _tree_tables(data, model, [], [Tree.empty(opt.depth) for _ in range(outputs)], 0).collect():
+        table[:, r["class"], r["feature"], r["bin"]] = r["g"], r["h"], r["n"]
+    out = []
+    for k in range(outputs if n else 0):
+        gain, _ = split_gains(table[:, k], opt)
+        out += [(k, features[f], float(e), float(gain[f, c])) for f, edges in enumerate(model.edges)
+                for c, e in enumerate(edges) if np.isfinite(gain[f, c])]
+    return out
+
+
+def fit(df: DataFrame, features: Sequence[str], label: str, classes: int = 0, opt: Boosting = Boosting()) -> Model:
+    """A model of ``label``: a number, or a class 0 .. classes - 1.  Rows with a
+    NULL label are left out; no rows give a model without trees."""
+    model, data, n = prepare(df, features, label, classes, opt)
+    pending: list[list[Tree]] = []
+    for _ in range(opt.rounds if n else 0):
         if len(pending) == opt.refresh:
             data, pending = stage_table(_tree_tables(data, model, pending, None, 0), "boosting"), []
         group = _grow(data, model, pending)

@@ -1016,7 +1016,9 @@ def q_smote_synthetic(spark, sf):
 
 # ------------------------------------------------------------ models (H1-H19), rows-only checks
 
+from hydrosift.operators import boosting as BO  # noqa: E402
 from hydrosift.operators import models as MD  # noqa: E402
+from hydrosift.session import cut_lineage, stage_table  # noqa: E402
 
 WATER_TYPES = ["ground", "surface"]
 
@@ -1208,6 +1210,121 @@ def q_augmented_regression_leaderboard(spark, sf):
                                        "scores_valid boolean, in_range boolean")
 
 
+# ------------------------------------------------------------ boosting
+
+_ROUNDED = ", ".join(f'round("{c}" + 1e-9, 6) AS "{c}"' for c in MLF)
+_LONG = " UNION ALL ".join(f"SELECT water_type, label, y, '{c}' AS feature, \"{c}\" AS x FROM rounded" for c in MLF)
+
+
+def _gain_sql(name: str, g: str, h: str) -> str:
+    """Gains of the first splits: ``g`` and ``h`` are a row's derivatives, the penalty is 1."""
+    return f"""
+SELECT water_type, {name} AS output, feature, threshold,
+       round((gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / scale + 1e-9, 6) AS gain
+FROM (SELECT water_type, {name}, feature, threshold, count(*) AS n, count(*) FILTER (WHERE l) AS nl, sum(g) AS g, sum(h) AS h,
+             coalesce(sum(g) FILTER (WHERE l), 0) AS gl, coalesce(sum(h) FILTER (WHERE l), 0) AS hl, sum(g * g) + 1 AS scale
+      FROM (SELECT r.water_type, {name}, feature, threshold, {g} AS g, {h} AS h, coalesce(x <= threshold, true) AS l
+            FROM long r JOIN edges USING (water_type, feature) JOIN facts USING (water_type)) a
+      GROUP BY ALL) b WHERE nl > 0 AND nl < n"""
+
+
+@register("boosted_first_splits", V.with_views(
+    _gain_sql("'wqi'", "mean - y", "1.0") + " UNION ALL "
+    + _gain_sql("k", "1.0 / n_labels - CASE WHEN label = k THEN 1 ELSE 0 END", "1.0 / n_labels * (1 - 1.0 / n_labels)").replace(
+        "JOIN facts USING (water_type)", "JOIN facts USING (water_type) JOIN (SELECT DISTINCT water_type, label AS k FROM rounded) USING (water_type)"),
+    "ml", extra={
+        "rounded": f"SELECT water_type, label, round(wqi + 1e-9, 6) AS y, {_ROUNDED} FROM ml WHERE wqi IS NOT NULL",
+        "long": _LONG,
+        "facts": "SELECT water_type, avg(y) AS mean, count(DISTINCT label) AS n_labels FROM rounded GROUP BY water_type",
+        "edges": """SELECT DISTINCT water_type, feature, x AS threshold
+FROM (SELECT *, row_number() OVER (PARTITION BY water_type, feature ORDER BY x) AS r, count(*) OVER (PARTITION BY water_type, feature) AS n
+      FROM long WHERE x IS NOT NULL) t JOIN (SELECT unnest(range(1, 32)) AS i) ON r = ceil(i * n / 32.0)"""}))
+def q_boosted_first_splits(spark, sf):
+    """The second-order gain of every split that the first trees may begin with,
+    as a share of the summed squared gradients (plus 1): index (H4) and classes (H10)."""
+    opt = BO.Boosting(second_order=True, l2=1.0)
+    m = _ml(spark, sf).where(F.col("wqi").isNotNull()).select(
+        "water_type", "label", r6(F.col("wqi") + 1e-9, "y"), *[r6(F.col(c) + 1e-9, c) for c in MLF])
+    rows = []
+    for wt in WATER_TYPES:
+        one = cut_lineage(m.where(F.col("water_type") == wt))
+        one, labels = PR.encode_label(one, "label")
+        n, scale = one.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
+        rows += [(wt, "wqi", f, e, g / (scale + 1)) for _, f, e, g in BO.root_gains(one, MLF, "y", 0, opt)]
+        counts = dict(one.groupBy("label_idx").count().collect())
+        p = 1 / len(labels)
+        rows += [(wt, labels[k], f, e, g / (counts[k] * (1 - p) ** 2 + (n - counts[k]) * p * p + 1))
+                 for k, f, e, g in BO.root_gains(one, MLF, "label_idx", len(labels), opt)]
+    out = spark.createDataFrame(rows, "water_type string, output string, feature string, threshold double, gain double")
+    return out.withColumn("gain", r6(F.col("gain") + 1e-9, "gain"))
+
+
+def _per_type(run) -> list:
+    """``run`` for every water type; their jobs, which are small, run side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(len(WATER_TYPES)) as pool:
+        return list(pool.map(run, WATER_TYPES))
+
+
+def _table_sums(spark, model, rows):
+    """(key, class, total): leaves of the written trees, met by joins node by node."""
+    nodes = stage_table(spark.createDataFrame(model.rows(), BO.MODEL_SCHEMA), "boosted-trees")
+    at = rows.select("key", F.map_from_arrays(F.array(*[F.lit(c) for c in model.features]), F.array(*model.features)).alias("x"),
+                     F.explode(F.sequence(F.lit(1), F.lit(len(model.trees)))).alias("round")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(len(model.base) - 1))).alias("class"), F.lit(1).alias("node"))
+    for _ in range(model.opt.depth):
+        met = at.join(F.broadcast(nodes.select("round", "class", "node", "feature", "threshold")), ["round", "class", "node"])
+        right = F.coalesce(F.col("x")[F.col("feature")] > F.col("threshold"), F.lit(False)).cast("int")
+        at = met.select("key", "x", "round", "class", F.when(F.col("feature").isNull(), F.col("node")).otherwise(2 * F.col("node") + right).alias("node"))
+    return at.join(F.broadcast(nodes.select("round", "class", "node", "value")), ["round", "class", "node"]).groupBy("key", "class").agg(
+        F.sum("value").alias("total"))
+
+
+@register("gbt_softmax_scores", V.with_views(f"""
+SELECT key, water_type, label, 100 AS rounds, true AS leaf_sums_agree, true AS best_score_wins
+FROM (SELECT key, water_type, label, row_number() OVER (PARTITION BY water_type, label ORDER BY {U42}) <= quota AS is_test
+      FROM ml JOIN classes USING (water_type, label)) t WHERE is_test""", "ml", extra={"classes": _AUG_CLASSES}))
+def q_gbt_softmax_scores(spark, sf):
+    """Softmax boosting of 100 rounds of trees of depth 3 (H8): every test row's
+    scores against the sums over the written trees, and its class against them."""
+    frames = {wt: flows.model_frames(spark, sf, wt, stratified=True) for wt in WATER_TYPES}
+
+    def one(wt):
+        train, test, cols, labels = frames[wt]
+        model = BO.fit(train, cols, "label_idx", len(labels), BO.Boosting(rounds=100, depth=3, rate=0.1))
+        scored = BO.predict(model, test).select("key", "label", "scores", "prediction")
+        sums = _table_sums(spark, model, test).groupBy("key").agg(
+            F.sort_array(F.collect_list(F.struct("class", "total"))).alias("sums"))
+        total = F.transform("sums", lambda s: s["total"] + F.get(F.array(*[F.lit(float(b)) for b in model.base]), s["class"]))
+        return scored.join(sums, "key").select(
+            "key", F.lit(wt).alias("water_type"), "label", F.lit(len(model.trees)).alias("rounds"),
+            F.forall(F.arrays_zip(total.alias("t"), F.col("scores").alias("s")), lambda z: F.abs(z["t"] - z["s"]) < 1e-9).alias("leaf_sums_agree"),
+            (F.get("scores", F.col("prediction").cast("int")) == F.array_max("scores")).alias("best_score_wins"))
+    parts = _per_type(one)
+    return parts[0].unionByName(parts[1])
+
+
+@register("feature_shares", V.with_views(f"""
+SELECT key, water_type, 9 AS n_shares, true AS sum_is_score_minus_base
+FROM (SELECT key, water_type, row_number() OVER (PARTITION BY water_type ORDER BY {U42}) <= ceil(0.2 * count(*) OVER (PARTITION BY water_type)) AS is_test
+      FROM ml) t WHERE is_test""", "ml"))
+def q_feature_shares(spark, sf):
+    """Second-order boosting of the index (H4: 30 rounds of depth 6, penalty 1,
+    rate 0.3) and every test row's feature shares (H18) against its score."""
+    frames = {wt: flows.model_frames(spark, sf, wt) for wt in WATER_TYPES}
+
+    def one(wt):
+        train, test, cols, _ = frames[wt]
+        model = BO.fit(train, cols, "target", 0, BO.Boosting(rounds=30, depth=6, rate=0.3, second_order=True, l2=1.0))
+        scored = BO.predict(model, test).select("key", "prediction")
+        parts = BO.feature_shares(model, test, "key").join(scored, "key")
+        gap = F.aggregate("shares", F.col("base"), lambda a, b: a + b) - F.col("prediction")
+        return parts.select("key", F.lit(wt).alias("water_type"), F.size("shares").alias("n_shares"),
+                            (F.abs(gap) < 1e-6 * (1 + F.abs("prediction"))).alias("sum_is_score_minus_base"))
+    parts = _per_type(one)
+    return parts[0].unionByName(parts[1])
+
+
 # ------------------------------------------------------------ operators without a query of their own
 
 @register("minmax_scores", V.with_views("""
