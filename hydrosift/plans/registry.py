@@ -1017,6 +1017,8 @@ def q_smote_synthetic(spark, sf):
 # ------------------------------------------------------------ models (H1-H19), rows-only checks
 
 from hydrosift.operators import boosting as BO  # noqa: E402
+from hydrosift.operators import clusters as CL  # noqa: E402
+from hydrosift.operators import kernel as KF  # noqa: E402
 from hydrosift.operators import models as MD  # noqa: E402
 from hydrosift.session import cut_lineage, stage_table  # noqa: E402
 
@@ -1143,8 +1145,8 @@ FROM (SELECT *, T * n_c / N AS e, floor(T * n_c / N) AS f FROM (
   SELECT *, sum(n_c) OVER (PARTITION BY water_type) AS N, ceil(0.2 * sum(n_c) OVER (PARTITION BY water_type)) AS T
   FROM (SELECT water_type, label, count(*) AS n_c FROM ml GROUP BY water_type, label) a) b) c"""
 
-AUG_CLASSIFIERS = ["Decision Tree", "KNN", "Random Forest"]
-AUG_REGRESSORS = ["Decision Tree", "Random Forest", "SVR-like", "Voting"]
+AUG_CLASSIFIERS = ["Decision Tree", "KNN", "Random Forest", "SVM (RBF)"]
+AUG_REGRESSORS = ["Decision Tree", "Random Forest", "SVR-like", "SVR (RBF)", "Voting"]
 
 
 def _valid(*bounds) -> bool:
@@ -1158,7 +1160,7 @@ SELECT water_type, model, CAST(sum(n_c - quota) AS BIGINT) AS n_train, CAST(4 *
 FROM classes, (SELECT unnest([""" + ", ".join(f"'{m}'" for m in AUG_CLASSIFIERS) + """]) AS model) m
 GROUP BY water_type, model""", "ml", extra={"classes": _AUG_CLASSES}))
 def q_augmented_class_leaderboard(spark, sf):
-    """Grid-searched tree, forest and distance-weighted Manhattan KNN on the
+    """Grid-searched tree, forest, RBF machine and distance-weighted Manhattan KNN on the
     augmented, balanced training rows: sizes of each step, and checks of scores and labels."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     rows = []
@@ -1173,7 +1175,9 @@ def q_augmented_class_leaderboard(spark, sf):
         arr = F.array(*[F.col(c) for c in cols])
         knn = KN.knn_classify(bal.withColumn("f", arr), te.withColumn("f", arr), 5, "key", "f", "label_idx",
                               weights="distance", metric="manhattan")
-        preds = {"Decision Tree": MD.predict(tree, te), "Random Forest": MD.predict(forest, te),
+        (near, names), (near_te, _) = KF.with_cosines(bal, cols), KF.with_cosines(te, cols)
+        rbf = MD.fit(MD.classifiers()["SVM"], cut_lineage(near), names)
+        preds = {"Decision Tree": MD.predict(tree, te), "Random Forest": MD.predict(forest, te), "SVM (RBF)": MD.predict(rbf, near_te),
                  "KNN": knn.join(te.select("key", "label_idx"), "key").withColumnRenamed("predicted", "prediction")}
         for name in AUG_CLASSIFIERS:
             p = preds[name].select("key", "label_idx", "prediction")
@@ -1191,20 +1195,22 @@ SELECT water_type, model, CAST(n - ceil(0.2 * n) AS BIGINT) AS n_train, CAST(4 *
 FROM (SELECT water_type, count(*) AS n FROM ml GROUP BY water_type) t,
      (SELECT unnest([""" + ", ".join(f"'{m}'" for m in AUG_REGRESSORS) + """]) AS model) m""", "ml"))
 def q_augmented_regression_leaderboard(spark, sf):
-    """Tree, forest, Huber line and their vote on the augmented training rows:
+    """Tree, forest, Huber line (plain and on cosine features) and a vote on the augmented training rows:
     sizes, checks of the scores, and tree predictions inside the training targets' range."""
     rows = []
     for wt in WATER_TYPES:
         train, aug, _, te, cols = flows.augmented_frames(spark, sf, wt, False)
         lo, hi = aug.agg(F.min("target"), F.max("target")).first()
-        models = {n: MD.fit(MD.regressors()[n], aug, cols) for n in AUG_REGRESSORS if n != "Voting"}
+        models = {n: MD.fit(MD.regressors()[n], aug, cols) for n in AUG_REGRESSORS if n not in ("Voting", "SVR (RBF)")}
         preds = {n: MD.predict(m, te) for n, m in models.items()}
+        (near, names), (near_te, _) = KF.with_cosines(aug, cols), KF.with_cosines(te, cols)
+        preds["SVR (RBF)"] = MD.predict(MD.fit(MD.regressors()["SVR-like"], cut_lineage(near), names), near_te)
         preds["Voting"] = MD.voting_regress([models["Decision Tree"], models["Random Forest"]], te, "key")
         for name in AUG_REGRESSORS:
             p = preds[name].select("key", "target", "prediction")
             m = EV.regression_metrics(p, "target", "prediction").first()
             ok = _valid((m["r2"], -1e9, 1), (m["rmse"], m["mae"], 1e9), (m["mae"], 0, 1e9))
-            inside = name == "SVR-like" or p.where((F.col("prediction") < lo - 1e-9) | (F.col("prediction") > hi + 1e-9)).count() == 0
+            inside = name.startswith("SVR") or p.where((F.col("prediction") < lo - 1e-9) | (F.col("prediction") > hi + 1e-9)).count() == 0
             rows.append((wt, name, train.count(), aug.count(), p.count(), ok, inside))
     return spark.createDataFrame(rows, "water_type string, model string, n_train long, n_augmented long, n_scored long, "
                                        "scores_valid boolean, in_range boolean")
@@ -1325,6 +1331,47 @@ def q_feature_shares(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+# ------------------------------------------------------------ many starts (H13), cosine features
+
+@register("kmeans_starts", V.with_views("""
+SELECT water_type, 10 AS starts, count(*) AS n_rows, 2 AS n_clusters, true AS all_nearest, true AS centroids_are_means, true AS least_inertia
+FROM ml GROUP BY water_type""", "ml"))
+def q_kmeans_starts(spark, sf):
+    """K-means with ten starts (H13): the sizes add up, every row has its nearest
+    centroid, centroids are the means of their rows, the best start is the least."""
+    frames = {wt: flows.model_frames(spark, sf, wt) for wt in WATER_TYPES}
+
+    def one(wt):
+        train, test, cols, _ = frames[wt]
+        data = train.unionByName(test)
+        found = CL.kmeans_starts(data, cols, "key", 2, starts=10)
+        rows = CL.assign(data, cols, found)
+        sides = F.array(*[sum(((F.col(c) - float(v)) ** 2 for c, v in zip(cols, center, strict=True)), F.lit(0.0)) for center in found.centroids])
+        near = rows.agg(F.count(F.lit(1)), F.countDistinct("cluster"), F.bool_and(
+            F.abs(F.get(sides, F.col("cluster")) - F.array_min(sides)) < 1e-9), F.sum("distance")).first()
+        gaps = [abs(r[c] - found.centroids[r["cluster"]][i]) for r in rows.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in cols]).collect()
+                for i, c in enumerate(cols)]
+        least = abs(near[3] - min(found.inertias)) <= 1e-6 * (1 + near[3])
+        return (wt, len(found.inertias), near[0], near[1], bool(near[2]), bool(max(gaps) < 1e-6), bool(least))
+    return spark.createDataFrame(_per_type(one), "water_type string, starts int, n_rows long, n_clusters int, all_nearest boolean, "
+                                 "centroids_are_means boolean, least_inertia boolean")
+
+
+_U = "({} / " + V.D(16 ** 15) + ")"
+_U_R, _U_A, _U_B = (_U.format(V.hash_long_sql(e, "rbf")) for e in ("j || '|' || feature || '|r'", "j || '|' || feature || '|a'", "j || '|phase'"))
+
+
+@register("kernel_features", V.with_views(f"""
+SELECT key, j, round(0.5 * cos(sum(x * w) + min(b)) + 1e-9, 6) AS z
+FROM (SELECT key, j, coalesce(x, 0) AS x, sqrt(2.0 / 9) * sqrt(-2 * ln(1 - {_U_R})) * cos(2 * pi() * {_U_A}) AS w, 2 * pi() * {_U_B} AS b
+      FROM long, (SELECT CAST(unnest(range(8)) AS INTEGER) AS j) n) t GROUP BY key, j""", "ml", extra={
+    "rounded": f"SELECT key, {_ROUNDED} FROM ml", "long": _LONG.replace("water_type, label, y", "key")}))
+def q_kernel_features(spark, sf):
+    """Eight random cosine features of every row of the ML frame."""
+    m = _ml(spark, sf).select("key", *[F.coalesce(r6(F.col(c) + 1e-9, c), F.lit(0.0)).alias(c) for c in MLF])
+    return m.select("key", F.posexplode(KF.cosine_features(MLF, 8)).alias("j", "z")).withColumn("z", r6(F.col("z") + 1e-9, "z"))
+
+
 # ------------------------------------------------------------ operators without a query of their own
 
 @register("minmax_scores", V.with_views("""
