@@ -92,7 +92,7 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, opt: PhraseIndex) -> DataF
 def postings(docs: DataFrame, terms: DataFrame, opt: PhraseIndex) -> DataFrame:
     """(term, id, row, pos) of the given terms; END marks each document's length
     and alone carries its doc_id."""
-    every = docs.select(*KEY, "doc_id", F.posexplode(words_of(F.col("text"), F.lit(END))).alias("pos", "term"))
+    every = keyed(docs).select(*KEY, "doc_id", F.posexplode(words_of(F.col("text"), F.lit(END))).alias("pos", "term"))
     wanted = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(END).alias("term")))
     return every.join(_small(wanted, opt), "term", "left_semi").select(
         "term", *KEY, "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id"))
@@ -118,7 +118,7 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, index: DataFrame, terms:
     phrases = windows.select("win", "words").dropDuplicates(["win"])
     candidates = stage(intersect(index, terms, opt).join(_small(phrases, opt), "win").groupBy(*KEY).agg(
         F.collect_list(F.struct("start", "win", "words")).alias("cand")), "phrase-candidates")
-    texts = docs.select(*KEY, "text").join(_small(candidates.select(*KEY), opt), KEY, "left_semi")
+    texts = keyed(docs).select(*KEY, "text").join(_small(candidates.select(*KEY), opt), KEY, "left_semi")
     same = lambda w, c: F.forall(
         F.sequence(F.lit(0), F.size(c["words"]) - 1), lambda k: F.coalesce(F.get(w, c["start"] + k) == F.get(c["words"], k), F.lit(False)))
     hits = let(words_of(F.col("text")), lambda w: F.transform(
@@ -152,7 +152,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, within: int = 50) -> D
 
 def judged(docs: DataFrame, benchmark: DataFrame, opt: PhraseIndex = PhraseIndex()) -> DataFrame:
     """id, row, doc_id, n_words, n_hit, item_ids (sorted strings) of every document."""
-    docs = keyed(docs)
+    docs = docs.select("doc_id", "text")
     windows = stage(item_windows(benchmark, opt), "phrase-windows")
     terms = stage(rarest_terms(docs, windows, opt), "phrase-terms")
     index = stage(postings(docs, terms, opt), "phrase-index")
