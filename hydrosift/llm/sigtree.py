@@ -123,8 +123,19 @@ def common_shingles(docs: DataFrame, opt: JaccardJoin) -> np.ndarray:
 
     share = docs.where(F.xxhash64(F.lit(1), "doc_id") % opt.order_share == 0)
     counted = share.select("doc_id", "text").transform(in_batches, run, "token long").groupBy("token").count()
-    top = counted.where(F.col("count") >= opt.order_least).orderBy(F.desc("count"), "token").limit(opt.order_entries)
-    return np.array(top.toArrow().column("token").to_numpy()[::-1])
+    counted = stage(counted.where(F.col("count") >= opt.order_least), "jaccard-order")
+    # entries by count, so that the rows to send are known before any is sent
+    least, entries = None, 0
+    for count, n in sorted(counted.groupBy("count").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().itertuples(index=False), reverse=True):
+        entries += n
+        if entries > opt.order_entries:
+            break
+        least = count
+    if least is None:
+        return np.zeros(0, np.int64)
+    top = counted.where(F.col("count") >= int(least)).toArrow()
+    token, count = top.column("token").to_numpy(), top.column("count").to_numpy()
+    return token[np.lexsort((-token, count))]
 
 
 def prefix_postings(docs: DataFrame, common: np.ndarray, opt: JaccardJoin) -> DataFrame:
@@ -164,8 +175,9 @@ def work_units(postings: DataFrame, sizes: DataFrame, opt: JaccardJoin) -> DataF
         "doc_id", F.when(F.col("own"), F.col("doc_id")).otherwise(F.col("center")).alias("bundle")), "jaccard-bundles")
     alone = bundles.select("doc_id", F.col("bundle").alias("b1"), F.col("bundle").alias("b2"), F.lit(0).alias("side"))
     listed = postings.select("token", "doc_id").join(bundles, "doc_id")
-    many = listed.groupBy("token").agg(F.min("bundle").alias("lo"), F.max("bundle").alias("hi")).where("lo < hi")
-    across = stage(listed.join(many.select("token"), "token"), "jaccard-across")
+    many = stage(listed.groupBy("token").agg(F.min("bundle").alias("lo"), F.max("bundle").alias("hi")).where(
+        "lo < hi").select("token"), "jaccard-many")
+    across = stage(listed.join(many, "token"), "jaccard-across")
     by_token = across.select("token", "bundle").distinct()
     pairs = by_token.join(by_token.select("token", F.col("bundle").alias("other")), "token").where("bundle <> other")
     met = across.join(pairs, ["token", "bundle"]).groupBy("doc_id", "bundle", "other").agg(
@@ -322,8 +334,9 @@ def unit_links(sets: list[np.ndarray], sides: np.ndarray, opt: JaccardJoin) -> I
 def links(docs: DataFrame, members: DataFrame, opt: JaccardJoin) -> DataFrame:
     """(a, b): a spanning set of the links of every unit, from whole sets."""
     k = opt.k
-    texts = docs.select("doc_id", "text").join(F.broadcast(members) if members.limit(
-        opt.broadcast_ids + 1).count() <= opt.broadcast_ids else members, "doc_id")
+    # a row holds any number of units, so the units are counted
+    held = members.agg(F.sum(F.size("units"))).first()[0] or 0
+    texts = docs.select("doc_id", "text").join(F.broadcast(members) if held <= opt.broadcast_ids else members, "doc_id")
 
     def to_sets(batches):
         for part, _, sets in _each(batches, k):
@@ -373,9 +386,11 @@ def jaccard_components(docs: DataFrame, opt: JaccardJoin = JaccardJoin()) -> Dat
     copies = signed.where("n_shingles > 0").join(classes.where("size > 1"), ["n_shingles", "s1", "s2"]).where("doc_id <> class_id")
     distinct = with_ids(docs.where("doc_id is not null"), stage(copies.select("doc_id").distinct(), "jaccard-copies"), opt, keep=False)
     common = common_shingles(distinct, opt)
-    listed = prefix_postings(distinct, common, opt).selectExpr(
-        "token", "doc_id", "min(doc_id) over (partition by token) low", "max(doc_id) over (partition by token) high")
-    postings = stage(listed.where("low < high").select("token", "doc_id", "low"), "jaccard-postings")
+    listed = stage(prefix_postings(distinct, common, opt), "jaccard-prefixes")
+    # written first: rows of a token that many sets list can then be split in the join
+    shared = stage(listed.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(
+        "low < high").select("token", "low"), "jaccard-shared")
+    postings = stage(listed.join(shared, "token"), "jaccard-postings")
     sizes = classes.select(F.col("class_id").alias("doc_id"), "n_shingles")
     members = stage(blocks(work_units(postings, sizes, opt)).groupBy("doc_id").agg(
         F.collect_set(F.struct("unit", "side")).alias("units")), "jaccard-units")
