@@ -4,12 +4,15 @@ Every page is read into blocks: the text between block-level tags, with the
 path of styles (tag and classes) that leads to it.  The pages of one host are
 merged into one tree of styles, as counts:
 
-* a text's content importance falls with the share of the host's different
-  pages that show it: 1 for a text of one page, 0 from a tenth of the pages on.
-  Copies of a page, or of an article among other surroundings, are one page, so
-  neither a host's size nor its copies change the verdict;
-* an inner node's presentation importance is the chance that two different
-  pages show different sequences of child styles;
+* a text's content importance falls with the entropy of its presence, in bits a
+  page: whether one of the host's different pages shows it.  It is 1 for a text
+  of one page, 0 from the entropy of a ninth of the pages on.  Copies of a page,
+  or of an article among other surroundings, are one page, so neither a host's
+  size nor its copies change the verdict;
+* an inner node's presentation importance comes from the entropy H of its
+  sequences of child styles over the different pages: 1 - 2^-H, the share that
+  2^H equally frequent sequences leave to the others, scaled so that n pages
+  with n sequences have 1;
 * a branch's composite importance mixes its own presentation with the content
   importance of what lies below, weighted by text.
 
@@ -39,7 +42,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, let, stage
@@ -107,7 +110,7 @@ class StyleTree:
     min_pages: int = 4
     threshold: float = 0.2
     named_threshold: float = 0.5
-    full_share: float = 0.1
+    full_share: float = 1 / 9
     presentation: float = 0.1
     landmark: float = 4.0
     broadcast_rows: int = 200_000
@@ -305,6 +308,21 @@ def page_keys(texts: DataFrame, opt: StyleTree) -> DataFrame:
         F.max(F.struct(telling.alias("telling"), "content"))["content"].alias("key"))
 
 
+def content_importance(share: Column, opt: StyleTree) -> Column:
+    """1 less the entropy of being shown by this share of the pages, relative to
+    the entropy at ``full_share``; 0 from there on."""
+    bits = lambda p: -(p * F.log2(p) + (1 - p) * F.log2(1 - p))
+    return 1 - bits(F.least(share, F.lit(opt.full_share))) / bits(F.lit(opt.full_share))
+
+
+def presentation_importance(pages: str) -> Column:
+    """Over rows of (child styles, number of pages): from the entropy of the
+    styles, log2 N - sum(n log2 n) / N bits; 1 where one page is all."""
+    total = F.sum(pages)
+    entropy = F.log2(total) - F.sum(F.col(pages) * F.log2(pages)) / total
+    return F.when(total > 1, (1 - F.pow(F.lit(2.0), -entropy)) * total / (total - 1)).otherwise(1.0)
+
+
 def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> tuple[DataFrame, DataFrame]:
     """(host, path, pages, best, importance) of every style node with text below
     it (``best``: of any single node there), and (host, path, content, shown, pages, importance) of the repeated texts.
@@ -316,9 +334,8 @@ def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> tuple[DataFrame
     pages = _bounded(pages, opt)
     shown = texts.join(keys, ["host", "page"]).groupBy("host", "path", "content", "key").agg(F.max("chars").alias("chars")).groupBy(
         "host", "path", "content").agg(F.count(F.lit(1)).alias("shown"), F.max("chars").alias("chars")).join(pages, "host")
-    share = F.col("shown") / F.col("pages")
     contents = stage(shown.withColumn("importance", F.when(F.col("shown") < 2, 1.0).otherwise(
-        1 - F.least(share / opt.full_share, F.lit(1.0)))), "style-contents")
+        content_importance(F.col("shown") / F.col("pages"), opt))), "style-contents")
     leaves = contents.groupBy("host", "path").agg(F.sum(F.col("chars") * F.col("shown")).alias("chars"), F.sum(
         F.col("chars") * F.col("shown") * F.col("importance")).alias("important"))
     steps = F.split("path", "/")
@@ -331,8 +348,7 @@ def style_tree(read: DataFrame, opt: StyleTree = StyleTree()) -> tuple[DataFrame
         "host", "page", F.explode("inner").alias("i")).select("host", "page", "i.path", F.xxhash64("i.styles").alias("styles"))
     counted = styled.join(keys, ["host", "page"]).groupBy("host", "path", "styles", "key").count().groupBy(
         "host", "path", "styles").agg(F.count(F.lit(1)).alias("n"))
-    n, pairs = F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))
-    shape = counted.groupBy("host", "path").agg(F.when(n > 1, 1 - pairs / (n * (n - 1))).otherwise(1.0).alias("own"))
+    shape = counted.groupBy("host", "path").agg(presentation_importance("n").alias("own"))
     own = F.coalesce("own", F.col("below"))
     nodes = below.join(shape, ["host", "path"], "left").join(pages, "host").select(
         "host", "path", "pages", "best", ((1 - opt.presentation) * F.col("below") + opt.presentation * own).alias("importance"))

@@ -282,3 +282,34 @@ def test_texts_that_spell_an_added_token(spark):
     for k, text in enumerate(texts):
         ids = [x for _, part in sorted(got[k].items()) for x in part]
         assert ids == [*encoder.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_importance_is_an_entropy(spark):
+    """Both kinds of importance against sums over single pages."""
+    from math import log2
+
+    opt = site_style_tree.StyleTree()
+    shares = [1 / 1000, 1 / 50, 1 / 12, 1 / 9, 0.4, 0.9, 1.0]
+    rows = spark.createDataFrame([(x,) for x in shares], "share double")
+    got = [r[0] for r in rows.select(site_style_tree.content_importance(rows.share, opt)).collect()]
+    bits = lambda p: -p * log2(p) - (1 - p) * log2(1 - p)
+    assert got == pytest.approx([1 - bits(min(x, opt.full_share)) / bits(opt.full_share) for x in shares])
+    styles = {"one": ["a"] * 7, "two": ["a", "a", "b"], "all": list("abcde"), "page": ["a"]}
+    counted = [(k, s, v.count(s)) for k, v in styles.items() for s in set(v)]
+    frame = spark.createDataFrame(counted, "node string, styles string, n long").groupBy("node").agg(
+        site_style_tree.presentation_importance("n").alias("own"))
+    own = {r.node: r.own for r in frame.collect()}
+    entropy = {k: sum(-log2(v.count(x) / len(v)) / len(v) for x in v) for k, v in styles.items()}
+    for node, v in styles.items():
+        want = (1 - 2 ** -entropy[node]) * len(v) / (len(v) - 1) if len(v) > 1 else 1.0
+        assert own[node] == pytest.approx(want, abs=1e-9)
+    assert own["all"] == pytest.approx(1.0) and own["one"] == pytest.approx(0.0)
+
+
+def test_shingle_order_keeps_whole_counts(spark):
+    """Entries of one count go together, the rarest first, within the bound."""
+    docs = spark.createDataFrame([(i, "a b c d e") for i in range(5)] + [(i, "f g h i j") for i in range(5, 9)]
+                                 + [(i, "k l m n o") for i in range(9, 13)], "doc_id long, text string")
+    order = lambda n: sigtree.common_shingles(docs, sigtree.JaccardJoin(order_share=1, order_entries=n))
+    assert [len(order(n)) for n in (0, 1, 2, 3)] == [0, 1, 1, 3]
+    assert order(3)[-1] == order(1)[0]
