@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,13 +167,48 @@ def augment_noise(df: DataFrame, key: str, cols: Sequence[str], n_copies: int =
     return d.withColumns(out)
 
 
-def pca(df: DataFrame, cols: Sequence[str], k: int = 2, out: str = "pca"):
-    """Projection on the first ``k`` components and explained variance.
-
-    Spark's PCA does not center in ``transform``: pass standardized columns.
-    """
-    from pyspark.ml.feature import PCA, VectorAssembler
-    va = VectorAssembler(inputCols=list(cols), outputCol="__vec", handleInvalid="keep")
-    v = va.transform(df)
-    model = PCA(k=k, inputCol="__vec", outputCol=out).fit(v)
-    return model.transform(v).drop("__vec"), list(model.explainedVariance.toArray())
+@dataclass(frozen=True)
+class Components:
+    """Principal components: columns, their means, loadings by component (the
+    loading of largest size is positive; ties: the first column's) and shares of
+    the variance."""
+
+    cols: list[str]
+    means: list[float]
+    loadings: list[list[float]]
+    explained: list[float]
+
+
+def pca(df: DataFrame, cols: Sequence[str], k: int = 2) -> Components:
+    """First ``k`` principal components (G12) from one centred Gram matrix.
+
+    Means are one aggregation and the matrix another, both map-side combined; the
+    driver sees columns x columns sums.  Rows with a NULL are left out, as are
+    equal rows' order and number of partitions: neither changes the result.
+    No rows or no variance: an error, as there is no first component."""
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    means = list(whole.agg(*[F.avg(c) for c in cols]).first())
+    if None in means:
+        raise ValueError("pca: no row without NULL")
+    centred = whole.select(*[(F.col(c) - m).alias(c) for c, m in zip(cols, means, strict=True)])
+    at = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    sums = centred.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in at]).first()
+    gram = np.zeros((len(cols), len(cols)))
+    for (i, j), v in zip(at, sums, strict=True):
+        gram[i, j] = gram[j, i] = v
+    if not np.trace(gram) > 0:
+        raise ValueError("pca: no variance")
+    values, vectors = np.linalg.eigh(gram)
+    loadings = []
+    for v in vectors[:, ::-1].T[:k]:
+        size = np.abs(v)
+        lead = int(np.flatnonzero(size >= size.max() - 1e-12)[0])
+        loadings.append([float(x) for x in (v if v[lead] > 0 else -v)])
+    return Components(list(cols), means, loadings, [float(x) for x in values[::-1][:k] / np.trace(gram)])
+
+
+def project_components(df: DataFrame, found: Components, prefix: str = "pc") -> DataFrame:
+    """Coordinates ``pc1`` ... of rows, or of centroids, in native columns; NULL
+    where a column is."""
+    score = lambda w: sum(((F.col(c) - m) * x for c, m, x in zip(found.cols, found.means, w, strict=True)), F.lit(0.0))
+    return df.withColumns({f"{prefix}{n}": score(w) for n, w in enumerate(found.loadings, 1)})

@@ -1070,19 +1070,6 @@ def q_kmeans_clusters(spark, sf):
                                        "inertia double")
 
 
-@register("pca_projection")
-def q_pca_projection(spark, sf):
-    out = None
-    for wt in WATER_TYPES:
-        tr, te, cols, _ = flows.model_frames(spark, sf, wt)
-        proj, ev = PR.pca(tr.unionByName(te), cols, 2)
-        from pyspark.ml.functions import vector_to_array
-        p = proj.select(F.lit(wt).alias("water_type"), "key", vector_to_array("pca").alias("pc"),
-                        F.lit(float(ev[0])).alias("explained_1"), F.lit(float(ev[1])).alias("explained_2"))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     rows = []
@@ -1372,6 +1359,68 @@ def q_kernel_features(spark, sf):
     return m.select("key", F.posexplode(KF.cosine_features(MLF, 8)).alias("j", "z")).withColumn("z", r6(F.col("z") + 1e-9, "z"))
 
 
+# Squaring a matrix over and over leaves its first component: with the loading of
+# largest size on the diagonal, that column's root-scaled values are the loadings.
+_SQUARE = ("list_transform(a, lambda r: list_transform(a, lambda c: list_dot_product(r, c)"
+           " / list_sum(list_transform(a, lambda d: list_dot_product(d, d)))))")
+
+
+def _component_sql(n: int) -> dict[str, str]:
+    """Views of component n of the matrices g{n}, and g{n+1}, without it."""
+    return {
+        f"p{n}": f"SELECT water_type, m, list_reduce(list_transform(range(45), lambda k: m), lambda a, x: {_SQUARE}) AS p FROM g{n}",
+        f"d{n}": f"SELECT *, list_transform(range(1, len(p) + 1), lambda i: p[i][i]) AS diagonal FROM p{n}",
+        f"v{n}": f"""SELECT water_type, m, list_transform(p[list_position(diagonal, list_max(diagonal))],
+            lambda x: x / sqrt(list_max(diagonal) * list_sum(diagonal))) AS v FROM d{n}""",
+        f"c{n}": f"SELECT water_type, m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS value FROM v{n}",
+        f"g{n + 1}": f"""SELECT water_type, list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1),
+            lambda j: m[i][j] - value * v[i] * v[j])) AS m FROM c{n}""",
+    }
+
+
+_PCA_VIEWS = {
+    "rounded": f"SELECT key, water_type, coalesce(label, 'Unknown') AS label, {_ROUNDED} FROM ml",
+    "filled": "SELECT key, water_type, label, " + ", ".join(
+        f'coalesce("{c}", median("{c}") OVER (PARTITION BY water_type)) AS "{c}"' for c in MLF) + " FROM rounded",
+    "z": "SELECT key, water_type, label, [" + ", ".join(
+        f'("{c}" - avg("{c}") OVER (PARTITION BY water_type)) / stddev_pop("{c}") OVER (PARTITION BY water_type)' for c in MLF) + "] AS z FROM filled",
+    "entries": f"""SELECT water_type, i, j, avg(z[i] * z[j]) AS g FROM z, (SELECT unnest(range(1, {len(MLF) + 1})) AS i) a,
+        (SELECT unnest(range(1, {len(MLF) + 1})) AS j) b GROUP BY water_type, i, j""",
+    "lines": "SELECT water_type, i, list(g ORDER BY j) AS r FROM entries GROUP BY water_type, i",
+    "g1": "SELECT water_type, list(r ORDER BY i) AS m FROM lines GROUP BY water_type",
+    **_component_sql(1), **_component_sql(2), **_component_sql(3),
+    "placed": "SELECT 'row' AS kind, key AS id, water_type, z FROM z UNION ALL SELECT 'centroid', label, water_type, ["
+              + ", ".join(f"avg(z[{i}])" for i in range(1, len(MLF) + 1)) + "] FROM z GROUP BY label, water_type",
+}
+
+
+@register("pca_projection", V.with_views(f"""
+SELECT kind, id, t.water_type, {', '.join(f"round(list_dot_product(z, c{n}.v) + 1e-9, 6) AS pc{n}" for n in (1, 2, 3))},
+       {', '.join(f"round(c{n}.value / {len(MLF)} + 1e-9, 6) AS explained_{n}" for n in (1, 2, 3))}
+FROM placed t JOIN c1 ON c1.water_type = t.water_type JOIN c2 ON c2.water_type = t.water_type JOIN c3 ON c3.water_type = t.water_type
+""", "ml", extra=_PCA_VIEWS))
+def q_pca_projection(spark, sf):
+    """Three components of the z-scored ML frame (G12): coordinates of every row
+    and of every class centroid, and shares of the variance.  The SQL side finds
+    the components by squaring the Gram matrix and taking each out in turn."""
+    m = _ml(spark, sf).select("key", "water_type", F.coalesce("label", F.lit("Unknown")).alias("label"), *[r6(F.col(c) + 1e-9, c) for c in MLF])
+    m = cut_lineage(m)
+
+    def one(wt):
+        part = m.where(F.col("water_type") == wt)
+        filled = PR.median_impute(part, part, MLF)
+        z = cut_lineage(PR.standardize(filled, filled, MLF))
+        found = PR.pca(z, MLF, 3)
+        centroids = z.groupBy("water_type", F.col("label").alias("id")).agg(*[F.avg(c).alias(c) for c in MLF])
+        places = z.select(F.lit("row").alias("kind"), F.col("key").alias("id"), "water_type", *MLF).unionByName(
+            centroids.withColumn("kind", F.lit("centroid")))
+        scored = PR.project_components(places, found)
+        return scored.select("kind", "id", "water_type", *[r6(F.col(f"pc{n}") + 1e-9, f"pc{n}") for n in (1, 2, 3)],
+                             *[r6(F.lit(x + 1e-9), f"explained_{n}") for n, x in enumerate(found.explained, 1)])
+    parts = _per_type(one)
+    return parts[0].unionByName(parts[1])
+
+
 # ------------------------------------------------------------ operators without a query of their own
 
 @register("minmax_scores", V.with_views("""

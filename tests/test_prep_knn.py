@@ -150,3 +150,23 @@ def test_smote_of_a_one_row_class_is_empty(spark):
     df = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "a"), (3, [3.0], "b")], "key long, features array<double>, label string")
     got = K.smote(df)
     assert got.columns == ["label", "features", "base_key", "nbr_key", "syn_id"] and got.count() == 0
+
+
+def test_pca_equals_singular_vectors(spark):
+    """Loadings, shares and coordinates against the singular values of the centred rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + [5, -2, 0, 1000]
+    cols = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(200, None, 0.0, 0.0, 0.0)],
+                               "key long, a double, b double, c double, d double").repartition(5)
+    found = PR.pca(df, cols, 3)
+    _, sizes, vectors = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    for n in range(3):
+        lead = np.abs(vectors[n]).argmax()
+        assert np.allclose(found.loadings[n], vectors[n] * np.sign(vectors[n][lead]))
+    assert np.allclose(found.explained, (sizes ** 2 / (sizes ** 2).sum())[:3])
+    rows = {r.key: r for r in PR.project_components(df, found).collect()}
+    assert rows[200].pc1 is None
+    assert np.allclose([rows[i].pc2 for i in range(200)], (x - x.mean(axis=0)) @ found.loadings[1])
+    with pytest.raises(ValueError):
+        PR.pca(df.limit(0), cols)
