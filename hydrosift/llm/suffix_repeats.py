@@ -10,13 +10,18 @@ a document with a smaller doc_id.
    equal seeds, and neighbouring windows mostly share one).  Only windows whose
    seed occurs in two classes can repeat; the others are left out.
 3. A remaining window is a suffix, read as symbols of 10, 15 and 25 words.
-   Suffixes are dealt to groups by a prefix whose length grows with the number
-   of occurrences of their seed: one symbol, two, or all three.
-4. A group's suffixes, sorted by their symbols, form a subtree: suffixes that
-   agree on all symbols lie below one internal node of depth 50.  Every
-   suffix below a node but those of its smallest doc_id marks a window to remove.
-   The most frequent suffixes (all symbols in the prefix) are not gathered;
-   their smallest doc_id is aggregated and joined back.
+   Suffixes are dealt to groups by a prefix: one symbol, or two, or three where
+   the measured size of the group of a shorter prefix is beyond ``group_rows``.
+4. A group's suffixes, sorted by their symbols, and the symbols that each shares
+   with the one before it are its subtree: suffixes that share all symbols lie
+   below one internal node of depth 50.  Every suffix below a node but those of
+   its smallest doc_id marks a window to remove.  Suffixes whose whole prefix
+   is still too frequent are not gathered; their smallest doc_id is aggregated
+   and joined back.
+5. ``maximal_repeats`` goes on below depth 50: nodes at 50, 100, 200 ... words
+   are aggregated by hash, those whose suffixes follow different words are kept,
+   and their suffixes, sorted word by word up to the next of these depths, give
+   the internal nodes between: the maximal repeats, with exact lengths.
 
 Windows are compared by three 64-bit hashes (10, 15 and 25 words).
 
@@ -32,6 +37,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +46,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, stage
-from .words import Words, slices
+from .words import Words, mix, slices
 
 
 @dataclass(frozen=True)
 class RepeatOptions:
     """Words of a window and of a seed gram, words of each symbol of a suffix,
-    occurrences of a seed up to which its suffixes are grouped by one symbol
-    and by two, and ids that may be broadcast."""
+    suffixes up to which a prefix is one group, and rows that may be broadcast."""
 
     window: int = 50
     seed: int = 26
     symbols: tuple[int, int, int] = (10, 15, 25)
-    short_prefix: int = 5_000
-    long_prefix: int = 50_000
+    group_rows: int = 50_000
     broadcast_ids: int = 2_000_000
 
 
@@ -116,8 +121,8 @@ def seed_postings(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
-    """(p1, p2, p3, level, doc_id, row, pos) of the windows with a repeated seed;
-    ``docs`` carries ``seeds``: (pos, level) of the document's repeated seeds."""
+    """(p1, p2, p3, doc_id, row, pos) of the windows with a repeated seed;
+    ``docs`` carries ``seeds``: the positions of the document's repeated seeds."""
     ends = np.cumsum([0, *opt.symbols])
 
     def run(batches):
@@ -129,29 +134,43 @@ def suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
                 ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in KEY)
                 lists = part.column("seeds")
                 at = np.asarray(lists.offsets)
-                seed_pos = np.asarray(lists.values.field("pos"))
-                seed_level = np.asarray(lists.values.field("level"))
-                out = [[np.zeros(0, np.uint64)] for _ in symbols] + [[np.zeros(0, np.int64)] for _ in range(4)]
+                seed_pos = np.asarray(lists.values)
+                out = [[np.zeros(0, np.uint64)] for _ in symbols] + [[np.zeros(0, np.int64)] for _ in range(3)]
                 for t in range(part.num_rows):
                     of = _seeds(words, t, grams, opt)
-                    level = np.zeros(int(words.first[t + 1] - words.first[t]) + 1, np.int64)
-                    mine = slice(at[t], at[t + 1])
-                    inside = seed_pos[mine] < len(level)
-                    level[seed_pos[mine][inside]] = seed_level[mine][inside]
-                    s = np.flatnonzero(level[of]) if len(of) else of
+                    repeated = np.zeros(int(words.first[t + 1] - words.first[t]) + 1, bool)
+                    mine = seed_pos[at[t]:at[t + 1]]
+                    repeated[mine[mine < len(repeated)]] = True
+                    s = np.flatnonzero(repeated[of]) if len(of) else of
                     for k, sym in enumerate(symbols):
                         out[k].append(sym[words.first[t] + s + ends[k]])
-                    out[3].append(level[of][s] if len(of) else of)
-                    out[4].append(np.full(len(s), ids[t], np.int64))
-                    out[5].append(np.full(len(s), rows[t], np.int64))
-                    out[6].append(s)
-                a, b, c, lv, d, r, s = (np.concatenate(x) for x in out)
+                    out[3].append(np.full(len(s), ids[t], np.int64))
+                    out[4].append(np.full(len(s), rows[t], np.int64))
+                    out[5].append(s)
+                a, b, c, d, r, s = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in (a, b, c)), pa.array(lv.astype(np.int32)), pa.array(d),
-                     pa.array(r), pa.array(s.astype(np.int32))], names=["p1", "p2", "p3", "level", *KEY, "pos"])
+                    [*(pa.array(x.view(np.int64)) for x in (a, b, c)), pa.array(d), pa.array(r),
+                     pa.array(s.astype(np.int32))], names=["p1", "p2", "p3", *KEY, "pos"])
 
     return docs.select(*KEY, "text", "seeds").transform(in_batches,
-        run, "p1 long, p2 long, p3 long, level int, doc_id long, row long, pos int")
+        run, "p1 long, p2 long, p3 long, doc_id long, row long, pos int")
+
+
+def prefix_groups(found: DataFrame, opt: RepeatOptions) -> tuple[DataFrame, DataFrame | None]:
+    """The suffixes with ``level``, the symbols of their group's prefix, and those
+    whose whole prefix is beyond ``group_rows`` (None if there are none)."""
+    parts = []
+    for level in (1, 2, 3):
+        prefix = ["p1", "p2", "p3"][:level]
+        large = stage(found.groupBy(*prefix).count().where(F.col("count") > opt.group_rows).select(*prefix), "repeat-large")
+        n = large.limit(opt.broadcast_ids + 1).count()
+        if not n:
+            parts.append(found.withColumn("level", F.lit(level)))
+            return reduce(DataFrame.unionByName, parts), None
+        large = F.broadcast(large) if n <= opt.broadcast_ids else large
+        parts.append(found.join(large, prefix, "left_anti").withColumn("level", F.lit(level)))
+        found = found.join(large, prefix, "left_semi")
+    return reduce(DataFrame.unionByName, parts), found
 
 
 def deep_nodes(symbols: np.ndarray) -> np.ndarray:
@@ -192,31 +211,168 @@ def subtree_repeats(dealt: DataFrame) -> DataFrame:
     return dealt.select("p1", "p2", "p3", *KEY, "pos").transform(in_batches, run, "doc_id long, row long, pos int")
 
 
-def repeated_windows(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
-    """(doc_id, row, pos): starts of the windows that also start in a smaller doc_id."""
+def repeated_suffixes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
+    """The suffixes of the windows whose seed occurs in two documents, written."""
     postings = stage(seed_postings(docs, opt), "repeat-seeds")
     # written first: a join with the aggregate itself could not split a frequent gram's rows
-    grams = stage(postings.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-                                               F.count(F.lit(1)).alias("n")).where("lo < hi"), "repeat-grams")
-    level = F.when(F.col("n") <= opt.short_prefix, 1).when(F.col("n") <= opt.long_prefix, 2).otherwise(3)
-    seeds = stage(postings.join(grams.select("gram", level.alias("level")), "gram").groupBy(*KEY).agg(
-        F.collect_list(F.struct("pos", "level")).alias("seeds"), F.max("level").alias("top")), "repeat-seeded")
+    grams = stage(postings.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(
+        "lo < hi").select("gram"), "repeat-grams")
+    seeds = stage(postings.join(grams, "gram").groupBy(*KEY).agg(F.collect_list("pos").alias("seeds")), "repeat-seeded")
     ids = seeds.select(*KEY)
     if ids.limit(opt.broadcast_ids + 1).count() <= opt.broadcast_ids:
         docs = docs.join(F.broadcast(ids), KEY, "left_semi")
-    found = suffixes(docs.join(seeds, KEY), opt)
-    key = F.xxhash64("p1", F.when(F.col("level") > 1, F.col("p2")))
-    order = ["p1", "p2", "p3", "doc_id"]
-    if not seeds.where("top = 3").limit(1).count():
-        return subtree_repeats(found.repartition(key).sortWithinPartitions(*order))
-    found = stage(found, "repeat-suffixes")
-    some = subtree_repeats(found.where("level < 3").repartition(key).sortWithinPartitions(*order))
-    many = found.where("level = 3")
-    low = many.groupBy("p1", "p2", "p3").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return stage(suffixes(docs.join(seeds, KEY), opt), "repeat-suffixes")
+
+
+def repeated_windows(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
+    """(doc_id, row, pos): starts of the windows that also start in a smaller doc_id."""
+    grouped, many = prefix_groups(repeated_suffixes(docs, opt), opt)
+    key = F.xxhash64("p1", F.when(F.col("level") > 1, F.col("p2")), F.when(F.col("level") > 2, F.col("p3")))
+    some = subtree_repeats(grouped.repartition(key).sortWithinPartitions("p1", "p2", "p3", "doc_id"))
+    if many is None:
+        return some
+    low = stage(many.groupBy("p1", "p2", "p3").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(
+        "low < high"), "repeat-frequent")
     rest = many.join(low, ["p1", "p2", "p3"]).where("doc_id > low")
     return some.union(rest.select(*KEY, "pos"))
 
 
+def depth_nodes(docs: DataFrame, opt: RepeatOptions) -> DataFrame:
+    """(node, depth, doc_id, row, pos, left) of each suffix at depths of 1, 2, 4 ...
+    windows inside its text: a hash of its first ``depth`` words and of the word
+    before it (at the start of a text, of the row itself)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                ids, rows = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY)
+                starts = part.column("starts")
+                n = np.diff(np.asarray(starts.offsets))
+                of = np.repeat(np.arange(part.num_rows), n)
+                pos = np.asarray(starts.flatten()).astype(np.int64)
+                left = mix(ids.view(np.uint64) ^ rows.view(np.uint64))[of]
+                if len(words.hashes):
+                    left = np.where(pos > 0, words.hashes[np.maximum(words.first[of] + pos - 1, 0)], left)
+                depth = opt.window
+                while len(of):
+                    fits = pos + depth <= words.counts()[of]
+                    of, pos, left = of[fits], pos[fits], left[fits]
+                    if len(of):
+                        node = words.windows(depth)[words.first[of] + pos]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(node.view(np.int64)), pa.array(np.full(len(of), depth, np.int64)), pa.array(ids[of]),
+                             pa.array(rows[of]), pa.array(pos.astype(np.int32)), pa.array(left.view(np.int64))],
+                            names=["node", "depth", *KEY, "pos", "left"])
+                    depth *= 2
+
+    return docs.select(*KEY, "text", "starts").transform(in_batches,
+        run, "node long, depth long, doc_id long, row long, pos int, left long")
+
+
+def word_tails(docs: DataFrame) -> DataFrame:
+    """(node, depth, doc_id, pos, left, tail): of each of a text's ``leaves`` the
+    hashes of its words from ``depth`` to twice ``depth``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                for t, leaves in enumerate(part.column("leaves").to_pylist()):
+                    own = words.hashes[words.first[t]:words.first[t + 1]].view(np.int64)
+                    for lo in range(0, len(leaves), 1_000):
+                        some = leaves[lo:lo + 1_000]
+                        yield pa.RecordBatch.from_pylist([
+                            {"node": f["node"], "depth": f["depth"], "doc_id": int(ids[t]), "pos": f["pos"], "left": f["left"],
+                             "tail": own[f["pos"] + f["depth"]:f["pos"] + 2 * f["depth"]].tolist()} for f in some], schema=TAILS)
+
+    return docs.select(*KEY, "text", "leaves").transform(in_batches,
+        run, "node long, depth long, doc_id long, pos int, left long, tail array<long>")
+
+
+TAILS = pa.schema([("node", pa.int64()), ("depth", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()),
+                   ("left", pa.int64()), ("tail", pa.list_(pa.int64()))])
+
+
+def _shared_words(a: list[int], b: list[int]) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.asarray(a[:n]) != np.asarray(b[:n]))
+    return int(differ[0]) if len(differ) else n
+
+
+def internal_nodes(leaves) -> Iterator[tuple]:
+    """Internal nodes of the tree of one node's sorted leaves (doc_id, pos, left,
+    tail): (words below the node, leaves, smallest (doc_id, pos), largest doc_id,
+    whether the words before the leaves differ).  Only the open path is held."""
+    path, last = [], None  # [words shared, leaves, first, last doc, left, differ]
+
+    def join(into, other):
+        into[1] += other[1]
+        into[5] = into[5] or other[5] or into[4] != other[4]
+        into[2], into[3] = min(into[2], other[2]), max(into[3], other[3])
+
+    for doc, pos, left, tail in leaves:
+        leaf = [len(tail), 1, (doc, pos), doc, left, False]
+        if last is not None:
+            shared = _shared_words(last, tail)
+            closed = held
+            while path and path[-1][0] > shared:
+                join(path[-1], closed)
+                closed = path.pop()
+                yield tuple(closed)
+            if path and path[-1][0] == shared:
+                join(path[-1], closed)
+            else:
+                path.append([shared, *closed[1:]])
+        held, last = leaf, tail
+    while path:
+        join(path[-1], held)
+        held = path.pop()
+        yield tuple(held)
+
+
+def maximal_repeats(docs: DataFrame, opt: RepeatOptions = RepeatOptions()) -> DataFrame:
+    """length, occurrences, doc_id, pos, last_doc_id of every word sequence of at
+    least ``window`` words that occurs in two documents and that no one word
+    before or after extends at all its occurrences; doc_id and pos are its first
+    occurrence.  Rows of equal words count once, as the smallest doc_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id is not null")
+    sha = stage(word_texts(docs), "repeat-words").where(F.col("n_words") >= opt.window)
+    first = sha.groupBy("sha", "n_words").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
+    docs = docs.dropDuplicates(KEY).join(stage(first, "repeat-first"), KEY, "left_semi")
+    starts = repeated_suffixes(docs, opt).groupBy(*KEY).agg(F.collect_list("pos").alias("starts"))
+    at = stage(depth_nodes(docs.join(stage(starts, "repeat-starts"), KEY), opt), "repeat-depths")
+    kept = stage(at.groupBy("node", "depth").agg(
+        F.min("left").alias("l0"), F.max("left").alias("l1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where(
+        "l0 <> l1 and d0 < d1").select("node", "depth"), "repeat-nodes")
+    leaves = at.join(kept, ["node", "depth"]).groupBy(*KEY).agg(F.collect_list(F.struct("node", "depth", "pos", "left")).alias("leaves"))
+    tails = word_tails(docs.join(stage(leaves, "repeat-leaves"), KEY))
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in TAILS.names), strict=True))
+        for (_, depth), group in groupby(rows, key=lambda r: r[:2]):
+            out = []
+            for shared, n, (doc, pos), last, _, differ in internal_nodes(r[2:] for r in group):
+                # at twice the depth the node is found again, as one of the next depth
+                if differ and doc < last and shared < depth:
+                    out.append((depth + shared, n, doc, pos, last))
+                if len(out) == 10_000:
+                    yield _repeat_rows(out)
+                    out = []
+            yield _repeat_rows(out)
+
+    order = ["node", "depth", "tail", "doc_id", "pos"]
+    return tails.repartition("node", "depth").sortWithinPartitions(*order).transform(in_batches,
+        run, "length long, occurrences long, doc_id long, pos long, last_doc_id long")
+
+
+def _repeat_rows(out: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*out, strict=True) if out else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
+                                      names=["length", "occurrences", "doc_id", "pos", "last_doc_id"])
+
+
 def remove_repeats(docs: DataFrame, opt: RepeatOptions = RepeatOptions()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row;
     kept_text is NULL where the text keeps all its words."""

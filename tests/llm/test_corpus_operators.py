@@ -99,13 +99,41 @@ def test_proximity(spark, small):
 def test_repeated_passages(small):
     expect = brute.repeats(small.rows)
     assert any(0 < r < n for n, r, _ in expect.values())
-    for opt in (suffix_repeats.RepeatOptions(), suffix_repeats.RepeatOptions(short_prefix=2, long_prefix=3, broadcast_ids=1)):
+    for opt in (suffix_repeats.RepeatOptions(), suffix_repeats.RepeatOptions(group_rows=2, broadcast_ids=1)):
         got = suffix_repeats.remove_repeats(small.docs, opt).collect()
         assert len(got) == len(small.rows)
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expect
     assert suffix_repeats.remove_repeats(small.empty).count() == 0
 
 
+def test_maximal_repeats(spark):
+    opt = suffix_repeats.RepeatOptions(window=6, seed=3, symbols=(1, 2, 3))
+    rnd = random.Random(6)
+    base = [str(rnd.randrange(40)) for _ in range(90)]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (9, None), (10, ""), (None, " ".join(base))]
+    for d in range(3, 9):
+        at = rnd.randrange(30)
+        own = base[at:at + rnd.randrange(20, 60)]
+        own[rnd.randrange(len(own))] = "x"
+        rows.append((d, " ".join(own + [str(d)] * (d % 2) + base[:rnd.randrange(12)])))
+    texts = {d: t.split() for d, t in rows if d not in (None, 2) and t}
+    found = {}
+    for d, w in texts.items():
+        for i in range(len(w)):
+            for j in range(i + opt.window, len(w) + 1):
+                found.setdefault(tuple(w[i:j]), []).append((d, i))
+    expect = []
+    for seq, places in found.items():
+        before = {texts[d][i - 1] if i else (d, i) for d, i in places}
+        after = {texts[d][i + len(seq)] if i + len(seq) < len(texts[d]) else (d, i) for d, i in places}
+        if len(before) > 1 and len(after) > 1 and len({d for d, _ in places}) > 1:
+            expect.append((len(seq), len(places), *min(places), max(places)[0]))
+    assert len(expect) > 5 and max(expect)[0] > 2 * opt.window
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_repeats.maximal_repeats(docs, opt).collect())) == sorted(expect)
+    assert suffix_repeats.maximal_repeats(docs.limit(0), opt).count() == 0
+
+
 def pages_of():
     page = "<html><head><title>t &amp</title><style>p{}</style></head><body>{nav}{body}<footer>&copy; f</footer></body></html>"
     nav = "<nav><ul><li><a href='/a'>Home</a></li></ul></nav><div class=\"ad\">Buy!</div>"
