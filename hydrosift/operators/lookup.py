@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrosift.functions.text import site_tokens
-from hydrosift.operators.common import bounded_rows
+from hydrosift.operators.common import bounded_rows, per_group
+from hydrosift.session import cut_lineage
 from hydrosift.sources import lookups as L
 
 MAX_LOOKUP_ROWS = 10_000
@@ -81,17 +82,53 @@ def _match_by_tokens(df: DataFrame, site: str, water_type: str, coords: DataFram
     return out.select(*df.columns, F.col("__b.key").alias("matched_key"), F.col("__b.lat").alias("lat"), F.col("__b.lon").alias("lon"))
 
 
-def nearest_site_class(df: DataFrame, site: str = "nearest_site", classes=None,
-                       default: str = "Unknown", out: str = "wqi_class") -> DataFrame:
+def nearest_site_class(df: DataFrame, site: str = "nearest_site", classes=None, default: str = "Unknown",
+                       out: str = "wqi_class", max_literal: int = MAX_LOOKUP_ROWS) -> DataFrame:
     """Class of the first key (lookup order) contained, case-insensitively, in
-    the site text (J2); ``default`` when none is."""
+    the site text (J2); ``default`` when none is.  A table of more than
+    ``max_literal`` keys is joined instead of embedded, with the same result."""
+    if isinstance(classes, DataFrame) and not bounded_rows(classes, max_literal):
+        return _class_by_grams(df, site, classes, default, out)
     rows = _rows(classes, ["key", "wqi_class"]) if classes is not None else L.SITE_WQI_CLASS
-    cands = F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(c).alias("c")) for k, c in rows])
+    cands = F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(c).alias("c")) for k, c in rows if k is not None])
     text = F.lower(F.trim(F.col(site).cast("string")))
     hits = F.filter(cands, lambda c: F.contains(text, c["k"]))
     return df.withColumn(out, F.coalesce(F.try_element_at(hits, F.lit(1))["c"], F.lit(default)))
 
 
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct character n-grams of a text; none of a shorter one."""
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+                                                          lambda i: text.substr(i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _class_by_grams(df: DataFrame, site: str, classes: DataFrame, default: str, out: str, size: int = 3) -> DataFrame:
+    """``nearest_site_class`` for a table of any size.  Different site texts list
+    their grams of 1 to ``size`` characters; a key meets the texts that list its
+    rarest gram (a key of fewer characters is its own gram), containment is
+    checked, and each text's first key is joined back.  An empty key is
+    contained in every text, a NULL key or text matches nothing."""
+    rows = df.withColumn("__t", F.lower(F.trim(F.col(site).cast("string"))))
+    texts = rows.select("__t").where(F.col("__t").isNotNull()).distinct()
+    listed = cut_lineage(texts.select("__t", F.explode(F.concat(*[_grams(F.col("__t"), F.lit(n)) for n in range(1, size + 1)])).alias("__g")))
+    keys = classes.select("pos", F.lower("key").alias("__k"), F.col("wqi_class").alias("__c"))
+    spread = cut_lineage(listed.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")))
+    own = keys.select("*", F.explode(_grams(F.col("__k"), F.least(F.length("__k"), F.lit(size)))).alias("__g")).where("__k <> ''")
+    rarest = own.join(spread, "__g", "left").groupBy("pos", "__k", "__c").agg(
+        F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g").alias("g"))).alias("__r"))
+    rarest = cut_lineage(rarest.where("__r.n > 0").select("pos", "__k", "__c", F.col("__r.g").alias("__g")))
+    met = listed.join(rarest, "__g").where(F.contains("__t", "__k"))
+    best = per_group(met.groupBy("__t").agg(F.min(F.struct("pos", F.col("__c").alias("c"))).alias("__b")))
+    empty = keys.where("__k = ''").agg(F.min(F.struct("pos", F.col("__c").alias("c"))).alias("b")).first()["b"]
+    joined = rows.join(best, "__t", "left")
+    found = F.col("__b.c")
+    if empty is not None:
+        found = F.when(F.col("__t").isNotNull() & (F.col("__b").isNull() | (F.col("__b.pos") > empty["pos"])),
+                       F.lit(empty["c"])).otherwise(found)
+    return joined.withColumn(out, F.coalesce(found, F.lit(default))).drop("__t", "__b")
+
+
 def compare_models(gw: DataFrame, sw: DataFrame, constants: DataFrame | None = None,
                    model: str = "model") -> DataFrame:
     """Inner match of ground- and surface-water metric rows by model, plus the

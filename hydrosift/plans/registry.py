@@ -1523,8 +1523,8 @@ FROM events"""
 EVS_SQL = f"SELECT *, {V.gw_wqi_sql(['ph', 'turbidity', 'chloride', 'nitrate', 'iron'])} AS wqi FROM evr"
 
 
-def _run_stream(spark, sf, only):
-    qs, base = ST.run_alert_stream(spark, f"{sf.rstrip('/')}/event[s].parquet", only=only)
+def _run_stream(spark, sf, only, **options):
+    qs, base = ST.run_alert_stream(spark, f"{sf.rstrip('/')}/event[s].parquet", only=only, **options)
     for q in qs:
         q.awaitTermination()
     return base
@@ -1547,3 +1547,36 @@ FROM evs GROUP BY 1, 2""")
 def q_stream_daily_means(spark, sf):
     d = ST.read_daily(spark, _run_stream(spark, sf, "daily"))
     return d.select("day", "site", r6("wqi_mean"), "n", "n_alerts")
+
+
+@register("stream_alert_episodes", f"""
+WITH evr AS ({EVR_SQL}), evs AS ({EVS_SQL}), a AS (SELECT site, ts, wqi FROM evs WHERE wqi > 200),
+g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY site ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM a),
+e AS (SELECT *, sum(opens) OVER (PARTITION BY site ORDER BY ts ROWS UNBOUNDED PRECEDING) AS episode FROM g)
+SELECT site, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts,
+       CAST(count(*) AS BIGINT) AS n_alerts, round(max(wqi), 6) AS worst, 'Groundwater Quality Alert' AS subject
+FROM e GROUP BY site, episode
+HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM a) - INTERVAL 1 DAY""")
+def q_stream_alert_episodes(spark, sf):
+    e = ST.read_episodes(spark, _run_stream(spark, sf, "episodes", gap="12 hours"))
+    day = "yyyy-MM-dd HH:mm:ss"
+    return e.select("site", F.date_format("first_ts", day).alias("first_ts"), F.date_format("last_ts", day).alias("last_ts"),
+                    "n_alerts", r6("worst"), "subject")
+
+
+# ------------------------------------------------- J2 with a table of any size
+
+@register("site_class_many_keys", f"""
+WITH r AS ({V.READINGS}), sites AS (SELECT site, count(*) AS n FROM r GROUP BY site),
+keys AS (SELECT s_suppkey AS pos, lower('Site ' || s_suppkey) AS k, 'class ' || (s_suppkey % 5) AS c FROM supplier),
+hits AS (SELECT site, min(pos) AS pos FROM sites JOIN keys ON contains(lower(trim(site)), k) GROUP BY site)
+SELECT sites.site, coalesce(c, 'Unknown') AS wqi_class, CAST(n AS BIGINT) AS n
+FROM sites LEFT JOIN hits USING (site) LEFT JOIN keys USING (pos)""")
+def q_site_class_many_keys(spark, sf):
+    from hydrosift.sources.tables import table
+    key = F.col("s_suppkey").cast("string")
+    keys = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("pos"), F.concat(F.lit("Site "), key).alias("key"),
+        F.concat(F.lit("class "), (F.col("s_suppkey") % 5).cast("string")).alias("wqi_class"))
+    sites = VW.readings(spark, sf).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    return LK.nearest_site_class(sites, "site", keys, max_literal=0).select("site", "wqi_class", "n")
