@@ -375,6 +375,7 @@ def q_param_pairs(spark, sf):
 # ------------------------------------------------------------ survey
 
 from hydrosift.operators import lookup as LK  # noqa: E402
+from hydrosift.operators import rank as RK  # noqa: E402
 from hydrosift.operators import survey as SV  # noqa: E402
 from hydrosift.functions.text import short_site  # noqa: E402
 
@@ -1580,3 +1581,12 @@ def q_site_class_many_keys(spark, sf):
         F.concat(F.lit("class "), (F.col("s_suppkey") % 5).cast("string")).alias("wqi_class"))
     sites = VW.readings(spark, sf).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     return LK.nearest_site_class(sites, "site", keys, max_literal=0).select("site", "wqi_class", "n")
+
+
+@register("site_mean_classes", V.with_views(f"""
+SELECT site, round(m, 6) AS wqi_mean, {V.GW_CLASS.format(x='m')} AS wqi_class
+FROM (SELECT site, avg(wqi) AS m FROM scored WHERE water_type = 'ground' GROUP BY site) t""", "scored"))
+def q_site_mean_classes(spark, sf):
+    r = flows.scored_readings(spark, sf).where("water_type = 'ground'")
+    profile = S.site_profile(r, label=None, class_of=W.wqi_class_gw)
+    return RK.sort_by(profile, F.col("wqi_mean").desc(), "site").select("site", r6("wqi_mean"), "wqi_class")
