@@ -189,14 +189,14 @@ def class_counts(df: DataFrame, label: str = "wqi_class", group_cols: Sequence[s
 # ---------------------------------------------------------------- D6 - D9
 
 def minmax_norm(df: DataFrame, value: str, group_cols: Sequence[str] = (), out: str = "norm") -> DataFrame:
-    """Value on [0, 1] between its group's smallest and largest (C13); a
+    """(value - smallest) / (largest - smallest + 1e-9) of its group (C13); a
     constant group gets 0.  The bounds are one row per group."""
     g = _g(group_cols)
     gg = g or ["__all"]
     d = df if g else df.withColumn("__all", single_key(value))
     lim = per_group(d.groupBy(*gg).agg(F.min(value).alias("__mn"), F.max(value).alias("__mx")))
-    x = F.when(F.col("__mx") == F.col("__mn"), 0.0).otherwise((F.col(value) - F.col("__mn")) / (F.col("__mx") - F.col("__mn")))
-    out_df = d.join(lim, gg).withColumn(out, F.when(F.col(value).isNotNull(), x))
+    x = (F.col(value) - F.col("__mn")) / (F.col("__mx") - F.col("__mn") + 1e-9)
+    out_df = d.join(lim, gg).withColumn(out, x)
     return out_df.drop("__mn", "__mx", *([] if g else ["__all"]))
 
 
