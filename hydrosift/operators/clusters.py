@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrosift.operators.common import hash_long
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 
 @dataclass(frozen=True)
 class Clusters:
@@ -47,39 +53,63 @@ def first_centroids(df: DataFrame, cols: Sequence[str], key: str, k: int, starts
     """Per start the points of k rows chosen by a keyed hash (starts x k x columns);
     a table of fewer rows repeats them."""
     point = F.array(*[F.col(c).cast("double") for c in cols])
-    chosen = []
-    for s in range(starts):
+
+    def one(s: int) -> list:
         rows = df.select(hash_long(key, seed=f"{seed}.{s}").alias("h"), F.col(key).alias("key"), point.alias("f")).orderBy("h", "key").limit(k)
         found = [r["f"] for r in rows.collect()]
-        chosen.append([found[i % len(found)] for i in range(k)] if found else [[0.0] * len(cols)] * k)
-    return np.array(chosen)
+        return [found[i % len(found)] for i in range(k)] if found else [[0.0] * len(cols)] * k
+    with ThreadPoolExecutor(max(1, starts)) as pool:
+        return np.array(list(pool.map(one, range(starts))))
+
+
+def _sums(centroids: np.ndarray, numbers: np.ndarray):
+    """Rows a task holds -> its (start, cluster) counts, distances and coordinate sums."""
+    starts, k, n = centroids.shape
+
+    def run(batches):
+        total = np.zeros((starts * k, n + 2))
+        for b in batches:
+            x = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n)]
+            far = np.zeros((starts, k, b.num_rows))
+            for i in range(n):
+                gap = x[i] - centroids[:, :, i, None]
+                far += gap * gap
+            near = far.argmin(axis=1)
+            at = (near + k * np.arange(starts)[:, None]).ravel()
+            for j, values in enumerate((1.0, np.take_along_axis(far, near[:, None], axis=1)[:, 0], *x)):
+                total[:, j] += np.bincount(at, np.broadcast_to(values, near.shape).ravel(), starts * k)
+        at = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(numbers[at // k].astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at, 0].astype(np.int64)),
+             *[pa.array(total[at, j]) for j in range(1, n + 2)]], ["start", "cluster", "n", "far", *[f"s{i}" for i in range(n)]])
+    return run
 
 
 def kmeans_starts(df: DataFrame, cols: Sequence[str], key: str, k: int, starts: int = 10, iterations: int = 300,
                   tolerance: float = 1e-8, seed: int = 42) -> Clusters:
     """The start of least inertia (the smallest number among equals).  Every
-    iteration is one job: each row meets its nearest centroid of every start, and
-    (start, cluster) sums are combined map-side, so only starts x k rows reach the
-    driver.  An empty cluster keeps its centroid; rows with a NULL coordinate are
-    left out."""
+    iteration is one job: each row meets its nearest centroid of every start that
+    still moves, and a task sums its rows by (start, cluster), so only starts x k sums
+    a task reach the driver.  An empty cluster keeps its centroid; rows with a NULL
+    coordinate are left out."""
     df = df.dropna(subset=list(cols))
-    point = F.array(*[F.col(c).cast("double") for c in cols])
+    points = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     centroids = first_centroids(df, cols, key, k, starts, seed)
-    done = 0
+    inertias, moving, done = np.zeros(starts), np.arange(starts), 0
+    names = [f"s{i}" for i in range(len(cols))]
+    schema = "start int, cluster int, n long, far double" + "".join(f", {s} double" for s in names)
     for done in range(1, iterations + 1):
-        found = F.transform(_literal(centroids), lambda c: F.transform(F.array(_distances(F.col("f"), c)), lambda d: F.struct(
-            (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"), F.array_min(d).alias("distance")))[0])
-        met = df.select(point.alias("f")).select("f", F.posexplode(found).alias("start", "m"))
-        sums = met.groupBy("start", F.col("m.cluster").alias("cluster")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("m.distance").alias("far"), *[F.sum(F.get("f", F.lit(i))).alias(f"s{i}") for i in range(len(cols))])
-        moved, inertias = centroids.copy(), np.zeros(starts)
-        for r in sums.collect():
-            moved[r["start"], r["cluster"]] = [r[f"s{i}"] / r["n"] for i in range(len(cols))]
-            inertias[r["start"]] += r["far"]
-        still = np.abs(moved - centroids).max() <= tolerance
-        if still:
+        totals, far = np.zeros((starts, k, 1 + len(cols))), np.zeros(starts)
+        for r in points.mapInArrow(_sums(centroids[moving], moving), schema).collect():
+            totals[r["start"], r["cluster"]] += [r["n"], *[r[s] for s in names]]
+            far[r["start"]] += r["far"]
+        n = totals[..., :1]
+        moved = np.where(n > 0, totals[..., 1:] / np.maximum(n, 1), centroids)
+        inertias[moving] = far[moving]
+        moving = np.flatnonzero(~(np.abs(moved - centroids).max(axis=(1, 2)) <= tolerance))
+        centroids[moving] = moved[moving]
+        if not len(moving):
             break
-        centroids = moved
     best = int(np.argmin(inertias))
     return Clusters(best, centroids[best], float(inertias[best]), done, inertias)
 

@@ -68,3 +68,14 @@ def test_a_line_on_cosines_follows_a_curve(spark):
     fitted = MD.predict(MD.fit(MD.regressors()["SVR-like"], df, names), df)
     gap = fitted.select(F.avg(F.abs(F.col("prediction") - F.col("target")))).first()[0]
     assert gap < 0.05
+
+
+def test_starts_that_stand_still_are_not_summed_again(points, monkeypatch):
+    """Every start's inertia stays that of its own centroids when others move on."""
+    df, rows = points
+    asked, plain_sums = [], clusters._sums
+    monkeypatch.setattr(clusters, "_sums", lambda c, numbers: asked.append(len(numbers)) or plain_sums(c, numbers))
+    found = clusters.kmeans_starts(df, ["x", "y"], "key", 4, starts=5)
+    begun = clusters.first_centroids(df, ["x", "y"], "key", 4, 5, 42)
+    assert len(asked) == found.iterations and asked[0] == 5 and asked == sorted(asked, reverse=True) and asked[-1] < 5
+    np.testing.assert_allclose(found.inertias, [plain(rows, b)[1] for b in begun], rtol=1e-9)
