@@ -53,3 +53,46 @@ def test_ranks_of_a_narrowed_bracket_in_groups(spark):
         assert {r.g: [r.x, r.y, r.z, r.o] for r in got} == want
     none = S.order_stats(df, ["g"], "v", [F.lit(-1)], ["x"], accuracy=100, max_band=20).collect()
     assert sorted((r.g, r.x) for r in none) == [("a", None), ("b", None), ("c", None)]
+
+
+def test_written_rows_have_as_many_parts_as_they_ask_for(spark):
+    """Few rows out of many shuffle partitions: one part, the same rows and metadata."""
+    from hydrosift.session import FIT_ROWS, cut_lineage, for_fits
+    df = spark.range(40).repartition(40).select("id", F.col("id").cast("double").alias("x", metadata={"kind": "index"}))
+    cut = cut_lineage(df)
+    assert cut.schema["x"].metadata == {"kind": "index"} and not cut.inputFiles()[0].startswith("rdd")
+    fit = for_fits(df)
+    assert fit.rdd.getNumPartitions() == 1 and sorted(r.id for r in fit.collect()) == list(range(40))
+    assert for_fits(spark.range(3 * FIT_ROWS)).rdd.getNumPartitions() <= 3
+
+
+def test_model_frames_fit_on_few_parts(spark):
+    train, test, _, _ = flows.model_frames(flows.written_ml_frame(spark, SF001).repartition(30), "ground")
+    assert train.rdd.getNumPartitions() == test.rdd.getNumPartitions() == 1
+
+
+def test_scores_of_folds_keep_their_order(spark):
+    """Folds run side by side; each score is its own fold's, in order."""
+    from pyspark.ml.regression import LinearRegression
+    from hydrosift.operators import models as MD
+    df = spark.range(60).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("int").alias("fold"),
+                                F.when(F.col("id") % 3 == 1, 100.0).otherwise(0.0).alias("target"))
+
+    class Mean:
+        def evaluate(self, d):
+            return d.agg(F.max("fold")).first()[0] + d.agg(F.max("target")).first()[0]
+    assert MD.cv_score(LinearRegression(featuresCol="features", labelCol="target"), df, ["x"], Mean(), "fold", 3)[2] == [0.0, 101.0, 2.0]
+
+
+def test_gap_patterns_are_broadcast(spark):
+    """The join of rows with the few gap patterns does not deal rows by pattern."""
+    from hydrosift.operators import common, knn
+    found = []
+    plain = common.per_group
+    knn.per_group = lambda df, *a: found.append(df.columns) or plain(df, *a)
+    try:
+        df = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, 3.0), ("c", 4.0, 5.0)], "key string, x double, y double")
+        got = {r.key: r.y for r in knn.knn_impute(df, df, ["x", "y"], "key", 1).collect()}
+    finally:
+        knn.per_group = plain
+    assert got == {"a": 3.0, "b": 3.0, "c": 5.0} and any("__pd" in c for c in found)
