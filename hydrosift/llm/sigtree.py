@@ -276,19 +276,40 @@ def walk(x: Tree, y: Tree, num: int, den: int, chunk: int = 1 << 15) -> Iterator
             todo.append((lx, ly, i[lo:lo + chunk], j[lo:lo + chunk]))
 
 
+def member_pairs(x: Tree, y: Tree, opt: JaccardJoin, chunk: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of sets in the leaves that ``walk`` leaves, at most about ``chunk``
+    at once: where all sets are alike, no pair of leaves falls out."""
+    step = max(1, chunk // opt.leaf ** 2)
+    for i, j in walk(x, y, opt.num, opt.den):
+        for lo in range(0, len(i), step):
+            a, at = x.members(i[lo:lo + step])
+            b, at2 = _expand(j[lo:lo + step][at], y.leaf, len(y.rows))
+            a = a[at2]
+            if x is y:
+                a, b = a[a < b], b[a < b]
+            yield x.rows[a], y.rows[b]
+
+
 def unit_links(sets: list[np.ndarray], sides: np.ndarray, opt: JaccardJoin) -> Iterator[tuple[int, int]]:
     """A spanning set of the links inside one unit (positions in ``sets``)."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    tokens = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    bit = (tokens.view(np.uint64) >> np.uint64(20)) % np.uint64(opt.bits)
+    tokens = np.concatenate(sets)
+    tokens.sort()
+    values = tokens[np.append(True, tokens[1:] != tokens[:-1])]
+    del tokens
+    # a few sets at a time: what is made for each token must not add up over the unit
+    dense = np.empty(starts[-1], np.int32)
     bits = np.zeros((len(sets), opt.bits // 64), np.uint64)
-    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), sizes), (bit >> np.uint64(6)).astype(np.int64)),
-                     np.uint64(1) << (bit & np.uint64(63)))
+    for lo in range(0, len(sets), 64):
+        some = np.concatenate(sets[lo:lo + 64])
+        dense[starts[lo]:starts[lo] + len(some)] = np.searchsorted(values, some)
+        bit = (some.view(np.uint64) >> np.uint64(20)) % np.uint64(opt.bits)
+        own = np.repeat(np.arange(lo, min(lo + 64, len(sets))), sizes[lo:lo + 64])
+        np.bitwise_or.at(bits, (own, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
     hidden = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     node = (bits, sizes, sizes, hidden)
-    dense = np.unique(tokens, return_inverse=True)[1]
-    marked = np.zeros(len(dense) + 1, bool)
+    marked = np.zeros(len(values) + 1, bool)
     root = np.arange(len(sets))
 
     def find(a: int) -> int:
@@ -299,13 +320,12 @@ def unit_links(sets: list[np.ndarray], sides: np.ndarray, opt: JaccardJoin) -> I
     left = np.flatnonzero(sides == 0)
     x = Tree(left, sizes, bits, hidden, opt.leaf, opt.fan)
     y = x if len(left) == len(sets) else Tree(np.flatnonzero(sides == 1), sizes, bits, hidden, opt.leaf, opt.fan)
-    for i, j in walk(x, y, opt.num, opt.den):
-        a, at = x.members(i)
-        b, at2 = _expand(j[at], y.leaf, len(y.rows))
-        a = a[at2]
-        if x is y:
-            a, b = a[a < b], b[a < b]
-        a, b = x.rows[a], y.rows[b]
+    for a, b in member_pairs(x, y, opt):
+        # what is linked already is left before its bitmaps are read
+        while not np.array_equal(root[root], root):
+            root[:] = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
         ok = possible(tuple(v[a] for v in node), tuple(v[b] for v in node), opt.num, opt.den)
         a, b = a[ok], b[ok]
         if not len(a):

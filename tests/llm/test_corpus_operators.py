@@ -59,6 +59,21 @@ def test_tree_join_misses_no_link():
         assert groups(sigtree.unit_links(sets, sides, opt)) == groups(across)
 
 
+def test_a_unit_of_near_copies_is_bounded_in_memory():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2**62, 2**62, 60)
+    sets = [np.unique(np.append(base, rng.integers(-2**62, 2**62, 3 + k % 3))) for k in range(1200)]
+    for sides in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        tracemalloc.start()
+        found = list(sigtree.unit_links(sets, sides, sigtree.JaccardJoin()))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # no pair of leaves falls out: 720,000 pairs of sets, 128 bytes of bitmap each side
+        assert len(found) == len(sets) - 1
+        assert peak < 60e6
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(20)] + [(7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
